@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import decontamination, packing, token_files, url_rules
 from .common import read
 
 
@@ -20,6 +20,14 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.best_fit_pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, size=4096)
 
 
+def op4_url_filter(spark, sf_dir):
+    return url_rules.judge(read(spark, sf_dir, "pages"))
+
+
+def op5_decontamination(spark, sf_dir):
+    return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
