@@ -88,3 +88,82 @@ def components(scratch: Scratch, edges: DataFrame, name: str, most_rounds: int =
         if same:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+#: Members of a group that one task compares at once; larger groups are cut
+#: into blocks of about this many, and every pair of blocks is compared.
+GROUP = 4096
+
+
+def in_blocks(scratch: Scratch, rows: DataFrame, keys: list[str], member: str, name: str, most: int = GROUP) -> DataFrame:
+    """Deals members of groups to (keys, block pair); lone members go.
+
+    ``rows`` is a written table. A group over ``most`` members is cut into blocks by the member's hash
+    and each member goes to all pairs with its own block, so that every two
+    members meet in some task, which never holds over about 2 x ``most`` rows.
+    Adds ``block_a``, ``block_b`` and ``own``.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("members")).filter("members > 1")
+    sizes = scratch.table(sizes, f"{name}-sizes")
+    dealt = rows.join(sizes, keys).withColumn("cuts", F.ceil(F.col("members") / most).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(member), F.col("cuts").cast("bigint")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    dealt = dealt.withColumn("block_a", F.least("own", "other")).withColumn("block_b", F.greatest("own", "other"))
+    every = [*keys, "block_a", "block_b"]
+    return dealt.drop("members", "cuts", "other").repartition(*every).sortWithinPartitions(*every)
+
+
+def groups(batches, n_keys: int):
+    """Record batches sorted by their first ``n_keys`` columns, as one
+    ``pyarrow.RecordBatch`` of whole groups after another."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        ends = starts_of(batch, n_keys)
+        last = int(ends[-1])
+        if last:
+            yield batch.slice(0, last)
+        held = batch.slice(last)
+        if last:
+            held = pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(len(held)))) for c in held.columns], schema=held.schema)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def starts_of(batch, n_keys: int):
+    """Where groups of equal first columns begin."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for k in range(n_keys):
+        c = batch.column(k)
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def forest(n: int, near):
+    """Links that connect what ``near(i, others)`` (a boolean for each of
+    ``others``) connects: breadth first over members not yet reached, so a
+    group gives fewer links than members."""
+    import numpy as np
+
+    left = np.arange(n)
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            hit = near(i, left)
+            found = left[hit]
+            if len(found):
+                left = left[~hit]
+                for j in found.tolist():
+                    yield i, j
+                queue.extend(found.tolist())

@@ -13,11 +13,12 @@ import re
 import numpy as np
 
 #: Pieces a worker remembers; beyond it pieces are encoded again when met.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 _LOADED: dict[tuple[str, str], "PieceEncoder"] = {}
 #: Python splits at these and the vocabularies' patterns do not.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: Neighbouring or unusual white space, and the mark used below.
+_STOPS = ".,;:"
 _ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$|\x01")
 
 
@@ -55,29 +56,32 @@ class PieceEncoder:
         return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
 
     def _learn(self, new: list[str], into: dict[str, bytes]) -> None:
-        plain = []
-        for x in dict.fromkeys(c if c[-1:].isalpha() else x for x in new if (c := x.rstrip(".,;:")) is not None):
-            if self.mark not in x and self.mark_id is not None and x not in self.known:
-                plain.append(x)
-        for i in range(0, len(plain), 32):
-            some = plain[i : i + 32]
-            if self.split == "byte":  # white space at a piece's end would join the glue's run
-                some = [x for x in some if not x[-1].isspace() and not x[:2].isspace()]
-            ids = self._whole(self.glue.join(some))
-            raw, cuts = ids.tobytes(), np.flatnonzero(ids == self.mark_id).tolist()
-            if some and len(cuts) == len(some) - 1:
-                start = 0
-                for x, end in zip(some, [*cuts, len(ids)], strict=True):
-                    into[x] = raw[4 * start : 4 * end]
-                    start = end + 1
+        words, stopped = {}, []
         for x in new:
+            if x[-1] in _STOPS and (word := x.rstrip(_STOPS)) and word[-1].isalpha():
+                stopped.append((x, word))  # a stop after a letter is always a pre-token of its own
+                if word in self.known:
+                    continue
+                x = word
+            words[x] = None
+        each = [x for x in words if not x[-1].isspace()]  # white space would join the glue's run
+        if self.mark_id is not None:
+            for i in range(0, len(each), 512):
+                groups = [each[j : j + 16] for j in range(i, min(i + 512, len(each)), 16)]
+                found = self.tokenizer.encode_batch_fast([self.glue.join(g) for g in groups], add_special_tokens=False)
+                for group, ids in zip(groups, found, strict=True):
+                    ids = np.array(ids.ids, dtype="<u4")
+                    raw, cuts = ids.tobytes(), (ids == self.mark_id).nonzero()[0].tolist()
+                    if len(cuts) == len(group) - 1:  # else a piece holds the mark itself
+                        start = 0
+                        for x, end in zip(group, [*cuts, len(ids)], strict=True):
+                            into[x] = raw[4 * start : 4 * end]
+                            start = end + 1
+        for x in words:
             if x not in into:
-                # A stop after a letter is always a pre-token of its own.
-                word = x.rstrip(".,;:")
-                if word != x and word[-1:].isalpha() and word in into:
-                    into[x] = into[word] + self._stop(x[len(word) :])
-                else:
-                    into[x] = self._whole(x).tobytes()
+                into[x] = self._whole(x).tobytes()
+        for x, word in stopped:
+            into[x] = into[word] + self._stop(x[len(word) :])
 
     def _stop(self, text: str) -> bytes:
         if text not in self.stops:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, token_files, url_rules
+from . import decontamination, packing, simhash, token_files, url_rules
 from .common import read
 
 
@@ -28,6 +28,10 @@ def op5_decontamination(spark, sf_dir):
     return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_simhash(spark, sf_dir):
+    return simhash.link(read(spark, sf_dir, "documents"), k=3, radius=3)
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
