@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, simhash, token_files, url_rules
+from . import decontamination, packing, quality, simhash, token_files, toxicity, url_rules
 from .common import read
 
 
@@ -32,6 +32,14 @@ def op7_simhash(spark, sf_dir):
     return simhash.link(read(spark, sf_dir, "documents"), k=3, radius=3)
 
 
+def op8_quality(spark, sf_dir):
+    return quality.scores(read(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

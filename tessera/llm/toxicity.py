@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from . import common
 from .hashing import grams, word_hashes, words
 
-SAMPLE, BITS = 12_000, 20
+SAMPLE, BITS, LEAST = 12_000, 20, 5
 
 
 class Ftrl:
     """Follow the regularised leader, proximal, per coordinate."""
 
-    def __init__(self, size: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.6, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 30.0, l2: float = 0.0):
         self.z, self.n = np.zeros(size), np.zeros(size)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -55,15 +55,20 @@ def features(text: str | None, bits: int) -> np.ndarray:
     return np.append(np.unique(grams(h, bits)) if len(h) else np.empty(0, "i4"), np.int32(1 << bits))
 
 
-def fit(labelled: DataFrame, bits: int = BITS, rounds: int = 4, sample: int = SAMPLE) -> dict[int, float]:
-    """Weights by slot. ``labelled``: doc_id, text, label."""
+def fit(labelled: DataFrame, bits: int = BITS, rounds: int = 5) -> dict[int, float]:
+    """Weights by slot. ``labelled``: doc_id, text, label. Slots in under
+    ``LEAST`` rows are left out; L1 grows with the rows up to its full strength."""
     common.tune(labelled.sparkSession)
 
     def train(batches):
         rows = []
         for batch in batches:
             rows += [(features(t, bits), y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        model = Ftrl((1 << bits) + 1)
+        model = Ftrl((1 << bits) + 1, l1=min(30.0, len(rows) / 100))
+        seen = np.zeros((1 << bits) + 1, "i8")
+        for at, _ in rows:
+            seen[at] += 1
+        rows = [(at[seen[at] >= LEAST], y) for at, y in rows]
         ones = sum(y for _, y in rows)
         balance = (1.0, max(1.0, min(10.0, (len(rows) - ones) / max(1, ones))) ** 0.5)
         for _ in range(rounds):
