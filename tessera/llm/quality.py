@@ -29,6 +29,8 @@ from .hashing import _slot, word_hashes
 SAMPLE, BITS, THRESHOLD = 12_000, 18, 0.5
 #: Frequent words of running prose (fixed values).
 FUNCTION_WORDS = frozenset("the of and to in a is that for on with as was it by la le les de et des que der die und das von zu el los en y con del".split())
+#: The most a labeller is taken to call good texts bad: narrow detectors little, broad ones more.
+FALSE_ALARM = np.array([0.0005, 0.0005, 0.0005, 0.0005, 0.2, 0.0005, 0.3])
 LABELLERS = ("signs", "capitals", "cells", "marks", "function words", "variety", "length")
 _SIGN, _LETTER = re.compile(r"[^\w\s.,;:'\"!?()-]"), re.compile(r"[^\W\d_]")
 _END = re.compile(r"([^\w\s.,;:)'\"]+)(?:\s|$)")
@@ -42,7 +44,7 @@ def votes(text: str | None) -> tuple[int, ...]:
     n = len(words)
     letters = sum(map(len, _LETTER.findall(text))) or 1
     signs = len(_SIGN.findall(text)) / n
-    upper = sum(c.isupper() for c in text) / letters
+    upper = sum(map(str.isupper, text)) / letters
     cells = words.count("|") / n
     marks = len(_END.findall(text)) / n
     known = sum(w.strip(".,").lower() in FUNCTION_WORDS for w in words) / n
@@ -51,28 +53,30 @@ def votes(text: str | None) -> tuple[int, ...]:
     return (between(signs, 0.05, 0.3), between(upper, 0.1, 0.4), between(cells, 0.02, 0.2), between(marks, 0.1, 0.4), between(-known, -0.1, -0.02), -1 if n < 50 else between(-variety, -0.3, -0.15), 0 if n < 3 else -1)
 
 
-def weak_labels(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, prior: float = 0.85) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+def weak_labels(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
     """Posterior of "good" by pattern, and each labeller's estimated accuracy.
 
     Labellers are taken as independent given the class; what they abstain on
-    says nothing. Accuracies stay in (0.55, 0.99), which fixes which class is good.
+    says nothing. A bad text mostly fails one of them, so accuracy on the bad
+    stays within 0.2 and 0.5; on the good within 1 - ``FALSE_ALARM`` and 1 - a quarter of it, which fixes which
+    class is the good one.
     """
     v = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], "f8")
     k = v.shape[1]
-    good_given = np.full((2, k), prior)  # accuracy on the good, on the bad
-    share = prior
+    right_on = np.array([1 - FALSE_ALARM[:k], np.full(k, 0.3)])  # accuracy on the good, on the bad
+    share = 0.85
     for _ in range(rounds):
-        on_good = np.where(v == 1, np.log(good_given[0]), np.where(v == 0, np.log(1 - good_given[0]), 0)).sum(1) + np.log(share)
-        on_bad = np.where(v == 0, np.log(good_given[1]), np.where(v == 1, np.log(1 - good_given[1]), 0)).sum(1) + np.log(1 - share)
+        on_good = np.where(v == 1, np.log(right_on[0]), np.where(v == 0, np.log(1 - right_on[0]), 0)).sum(1) + np.log(share)
+        on_bad = np.where(v == 0, np.log(right_on[1]), np.where(v == 1, np.log(1 - right_on[1]), 0)).sum(1) + np.log(1 - share)
         post = 1 / (1 + np.exp(np.clip(on_bad - on_good, -50, 50)))
         w1, w0 = n * post, n * (1 - post)
         for c, w, right in ((0, w1, 1), (1, w0, 0)):
             hit, said = (w[:, None] * (v == right)).sum(0), (w[:, None] * (v >= 0)).sum(0)
-            low = 0.55 if c == 0 else 0.05  # a labeller may miss most bad texts, which fail each in its own way
-            good_given[c] = np.clip((hit + 1) / (said + 2), low, 0.99)
+            low = 1 - FALSE_ALARM[:k] if c == 0 else 0.2
+            right_on[c] = np.clip((hit + 1) / (said + 2), low, 1 - FALSE_ALARM[:k] / 4 if c == 0 else 0.5)
         share = min(0.99, max(0.01, w1.sum() / n.sum()))
-    return {tuple(p): float(x) for (p, _), x in zip(patterns, post, strict=True)}, good_given
+    return {tuple(p): float(x) for (p, _), x in zip(patterns, post, strict=True)}, right_on
 
 
 def shape(word: str) -> str:
@@ -89,7 +93,8 @@ _SHAPES: dict[str, str] = {}
 
 
 def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values: shares of word shapes, shape pairs and words; last the bias."""
+    """Slots and values: shares of word shapes, shape pairs and short words, the
+    tenth that repeated words make up; last the bias."""
     words = text.split() if text else []
     last = np.array([1 << bits])
     if not words:
@@ -101,7 +106,9 @@ def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     s = word_hashes([_SHAPES[w] for w in words])
     h = word_hashes([w if len(w) < 5 else "\x01" for w in words])
     at, n = np.unique(np.concatenate([_slot(s, 1, bits), _slot(s[:-1] * np.uint64(31) + s[1:], 2, bits), _slot(h, 3, bits)]), return_counts=True)
-    return np.append(at, last), np.append(np.sqrt(n / len(words)), 1.0)
+    repeats = 1 - len(set(words)) / len(words) if len(words) >= 50 else 0.0
+    kind = _slot(np.array([int(10 * repeats)], "u8"), 4, bits)
+    return np.concatenate([at, kind, last]), np.concatenate([np.sqrt(n / len(words)), [1.0, 1.0]])
 
 
 def fit_scorer(rows: list[tuple[tuple[np.ndarray, np.ndarray], float]], bits: int, rounds: int = 6, rate: float = 0.5) -> np.ndarray:

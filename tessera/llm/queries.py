@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality, simhash, token_files, toxicity, url_rules
+from . import decontamination, embedding_lsh, packing, quality, simhash, token_files, toxicity, url_rules
 from .common import read
 
 
@@ -40,6 +40,10 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_embedding_near_dedup(spark, sf_dir):
+    return embedding_lsh.link(read(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
