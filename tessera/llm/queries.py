@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_lsh, packing, quality, simhash, token_files, toxicity, url_rules
+from . import decontamination, embedding_lsh, packing, quality, simhash, suffix_dedup, token_files, toxicity, url_rules
 from .common import read
 
 
@@ -12,6 +12,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_token_output(spark, sf_dir):
     return token_files.write_and_read(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
