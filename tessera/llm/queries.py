@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_lsh, packing, quality, simhash, suffix_dedup, token_files, toxicity, url_rules
+from . import decontamination, embedding_lsh, packing, passages, quality, simhash, suffix_dedup, token_files, toxicity, url_rules
 from .common import read
 
 
@@ -32,6 +32,10 @@ def op5_decontamination(spark, sf_dir):
     return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return passages.find(read(spark, sf_dir, "documents")).drop("digest")
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.link(read(spark, sf_dir, "documents"), k=3, radius=3)
 
