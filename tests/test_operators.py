@@ -1,0 +1,62 @@
+"""Small fixtures: ties, nulls, loops and empty tables."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import text as tx
+from tessera.operators import fulltext, graph, layers, ranking, vectors
+
+
+def test_layers_prefer_the_overlay_and_break_ties(spark):
+    over = spark.createDataFrame([(1, "new"), (1, "also")], "k int, v string")
+    base = spark.createDataFrame([(1, "old"), (2, "kept")], "k int, v string")
+    assert sorted(map(tuple, layers.merge([over, base], ["k"], ["v"]).select("k", "v").collect())) == [(1, "also"), (2, "kept")]
+    assert layers.merge([over.limit(0), base.limit(0)], ["k"]).count() == 0
+
+
+def test_chains_and_loops(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "old_id string, new_id string")
+    got = {r["old_id"]: r["final_id"] for r in layers.resolve(pairs, most=8).collect()}
+    assert got["a"] == got["b"] == "c" and {got["x"], got["y"]} <= {"x", "y"}
+
+
+def test_diff_is_null_safe(spark):
+    old = spark.createDataFrame([(1, None), (2, "b"), (3, "c")], "k int, d string")
+    new = spark.createDataFrame([(1, None), (2, "B"), (4, "d")], "k int, d string")
+    assert {tuple(r) for r in layers.diff(old, new, ["k"], "d").collect()} == {(1, "unchanged"), (2, "changed"), (3, "removed"), (4, "added")}
+
+
+def test_bm25_needs_all_terms(spark):
+    docs = spark.createDataFrame([(1, "health init boot"), (2, "health"), (3, None), (4, "Health_init")], "id int, text string")
+    q = spark.createDataFrame([(9, "health init")], "q int, text string")
+    got = fulltext.search(docs, "id", "text", q, "q", "text").collect()
+    assert {r["id"] for r in got} == {1, 4} and [r["rank"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2]
+
+
+def test_cosine_and_hash_embedding(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 1.0])], "a array<double>, b array<double>")
+    got = [r[0] for r in df.select(vectors.cosine(F.col("a"), F.col("b"))).collect()]
+    assert got[0] == pytest.approx(math.sqrt(0.5)) and got[1:] == [None, None]
+    e = vectors.hash_embedding(spark.createDataFrame([(1, "alpha beta alpha"), (2, "")], "id int, text string"), "id", "text").collect()
+    assert {r["id"] for r in e} == {1} and sum(r["value"] ** 2 for r in e) == pytest.approx(1, abs=1e-3)
+
+
+def test_graph(spark):
+    e = spark.createDataFrame([("a", "b", "t"), ("b", "c", "t"), ("c", "d", "t")], "src string, dst string, relation_type string")
+    got = {r["node"]: r["depth"] for r in graph.expand(e, spark.createDataFrame([("a",)], "node string"), 2).collect()}
+    assert got == {"a": 0, "b": 1, "c": 2}
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
+    assert [(r["src"], r["dst"]) for r in graph.orphans(e, nodes).collect()] == [("c", "d")]
+
+
+def test_rank_all_counts_over_parts(spark):
+    rows = spark.range(500).select("id", (F.col("id") % 7).alias("s"))
+    got = ranking.rank_all(rows, ["s"], "id", buckets=9).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 501)) and [(r["s"], r["id"]) for r in got] == sorted(((r["s"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))
+
+
+@pytest.mark.parametrize(("pattern", "path", "hit"), [("*.c", "a/b.c", True), ("build", "x/build/y", True), ("docs/**", "docs/a/b", True), ("**/x/**", "a/x/b", True), ("a/*", "a/b/c", False), ("*.c", "a/b.cc", False)])
+def test_globs(spark, pattern, path, hit):
+    assert spark.createDataFrame([(path,)], "p string").select(tx.matches_any(F.col("p"), [pattern])).first()[0] is hit
