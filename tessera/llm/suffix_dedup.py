@@ -7,7 +7,7 @@ twice are looked at, and offsets are cut into chunks of ``CHUNK``: the strings o
 a chunk share a core, so a piece (bytes before the core, the core as a single
 symbol, bytes after it) has at most 2 x CHUNK - 1 symbols and its strings are
 exactly its substrings of CHUNK symbols. Equal pieces are merged with their
-number of occurrences.
+number of occurrences; a core under which only one piece is left needs no order.
 
 Pieces are indexed column by column: each round inserts one symbol of every
 piece of a collection, updating the collection's BWT and capped longest common
@@ -263,16 +263,25 @@ def _index(merged: DataFrame) -> DataFrame:
     def run(batches):
         for batch in common.groups(batches, 1):
             starts = common.starts_of(batch, 1)
-            ends = [*starts[1:].tolist(), batch.num_rows]
-            a = 0
-            for k, b in enumerate(ends):
-                if b - a >= COLLECTION or k == len(ends) - 1:
-                    c, left, right = (batch.column(j).slice(a, b - a).to_pylist() for j in range(3))
-                    flags = repeated(c, left, right, batch.column(3).slice(a, b - a).to_numpy())
-                    rows = [(c[i], left[i], right[i], f.astype("u1").tobytes()) for i, f in enumerate(flags) if f.any()]
-                    if rows:
-                        yield _batch(rows, ["core", "before", "after", "flags"], [pa.binary()] * 4)
-                    a = b
+            sizes = np.diff(np.r_[starts, batch.num_rows])
+            weight = batch.column(3).to_numpy()
+            rows = []
+            # One piece alone under its core equals only itself: its occurrences decide.
+            for i in starts[(sizes == 1) & (weight[starts] >= 2)].tolist():
+                core, left, right = (batch.column(j)[i].as_py() for j in range(3))
+                rows.append((core, left, right, b"\x01" * (len(left) + 2 + len(right) - core[-1])))
+            several = np.flatnonzero(np.repeat(sizes > 1, sizes))
+            cuts = np.searchsorted(np.cumsum(sizes[sizes > 1]), np.arange(COLLECTION, len(several) + COLLECTION, COLLECTION))
+            ends = np.unique(np.r_[np.cumsum(sizes[sizes > 1])[np.minimum(cuts, (sizes > 1).sum() - 1)], len(several)]) if len(several) else []
+            at = 0
+            for end in [int(e) for e in ends]:
+                some = batch.take(pa.array(several[at:end]))
+                c, left, right = (some.column(j).to_pylist() for j in range(3))
+                flags = repeated(c, left, right, some.column(3).to_numpy())
+                rows += [(c[i], left[i], right[i], f.astype("u1").tobytes()) for i, f in enumerate(flags) if f.any()]
+                at = end
+            if rows:
+                yield _batch(rows, ["core", "before", "after", "flags"], [pa.binary()] * 4)
 
     dealt = merged.select("core", "before", "after", "weight").repartition("core").sortWithinPartitions("core")
     return dealt.mapInArrow(run, "core binary, before binary, after binary, flags binary")
