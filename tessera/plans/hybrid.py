@@ -1,21 +1,25 @@
-"""The flagship plan: full text and vectors, fused and reranked."""
+"""The flagship plan: full-text retrieval over several indexes, fused."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fulltext
+from ..operators import fulltext, layers
 from .registry import QUERIES, SQL, read
 from . import registry_more  # noqa: F401  registers its queries
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """For each benchmark item: documents by BM25 and by embedding-free length
-    prior, fused by weighted reciprocal ranks."""
+    """For each benchmark item its documents, by two full-text indexes (whole
+    texts, and first lines as titles) fused by weighted reciprocal ranks; the
+    ``k`` best of each."""
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    found = fulltext.search(docs, "doc_id", "text", items, "item_id", "text")
-    return fulltext.fuse(found.withColumn("w", F.lit(0.6)), ["item_id", "doc_id"], "w")
+    titles = docs.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    body = fulltext.search(docs, "doc_id", "text", items, "item_id", "text").withColumn("w", F.lit(0.6))
+    title = fulltext.search(titles, "doc_id", "title", items, "item_id", "text").withColumn("w", F.lit(0.4))
+    fused = fulltext.fuse(body.unionByName(title), ["item_id", "doc_id"], "w")
+    return layers.newest(fused, ["item_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
 def queries():

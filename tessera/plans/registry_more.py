@@ -225,3 +225,59 @@ def q1_q3_consistency(spark, sf_dir):
     d, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     count = lambda df, name: df.agg(F.lit(name).alias("issue"), F.count("*").alias("n"))
     return count(labels.join(d.select("doc_id"), "doc_id", "left_anti"), "label_without_document").union(count(d.join(labels.select("doc_id"), "doc_id", "left_anti"), "document_without_label")).union(count(d.filter(F.col("n_chars") != F.length("text")), "length_mismatch"))
+
+
+@query("SELECT p_partkey, s_suppkey FROM (SELECT l_partkey AS p_partkey, l_suppkey AS s_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY sum(l_quantity) DESC, min(l_orderkey), l_suppkey) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1")
+def i18_best_chunk(spark, sf_dir):
+    """The best chunk of an item: highest score, ties to the earliest."""
+    scored = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).agg(F.sum("l_quantity").alias("score"), F.min("l_orderkey").alias("ordinal"))
+    best = F.max_by("s_suppkey", F.struct("score", (-F.col("ordinal")).alias("o"), (-F.col("s_suppkey")).alias("s")))
+    return scored.groupBy("p_partkey").agg(best.alias("s_suppkey"))
+
+
+@query("""WITH o AS (SELECT c_custkey, o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey DESC) AS r FROM orders JOIN customer ON o_custkey = c_custkey)
+ SELECT a.c_custkey, a.o_orderkey AS old_id, b.o_orderkey AS new_id FROM (SELECT * FROM o WHERE o_orderstatus = 'F') a LEFT JOIN (SELECT * FROM o WHERE o_orderstatus = 'O' AND r = 1) b ON a.c_custkey = b.c_custkey AND a.o_orderpriority IS NOT DISTINCT FROM b.o_orderpriority""")
+def i28_object_matching(spark, sf_dir):
+    """Old objects against new ones by a null-safe key; the last new row wins, no match is a tombstone."""
+    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+    old = o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("old_id"), F.col("o_orderpriority").alias("a"))
+    new = o.filter("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("k")).agg(F.max_by(F.struct("o_orderkey", "o_orderpriority"), "o_orderkey").alias("last"))
+    got = old.join(new, (F.col("c_custkey") == F.col("k")) & F.col("a").eqNullSafe(F.col("last.o_orderpriority")), "left")
+    return got.select("c_custkey", "old_id", F.col("last.o_orderkey").alias("new_id"))
+
+
+@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'unknown' WHEN bool_or(event_type = 'signup') THEN 'disabled' WHEN bool_or(event_type = 'purchase') THEN 'enabled' ELSE 'not_applicable' END AS state, min(value) AS confidence FROM events GROUP BY user_id""")
+def i24_state_across_profiles(spark, sf_dir):
+    """unknown before disabled before enabled; the least confidence."""
+    has = lambda kind: F.bool_or(F.col("event_type") == kind)
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.when(has("error"), "unknown").when(has("signup"), "disabled").when(has("purchase"), "enabled").otherwise("not_applicable").alias("state"), F.min("value").alias("confidence"))
+
+
+@query("""WITH p AS (SELECT *, (l_returnflag = 'A' OR NULLIF(l_returnflag, 'R') = 'Q') AND NOT (l_linestatus = 'F') AS v FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN v THEN 'enabled_by' WHEN NOT v THEN 'disabled_by' ELSE 'unknown_by' END AS relation FROM p""")
+def i23_three_valued_conditions(spark, sf_dir):
+    """Conditions over macros in three-valued logic: null is unknown."""
+    from ..functions.conditions import compile_condition
+
+    macros = {"A": F.col("l_returnflag") == "A", "Q": F.nullif(F.col("l_returnflag"), F.lit("R")) == "Q", "FINISHED": F.col("l_linestatus") == "F"}
+    v = compile_condition("(A || Q) && not FINISHED", macros)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(v, "enabled_by").when(~v, "disabled_by").otherwise("unknown_by").alias("relation"))
+
+
+@query("""SELECT doc_id, CASE WHEN starts_with(source, 'src1') THEN 'vendor' WHEN source = 'src0' THEN 'core' ELSE 'component' END AS layer, CASE WHEN lang = 'en' THEN 'source_doc' ELSE 'derived' END AS authority FROM documents""")
+def h16_i36_classification(spark, sf_dir):
+    layer = F.when(F.startswith("source", F.lit("src1")), "vendor").when(F.col("source") == "src0", "core").otherwise("component")
+    return read(spark, sf_dir, "documents").select("doc_id", layer.alias("layer"), F.when(F.col("lang") == "en", "source_doc").otherwise("derived").alias("authority"))
+
+
+@query("SELECT p_type, avg(p_retailprice) FILTER (WHERE p_size > 25) / avg(p_retailprice) FILTER (WHERE p_size <= 25) > 1.20 AS slower, count(*) AS cases FROM part GROUP BY 1")
+def q21_regression_gate(spark, sf_dir):
+    """A ratio of two runs' means against the allowed 1.20."""
+    mean = lambda c: F.avg(F.when(c, F.col("p_retailprice")))
+    return read(spark, sf_dir, "part").groupBy("p_type").agg((mean(F.col("p_size") > 25) / mean(F.col("p_size") <= 25) > 1.20).alias("slower"), F.count("*").alias("cases"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT p_partkey AS id, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nxt FROM part) SELECT id, 'dangling' AS issue FROM s WHERE nxt IS NULL""")
+def q6_replacement_ends(spark, sf_dir):
+    """Replacements that lead nowhere."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lead("p_partkey").over(w).alias("nxt")).filter("nxt is null").select("id", F.lit("dangling").alias("issue"))
