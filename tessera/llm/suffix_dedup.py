@@ -107,7 +107,8 @@ class ColumnwiseIndex:
     """BWT, common prefixes (capped) and suffix places of a collection, built by
     inserting one symbol of each string a round, last symbols first.
 
-    State is kept in files that each round reads and writes once in order.
+    State is kept in files that each round reads once in order and replaces by
+    new ones (overwriting a file in place would wait for the disk).
     """
 
     _KINDS = {"bwt": "u2", "lcp": "u1", "string": "i4", "size": "u1"}
@@ -115,7 +116,7 @@ class ColumnwiseIndex:
     def __init__(self, strings: np.ndarray, sizes: np.ndarray, cap: int, folder: str):
         """``strings``: symbols below 65535, right-aligned in rows."""
         self.strings, self.sizes, self.cap, self.folder = strings, sizes, cap, folder
-        self.width = strings.shape[1]
+        self.width, self.written = strings.shape[1], 0
         m = len(strings)
         last = np.where(sizes > 0, strings[:, -1], _END) if self.width else np.full(m, _END)
         self._write(last.astype("u2"), np.zeros(m, "u1"), np.arange(m, dtype="i4"), np.zeros(m, "u1"))
@@ -123,11 +124,14 @@ class ColumnwiseIndex:
             self._round(length, m)
 
     def _write(self, *arrays: np.ndarray) -> None:
+        self.written += 1
         for (name, kind), x in zip(self._KINDS.items(), arrays, strict=True):
-            x.astype(kind, copy=False).tofile(f"{self.folder}/{name}")
+            x.astype(kind, copy=False).tofile(f"{self.folder}/{name}-{self.written}")
+            if self.written > 1:
+                os.unlink(f"{self.folder}/{name}-{self.written - 1}")
 
     def read(self) -> tuple[np.ndarray, ...]:
-        return tuple(np.fromfile(f"{self.folder}/{name}", kind) for name, kind in self._KINDS.items())
+        return tuple(np.fromfile(f"{self.folder}/{name}-{self.written}", kind) for name, kind in self._KINDS.items())
 
     def _round(self, length: int, m: int) -> None:
         bwt, lcp, string, size = self.read()
