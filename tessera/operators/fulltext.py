@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .lineage import cut
 
 K1, B = 1.2, 0.75
 
@@ -27,7 +28,7 @@ def search(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key:
     terms = queries.select(F.col(query_key), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     wanted = terms.groupBy(query_key).agg(F.count("*").alias("need"))
     sizes = docs.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    found = postings(docs, key, text).join(terms.select("term").distinct(), "term", "left_semi")
+    found = cut(postings(docs, key, text).join(terms.select("term").distinct(), "term", "left_semi"))  # read twice below
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     # One row of statistics, joined on a constant.
     joined = found.join(df, "term").join(terms, "term").withColumn("one", F.lit(1)).join(F.broadcast(sizes.withColumn("one", F.lit(1))), "one")

@@ -60,3 +60,13 @@ def test_rank_all_counts_over_parts(spark):
 @pytest.mark.parametrize(("pattern", "path", "hit"), [("*.c", "a/b.c", True), ("build", "x/build/y", True), ("docs/**", "docs/a/b", True), ("**/x/**", "a/x/b", True), ("a/*", "a/b/c", False), ("*.c", "a/b.cc", False)])
 def test_globs(spark, pattern, path, hit):
     assert spark.createDataFrame([(path,)], "p string").select(tx.matches_any(F.col("p"), [pattern])).first()[0] is hit
+
+
+def test_conditions(spark):
+    from tessera.functions.conditions import compile_condition
+
+    df = spark.createDataFrame([(True, None), (False, None)], "a boolean, b boolean")
+    v = compile_condition("(A || B) && !(C && not A)", {"A": F.col("a"), "B": F.col("b")})
+    assert [r[0] for r in df.select(v).collect()] == [True, None]
+    with pytest.raises(ValueError, match="open"):
+        compile_condition("(A", {})
