@@ -95,22 +95,26 @@ def components(scratch: Scratch, edges: DataFrame, name: str, most_rounds: int =
 GROUP = 4096
 
 
-def in_blocks(scratch: Scratch, rows: DataFrame, keys: list[str], member: str, name: str, most: int = GROUP) -> DataFrame:
+def in_blocks(scratch: Scratch, rows: DataFrame, keys: list[str], member: str, name: str, most: int = GROUP, weight: str | None = None, most_weight: int = 1 << 20, carried: DataFrame | None = None) -> DataFrame:
     """Deals members of groups to (keys, block pair); lone members go.
 
     ``rows`` is a written table. A group over ``most`` members is cut into blocks by the member's hash
     and each member goes to all pairs with its own block, so that every two
-    members meet in some task, which never holds over about 2 x ``most`` rows.
-    Adds ``block_a``, ``block_b`` and ``own``.
+    members meet in some task, which never holds over about 2 x ``most`` rows,
+    nor, of the column ``weight``, a sum over about 2 x ``most_weight``.
+    Adds ``block_a``, ``block_b`` and ``own``, and what ``carried`` has for the member.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("members")).filter("members > 1")
+    heavy = F.sum(weight) / most_weight if weight else F.lit(0.0)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("members"), heavy.alias("heavy")).filter("members > 1")
     sizes = scratch.table(sizes, f"{name}-sizes")
-    dealt = rows.join(sizes, keys).withColumn("cuts", F.ceil(F.col("members") / most).cast("int"))
+    dealt = rows.join(sizes, keys).withColumn("cuts", F.ceil(F.greatest(F.col("members") / most, "heavy")).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(member), F.col("cuts").cast("bigint")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     dealt = dealt.withColumn("block_a", F.least("own", "other")).withColumn("block_b", F.greatest("own", "other"))
     every = [*keys, "block_a", "block_b"]
-    return dealt.drop("members", "cuts", "other").repartition(*every).sortWithinPartitions(*every)
+    if carried is not None:
+        dealt = dealt.join(carried, member)
+    return dealt.drop("members", "heavy", "cuts", "other").repartition(*every).sortWithinPartitions(*every)
 
 
 def groups(batches, n_keys: int):

@@ -239,70 +239,92 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "digest string, print bigint, n bigint, keys array<bigint>, rows binary")
 
 
+def near_sets(sets: list[np.ndarray], similarity: float):
+    """``near(i, others)``: whether exact Jaccard similarities of these sets reach
+    ``similarity``. Counts common items over the others' items or over the
+    holders of i's items, whichever are fewer."""
+    size = np.array([len(x) for x in sets], "i8")
+    end = np.cumsum(size)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype("i4")
+    held = np.bincount(ids)
+    stop = np.cumsum(held)
+    holder = np.repeat(np.arange(len(sets), dtype="i4"), size)[np.argsort(ids, kind="stable")]
+    marked = np.zeros(len(held), bool)
+
+    def items(ends, lengths, values):
+        skip = np.cumsum(lengths) - lengths
+        return values[np.repeat(ends - lengths - skip, lengths) + np.arange(lengths.sum())]
+
+    def near(i, o):
+        ok = np.minimum(size[o], size[i]) + 1e-9 >= similarity * np.maximum(size[o], size[i])
+        if not ok.any():
+            return ok
+        of, own = o[ok], ids[end[i] - size[i] : end[i]]
+        if held[own].sum() < size[of].sum():
+            both = np.bincount(items(stop[own], held[own], holder), minlength=len(size))[of]
+        else:
+            marked[own] = True
+            both = np.add.reduceat(marked[items(end[of], size[of], ids)], np.cumsum(size[of]) - size[of], dtype="i8")
+            marked[own] = False
+        ok[ok] = both + 1e-9 >= similarity * (size[of] + size[i] - both)
+        return ok
+
+    return near
+
+
 def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
     """(digest, component) of distinct texts of Jaccard similarity ``similarity``
     or more on k-word shingles, chained; texts alone in theirs are left out.
 
     At 0.8 on five-word shingles 64-bit fingerprints are 5 to 14 bits apart, too
     far for pigeonhole partitions to select anything, so texts meet under one of
-    ``KEYS`` minimum hashes (a pair at 0.8 misses all with chance 0.2^6); SimHash
-    distance and the sketch choose links among all members of a group, and the
-    exact similarity of both whole texts decides each link. In a group of up to
-    ``FEW`` texts all pairs near the threshold are decided so; in a larger one a
-    forest of links is (its sketch similarity has a standard error of 0.018).
+    ``KEYS`` minimum hashes (a pair at 0.8 misses all with chance 0.2^6). The
+    exact similarity of whole texts decides each link inside the group, so a
+    member stays in the search until a true link reaches it. In a group of up to
+    ``FEW`` texts SimHash distance and the sketch rule out pairs first.
     """
     hashed = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.col("text").cast("string").alias("text"))
     one = _profiles(hashed, k).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("print", "n", "keys", "rows")])
     profiles = scratch.table(one, "profiles")
-    keyed = profiles.select("digest", F.posexplode("keys").alias("place", "key"), "print", "n", "rows")
-    dealt = common.in_blocks(scratch, keyed, ["place", "key"], "digest", "keyed").select("place", "key", "block_a", "block_b", "digest", "print", "n", "rows")
+    keyed = profiles.select("digest", F.posexplode("keys").alias("place", "key"), "n")
+    met = keyed.join(keyed.groupBy("place", "key").agg(F.count("*").alias("members")).filter("members > 1"), ["place", "key"])
+    met = scratch.table(met.select("digest", "place", "key", "n"), "met")
+    wanted = met.select("digest").distinct()
+    texts = hashed.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+
+    def shingles(batches):
+        for batch in batches:
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([np.unique(shingle_hashes(text, k)).tobytes()], pa.binary())], ["digest", "shingles"])
 
-    def choose(batches):
+    sets = scratch.table(texts.mapInArrow(shingles, "digest string, shingles binary"), "sets").join(profiles.select("digest", "print", "rows"), "digest")
+    dealt = common.in_blocks(scratch, met, ["place", "key"], "digest", "met", weight="n", carried=sets).select("place", "key", "block_a", "block_b", "digest", "shingles", "print", "rows")
+
+    def decide(batches):
         for batch in common.groups(batches, 4):
             starts = common.starts_of(batch, 4)
             ends = np.append(starts[1:], batch.num_rows)
-            prints, sizes, digests = batch.column(5).to_numpy().view("<u8"), batch.column(6).to_numpy(), batch.column(4)
-            rows = np.frombuffer(b"".join(batch.column(7).to_pylist()), "u1").reshape(-1, ROWS)
+            digests, sets = batch.column(4), batch.column(5)
+            prints, rows = batch.column(6).to_numpy().view("<u8"), np.frombuffer(b"".join(batch.column(7).to_pylist()), "u1").reshape(-1, ROWS)
             out = []
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                p, n, r = prints[a:b], sizes[a:b], rows[a:b]
+                if b - a < 2:
+                    continue
+                near = near_sets([np.frombuffer(s.as_buffer(), "<u8") for s in sets.slice(a, b - a)], similarity)
 
-                def near(i, o, p=p, n=n, r=r, less=0.02):
-                    ok = np.bitwise_count(p[o] ^ p[i]) <= radius
-                    ok &= np.minimum(n[o], n[i]) >= similarity * np.maximum(n[o], n[i])
-                    if at := np.flatnonzero(ok).tolist():
-                        ok[at] = (r[o[at]] == r[i]).mean(1) >= similarity - less
+                def likely(i, o, near=near, p=prints[a:b], r=rows[a:b]):
+                    ok = (np.bitwise_count(p[o] ^ p[i]) <= radius) & ((r[o] == r[i]).mean(1) >= similarity - 0.1)
+                    ok[ok] = near(i, o[ok])
                     return ok
 
-                if b - a > FEW:
-                    out += [(a + i, a + j) for i, j in common.forest(b - a, near)]
-                else:  # few: every pair that the sketch does not rule out
-                    for i in range(b - a - 1):
-                        others = np.arange(i + 1, b - a)
-                        out += [(a + i, a + j) for j in others[near(i, others, less=0.1)].tolist()]
+                out += [(a + i, a + j) for i, j in common.forest(b - a, near if b - a > FEW else likely)]
             if out:
                 u, v = np.array(out).T
                 yield pa.RecordBatch.from_arrays([digests.take(pa.array(u)), digests.take(pa.array(v))], ["u", "v"])
 
-    chosen = dealt.mapInArrow(choose, "u string, v string")
-    chosen = scratch.table(chosen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "chosen")
-    wanted = chosen.select(F.explode(F.array("u", "v")).alias("digest")).distinct()
-    texts = scratch.table(hashed.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
-    pairs = chosen.join(texts.select(F.col("digest").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("digest").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
-
-    def verify(batches):
-        for batch in batches:
-            last, keep = (None, None), []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x = last[1] if last[0] == a else np.unique(shingle_hashes(a, k))
-                last, y = (a, x), np.unique(shingle_hashes(b, k))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    sure = scratch.table(pairs.mapInArrow(verify, "u string, v string"), "sure")
+    sure = scratch.table(dealt.mapInArrow(decide, "u string, v string"), "sure")
     out = common.components(scratch, sure, "texts")
-    scratch.drop("profiles", "keyed-sizes", "chosen", "texts", "sure")
+    scratch.drop("profiles", "met", "met-sizes", "sets", "sure")
     return out.select(F.col("node").alias("digest"), "component")
 
 
