@@ -195,7 +195,7 @@ def link(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 
 # --- near-duplicate texts by shingle similarity -------------------------------------------
 
-KEYS, ROWS, FEW = 6, 512, 32
+KEYS = 6
 _RNG = np.random.default_rng(7)
 _KEY_MULTIPLIERS = _RNG.integers(1, 2**63, KEYS, dtype="u8") * np.uint64(2) + np.uint64(1)
 
@@ -205,18 +205,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
-    """``KEYS`` minimum hashes, and ``ROWS`` bytes that two texts share in
-    proportion to their similarity (one-permutation minima, empty bins filled
-    from the next one)."""
-    keys = [int((_mix(hashes * m)).min()) for m in _KEY_MULTIPLIERS]
-    mixed = _mix(hashes ^ (hashes >> np.uint64(31)))
-    order = np.sort(mixed)
-    bins = (order >> np.uint64(64 - 9)).astype("i8")
-    firsts, at = np.unique(bins, return_index=True)
-    slots = np.searchsorted(firsts, np.arange(ROWS)) % len(firsts)
-    distance = (firsts[slots] - np.arange(ROWS)) % ROWS
-    return keys, ((order[at][slots] >> np.uint64(20)).astype("u8") + distance.astype("u8") * np.uint64(37)).astype("u1").tobytes()
+def minimum_hashes(hashes: np.ndarray) -> list[int]:
+    return [int((_mix(hashes * m)).min()) for m in _KEY_MULTIPLIERS]
 
 
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
@@ -228,15 +218,12 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
             for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if digest not in rows and len(h := shingle_hashes(text, k)):
                     unique = np.unique(h)
-                    rows[digest] = (digest, fingerprint(unique), len(unique), *sketch(unique))
+                    rows[digest] = (digest, len(unique), minimum_hashes(unique))
             if rows:
                 c = list(zip(*rows.values(), strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[0]), pa.array(np.array(c[1], "<u8").view("<i8")), pa.array(c[2], pa.int64()), pa.array([np.array(x, "u8").view("i8").tolist() for x in c[3]], pa.list_(pa.int64())), pa.array(c[4], pa.binary())],
-                    ["digest", "print", "n", "keys", "rows"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1], pa.int64()), pa.array([np.array(x, "u8").view("i8").tolist() for x in c[2]], pa.list_(pa.int64()))], ["digest", "n", "keys"])
 
-    return docs.mapInArrow(run, "digest string, print bigint, n bigint, keys array<bigint>, rows binary")
+    return docs.mapInArrow(run, "digest string, n bigint, keys array<bigint>")
 
 
 def near_sets(sets: list[np.ndarray], similarity: float):
@@ -272,19 +259,19 @@ def near_sets(sets: list[np.ndarray], similarity: float):
     return near
 
 
-def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
+def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(digest, component) of distinct texts of Jaccard similarity ``similarity``
     or more on k-word shingles, chained; texts alone in theirs are left out.
 
     At 0.8 on five-word shingles 64-bit fingerprints are 5 to 14 bits apart, too
     far for pigeonhole partitions to select anything, so texts meet under one of
     ``KEYS`` minimum hashes (a pair at 0.8 misses all with chance 0.2^6). The
-    exact similarity of whole texts decides each link inside the group, so a
-    member stays in the search until a true link reaches it. In a group of up to
-    ``FEW`` texts SimHash distance and the sketch rule out pairs first.
+    exact similarity of whole texts decides each link inside the group, with no
+    estimate before it, so a member stays in the search until a true link
+    reaches it.
     """
     hashed = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.col("text").cast("string").alias("text"))
-    one = _profiles(hashed, k).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("print", "n", "keys", "rows")])
+    one = _profiles(hashed, k).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "keys")])
     profiles = scratch.table(one, "profiles")
     keyed = profiles.select("digest", F.posexplode("keys").alias("place", "key"), "n")
     met = keyed.join(keyed.groupBy("place", "key").agg(F.count("*").alias("members")).filter("members > 1"), ["place", "key"])
@@ -294,30 +281,22 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 5, similarity: f
 
     def shingles(batches):
         for batch in batches:
-            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([np.unique(shingle_hashes(text, k)).tobytes()], pa.binary())], ["digest", "shingles"])
+            sets = [np.unique(shingle_hashes(t, k)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["digest", "shingles"])
 
-    sets = scratch.table(texts.mapInArrow(shingles, "digest string, shingles binary"), "sets").join(profiles.select("digest", "print", "rows"), "digest")
-    dealt = common.in_blocks(scratch, met, ["place", "key"], "digest", "met", weight="n", carried=sets).select("place", "key", "block_a", "block_b", "digest", "shingles", "print", "rows")
+    sets = scratch.table(texts.mapInArrow(shingles, "digest string, shingles binary"), "sets")
+    dealt = common.in_blocks(scratch, met, ["place", "key"], "digest", "met", weight="n", carried=sets).select("place", "key", "block_a", "block_b", "digest", "shingles")
 
     def decide(batches):
         for batch in common.groups(batches, 4):
             starts = common.starts_of(batch, 4)
             ends = np.append(starts[1:], batch.num_rows)
             digests, sets = batch.column(4), batch.column(5)
-            prints, rows = batch.column(6).to_numpy().view("<u8"), np.frombuffer(b"".join(batch.column(7).to_pylist()), "u1").reshape(-1, ROWS)
             out = []
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                if b - a < 2:
-                    continue
-                near = near_sets([np.frombuffer(s.as_buffer(), "<u8") for s in sets.slice(a, b - a)], similarity)
-
-                def likely(i, o, near=near, p=prints[a:b], r=rows[a:b]):
-                    ok = (np.bitwise_count(p[o] ^ p[i]) <= radius) & ((r[o] == r[i]).mean(1) >= similarity - 0.1)
-                    ok[ok] = near(i, o[ok])
-                    return ok
-
-                out += [(a + i, a + j) for i, j in common.forest(b - a, near if b - a > FEW else likely)]
+                if b - a > 1:
+                    near = near_sets([np.frombuffer(s.as_buffer(), "<u8") for s in sets.slice(a, b - a)], similarity)
+                    out += [(a + i, a + j) for i, j in common.forest(b - a, near)]
             if out:
                 u, v = np.array(out).T
                 yield pa.RecordBatch.from_arrays([digests.take(pa.array(u)), digests.take(pa.array(v))], ["u", "v"])

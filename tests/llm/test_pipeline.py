@@ -43,3 +43,12 @@ def test_near_duplicates_of_a_large_group_equal_brute_force(spark):
         texts.append(" ".join(words))
     got, want = _kept(spark, texts)
     assert got == want
+
+
+def test_near_duplicates_of_short_texts_equal_brute_force(spark):
+    texts = []
+    for p in range(60):  # pairs at exactly 0.8, of 4 and 5 or 16 and 20 shingles
+        words = [f"p{p}x{k}" for k in range(9 if p % 2 else 24)]
+        texts += [" ".join(words), " ".join(words[: 8 if p % 2 else 20])]
+    got, want = _kept(spark, texts)
+    assert got == want and len(want) == 60
