@@ -44,25 +44,51 @@ def best_replacement(replacements: DataFrame) -> DataFrame:
     return replacements.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def resolve(pairs: DataFrame, most: int = 32) -> DataFrame:
+def resolve(pairs: DataFrame, most: int | None = None) -> DataFrame:
     """(old_id, final_id, hops): replacement chains followed to their end.
 
     Pointer jumping: each round doubles the reach, so rounds grow with the
-    logarithm of the longest chain, and ends once nothing moves; each round ends
-    its lineage, else plans would double with it. An object on a loop keeps its
-    last stop.
+    logarithm of the longest chain; each round ends its lineage, else plans would
+    double with it. While a chain is unfinished some row of it finishes in each
+    round, so a round that finishes none leaves only rows that lead to loops.
+    These stop before the first object they would visit again. Chains of any
+    length are followed; if ``most`` is given, one of more hops is an error.
     """
-    now = pairs.select("old_id", F.col("new_id").alias("final_id"), F.lit(1).alias("hops"))
-    for _ in range(max(1, (most - 1).bit_length())):
+    now, before = pairs.select("old_id", F.col("new_id").alias("final_id"), F.lit(1).alias("hops")), None
+    for _ in range(64):
         step = now.select(F.col("old_id").alias("final_id"), F.col("final_id").alias("_next"), F.col("hops").alias("_more"))
+        go = F.col("_next").isNotNull()
         joined = now.join(step, "final_id", "left")
-        go = F.col("_next").isNotNull() & (F.col("_next") != F.col("old_id"))
         now = cut(joined.select("old_id", F.when(go, F.col("_next")).otherwise(F.col("final_id")).alias("final_id"), (F.col("hops") + F.when(go, F.col("_more")).otherwise(0)).alias("hops"), go.alias("_moved")))
-        moved = now.filter("_moved").limit(1).count()
-        now = now.drop("_moved")
+        moved = now.filter("_moved").count()
+        ended = now.filter("not _moved").drop("_moved")
         if not moved:
             break
-    return now
+        if moved == before:
+            ended = ended.unionByName(_around(pairs.join(now.filter("_moved").select("old_id"), "old_id", "left_semi"), moved))
+            break
+        now, before = now.drop("_moved"), moved
+    else:
+        raise RuntimeError("replacement chains did not end in 64 rounds")
+    if most is not None and ended.filter(F.col("hops") > most).limit(1).count():
+        raise ValueError(f"a replacement chain has more than {most} hops")
+    return ended
+
+
+def _around(pairs: DataFrame, total: int) -> DataFrame:
+    """``resolve`` for ``total`` replacements that all lead to loops."""
+    now = pairs.select("old_id", F.col("new_id").alias("far"), F.col("old_id").alias("least"))
+    for _ in range((total - 1).bit_length()):
+        step = now.select(F.col("old_id").alias("far"), F.col("far").alias("_far"), F.col("least").alias("_least"))
+        now = cut(now.join(step, "far").select("old_id", F.col("_far").alias("far"), F.least("least", "_least").alias("least")))
+    # After ``total`` steps every row is on a loop, and those on one have seen all of it.
+    on = now.select(F.col("far").alias("old_id")).distinct()
+    ring = cut(pairs.join(on, "old_id", "left_semi").join(now.select("old_id", "least"), "old_id"))
+    sizes = ring.groupBy("least").agg(F.count("*").cast("int").alias("_size"))
+    stops = ring.join(sizes, "least").select(F.col("new_id").alias("_entry"), F.col("old_id").alias("final_id"), F.col("_size"))
+    entries = ring.select("old_id", F.col("old_id").alias("_entry"), F.lit(0).alias("_hops"))
+    tails = resolve(pairs.join(on, "old_id", "left_anti")).select("old_id", F.col("final_id").alias("_entry"), F.col("hops").alias("_hops"))
+    return entries.unionByName(tails).join(stops, "_entry").select("old_id", "final_id", (F.col("_hops") + F.col("_size") - 1).alias("hops"))
 
 
 def redirect_edges(edges: DataFrame, nodes: DataFrame, moved: DataFrame) -> DataFrame:

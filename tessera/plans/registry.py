@@ -169,7 +169,7 @@ def part_pairs(spark, sf_dir):
 
 @query("SELECT p_partkey AS old_id, max(p_partkey) OVER w AS final_id, count(*) OVER w - 1 AS hops FROM part WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_partkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) QUALIFY final_id <> old_id")
 def c2_resolve_replacements(spark, sf_dir):
-    return layers.resolve(part_pairs(spark, sf_dir), most=1024).select("old_id", "final_id", n("hops"))
+    return layers.resolve(part_pairs(spark, sf_dir)).select("old_id", "final_id", n("hops"))
 
 
 @query("SELECT o_custkey AS old_id, o_orderkey AS replacement_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
@@ -190,7 +190,7 @@ def c5_c6_logical_view(spark, sf_dir):
  SELECT l_suppkey AS src, final_id AS dst, count(*) AS edges FROM lineitem JOIN moved ON l_partkey = old_id WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2""")
 def c7_redirected_relations(spark, sf_dir):
     edges = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
-    moved = layers.resolve(part_pairs(spark, sf_dir), most=1024).select(F.concat(F.lit("p"), "old_id").alias("old_id"), F.concat(F.lit("p"), "final_id").alias("final_id"))
+    moved = layers.resolve(part_pairs(spark, sf_dir)).select(F.concat(F.lit("p"), "old_id").alias("old_id"), F.concat(F.lit("p"), "final_id").alias("final_id"))
     nodes = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node")).union(read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey")))
     got = layers.redirect_edges(edges, nodes, moved)
     return got.groupBy(F.substring("src", 2, 20).cast("long").alias("src"), F.substring("dst", 2, 20).cast("long").alias("dst")).agg(F.count("*").alias("edges"))

@@ -22,6 +22,22 @@ def test_chains_and_loops(spark):
     assert got["a"] == got["b"] == "c" and {got["x"], got["y"]} <= {"x", "y"}
 
 
+def test_chains_of_any_length_and_loops_equal_a_walk(spark):
+    to = {k: k + 1 for k in range(1500)}  # a chain of 1,500 hops
+    to |= {2000 + k: 2000 + (k + 1) % 7 for k in range(7)} | {3000: 3001, 3001: 2003, 3002: 2003, 4000: 4000, 4001: 4000, 5000: 5001, 5001: 5000}
+    want = {}
+    for start in to:
+        at, seen = start, {start}
+        while at in to and to[at] not in seen:
+            at = to[at]
+            seen.add(at)
+        want[start] = (at, len(seen) - 1)
+    pairs = spark.createDataFrame(list(to.items()), "old_id long, new_id long")
+    assert {r["old_id"]: (r["final_id"], r["hops"]) for r in layers.resolve(pairs).collect()} == want
+    with pytest.raises(ValueError, match="more than 1024"):
+        layers.resolve(pairs, most=1024)
+
+
 def test_diff_is_null_safe(spark):
     old = spark.createDataFrame([(1, None), (2, "b"), (3, "c")], "k int, d string")
     new = spark.createDataFrame([(1, None), (2, "B"), (4, "d")], "k int, d string")
