@@ -133,3 +133,18 @@ def test_weak_labels_tell_bad_texts():
 def test_crc_is_unsigned_little_endian():
     ids = np.array([1, 2, 65536], "<u4")
     assert zlib.crc32(ids.tobytes()) >= 0 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_seeds_find_passages_of_many_single_word_changes():
+    rng = random.Random(11)
+    for size, every in ((60, 8), (60, 6), (60, 5), (120, 6), (200, 5)):
+        passage = [f"w{rng.randint(0, 10**6)}" for _ in range(size)]
+        other = [w if k % every else f"x{k}" for k, w in enumerate(passage)]
+        ha = passages._hashes(" ".join([f"a{k}" for k in range(40)] + passage + [f"b{k}" for k in range(30)]))
+        hb = passages._hashes(" ".join([f"c{k}" for k in range(10)] + other + [f"d{k}" for k in range(50)]))
+        (xa, pa), (xb, pb) = passages.seeds(ha), passages.seeds(hb)
+        at = {int(x): int(p) for x, p in zip(xb, pb, strict=True)}
+        pairs = [(int(p), at[int(x)]) for x, p in zip(xa, pa, strict=True) if int(x) in at]
+        assert len(pairs) >= 7
+        best = passages.chains(passages.segments(*map(np.array, zip(*pairs, strict=True))))[0]
+        assert any(e - p >= size - 6 and s >= 0.8 for p, e, _, _, s in passages.align(ha, hb, best))
