@@ -148,3 +148,10 @@ def test_seeds_find_passages_of_many_single_word_changes():
         assert len(pairs) >= 7
         best = passages.chains(passages.segments(*map(np.array, zip(*pairs, strict=True))))[0]
         assert any(e - p >= size - 6 and s >= 0.8 for p, e, _, _, s in passages.align(ha, hb, best))
+
+
+def test_star_links_the_first_and_the_previous_holder():
+    seed, doc = np.full(4, 7, "u4"), np.array([30, 10, 20, 40], "i8")
+    text, at = np.array([3, 1, 2, 1], "i4"), np.array([5, 6, 7, 6], "i4")  # the last is a copy of text 1
+    u, v = passages.star(seed, doc, text, at)
+    assert {(int(doc[a]), int(doc[b])) for a, b in zip(u, v, strict=True)} == {(20, 10), (30, 10), (30, 20)}
