@@ -8,10 +8,10 @@ Posterior labels of a bounded sample (``SAMPLE`` rows by the hash of the text)
 train a logistic scorer on hashed word shapes and words, which scores all
 documents. No gold label is used.
 
-Defined results: null, empty and wordless texts have no feature and are judged
-by the bias and their votes' posterior (bad); null and repeated doc_ids are
+Defined results: null, empty and wordless texts have no feature and score 0; null and repeated doc_ids are
 rows like others; an empty table gives no rows; extra columns are not read by
-``scores`` and kept by ``keep``; a score of exactly the threshold is kept.
+``scores`` and kept by ``keep``; a score of exactly the threshold is kept (ties), equal texts score
+alike; very long texts are judged whole, their features being counts.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from .hashing import _slot, word_hashes
 SAMPLE, BITS, THRESHOLD = 12_000, 18, 0.5
 #: Frequent words of running prose (fixed values).
 FUNCTION_WORDS = frozenset("the of and to in a is that for on with as was it by la le les de et des que der die und das von zu el los en y con del".split())
-#: The most a labeller is taken to call good texts bad: narrow detectors little, broad ones more.
+#: Prior means: how often a labeller calls good texts bad (narrow detectors little, broad ones more), how often it finds
+#: texts bad in its own way, the share of good texts; and what the priors are worth in shares of the documents.
 FALSE_ALARM = np.array([0.0005, 0.0005, 0.0005, 0.0005, 0.2, 0.0005, 0.3])
+FOUND, GOOD, PRIOR = 0.9, 0.85, 0.05
 LABELLERS = ("signs", "capitals", "cells", "marks", "function words", "variety", "length")
 _SIGN, _LETTER = re.compile(r"[^\w\s.,;:'\"!?()-]"), re.compile(r"[^\W\d_]")
 _END = re.compile(r"([^\w\s.,;:)'\"]+)(?:\s|$)")
@@ -53,40 +55,54 @@ def votes(text: str | None) -> tuple[int, ...]:
     return (between(signs, 0.05, 0.3), between(upper, 0.1, 0.4), between(cells, 0.02, 0.2), between(marks, 0.1, 0.4), between(-known, -0.1, -0.02), -1 if n < 50 else between(-variety, -0.3, -0.15), 0 if n < 3 else -1)
 
 
-def weak_labels(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
-    """Posterior of "good" by pattern, and each labeller's estimated accuracy.
+def weak_labels(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+    """Posterior of "good" by pattern, and each labeller's estimated accuracy on
+    good and on bad texts.
 
-    Labellers are taken as independent given the class; what they abstain on
-    says nothing. A bad text mostly fails one of them, so accuracy on the bad
-    stays within 0.2 and 0.5; on the good within 1 - ``FALSE_ALARM`` and 1 - a quarter of it, which fixes which
-    class is the good one.
+    A bad text mostly fails one labeller, so there is one class of good texts and
+    a class of bad ones for each labeller; within a class votes are taken as
+    independent, and an abstention says nothing. Accuracies and shares are
+    maximum a posteriori estimates: Beta priors (on good texts ``FALSE_ALARM``,
+    in a bad class ``FOUND`` for its own labeller), worth ``PRIOR`` of the
+    documents, tell which class is which, since votes alone can't; beyond that
+    the votes decide, within no bounds.
     """
     v = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], "f8")
     k = v.shape[1]
-    right_on = np.array([1 - FALSE_ALARM[:k], np.full(k, 0.3)])  # accuracy on the good, on the bad
-    share = 0.85
+    # How likely a class's texts are to pass each labeller: the good class, then one bad class a labeller.
+    mean = np.tile(1 - FALSE_ALARM[:k], (1 + k, 1))
+    mean[1 + np.arange(k), np.arange(k)] = 1 - FOUND
+    first = np.r_[GOOD, np.full(k, (1 - GOOD) / k)]
+    worth = (PRIOR * n.sum() * first + 2)[:, None]
+    passes, share = mean.copy(), first
     for _ in range(rounds):
-        on_good = np.where(v == 1, np.log(right_on[0]), np.where(v == 0, np.log(1 - right_on[0]), 0)).sum(1) + np.log(share)
-        on_bad = np.where(v == 0, np.log(right_on[1]), np.where(v == 1, np.log(1 - right_on[1]), 0)).sum(1) + np.log(1 - share)
-        post = 1 / (1 + np.exp(np.clip(on_bad - on_good, -50, 50)))
-        w1, w0 = n * post, n * (1 - post)
-        for c, w, right in ((0, w1, 1), (1, w0, 0)):
-            hit, said = (w[:, None] * (v == right)).sum(0), (w[:, None] * (v >= 0)).sum(0)
-            low = 1 - FALSE_ALARM[:k] if c == 0 else 0.2
-            right_on[c] = np.clip((hit + 1) / (said + 2), low, 1 - FALSE_ALARM[:k] / 4 if c == 0 else 0.5)
-        share = min(0.99, max(0.01, w1.sum() / n.sum()))
-    return {tuple(p): float(x) for (p, _), x in zip(patterns, post, strict=True)}, right_on
+        odds = (v == 1) @ np.log(passes).T + (v == 0) @ np.log(1 - passes).T + np.log(share)
+        odds = np.exp(odds - odds.max(1, keepdims=True))
+        post = odds / odds.sum(1, keepdims=True)
+        w = n[:, None] * post
+        passes = (w.T @ (v == 1) + worth * mean) / (w.T @ (v >= 0) + worth)
+        share = (w.sum(0) + worth[:, 0] * first) / (n.sum() + (worth[:, 0] * first).sum())
+        share = share / share.sum()
+    bad = share[1:] / share[1:].sum()
+    return {tuple(p): float(x) for (p, _), x in zip(patterns, post[:, 0], strict=True)}, np.array([passes[0], bad @ (1 - passes[1:])])
+
+
+class _Kinds(dict):
+    """Each letter's kind; other signs are themselves."""
+
+    def __missing__(self, at: int) -> str:
+        c = chr(at)
+        self[at] = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
+        return self[at]
+
+
+_KINDS, _RUN = _Kinds(), re.compile(r"(.)\1+", re.DOTALL)
 
 
 def shape(word: str) -> str:
     """Kinds of letters without repeats, and other signs as they are: "Word," -> "Aa,"."""
-    out = ""
-    for c in word[:24]:
-        c = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
-        if c != out[-1:]:
-            out += c
-    return out
+    return _RUN.sub(r"\1", word.translate(_KINDS))
 
 
 _SHAPES: dict[str, str] = {}
