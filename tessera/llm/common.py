@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -38,9 +39,30 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+_LEFT: dict[str, SparkSession] = {}
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Has ``path`` removed when the driver ends, as results are read late."""
+    if not _LEFT:
+        atexit.register(clean_up)
+    _LEFT[path] = spark
+
+
+def clean_up() -> None:
+    """Removes all scratch tables of this driver; results that read them are void then."""
+    while _LEFT:
+        path, spark = _LEFT.popitem()
+        try:
+            remove(spark, path)
+        except Exception:  # the JVM may be gone already
+            return
+
+
 class Scratch:
     """Written tables in the shared folder: lineage ends there, and a lost
-    executor costs only the tasks that read its part again."""
+    executor costs only the tasks that read its part again. What an operator
+    does not drop itself goes when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
@@ -50,12 +72,20 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[name] = path
+        remove_at_exit(self.spark, path)
         return out
 
     def drop(self, *names: str) -> None:
         for name in names:
             if path := self.paths.pop(name, None):
                 remove(self.spark, path)
+                _LEFT.pop(path, None)
+
+
+def whole(docs: DataFrame, **keys) -> DataFrame:
+    """Each row of ``docs`` as one struct ``row`` beside the columns of ``keys``,
+    so that columns of any name come through joins unchanged."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in keys.items()])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

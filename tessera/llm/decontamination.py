@@ -25,6 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import Scratch
 
 BLOCK = 1_000_000
@@ -89,4 +90,4 @@ def _found(every: DataFrame, items: DataFrame, at_least: float, radius: int) ->
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """Documents without a window of any item."""
     dirty = matches(docs, items, **how).select(F.col("doc_id").alias("dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("dirty")), "left_anti")
+    return common.whole(docs, own=F.col("doc_id")).join(dirty, F.col("own").eqNullSafe(F.col("dirty")), "left_anti").select("row.*")

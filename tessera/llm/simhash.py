@@ -318,6 +318,7 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     classes = docs.select(digest.alias("digest"), "doc_id").groupBy("digest").agg(F.min(order).alias("best"))
     classes = scratch.table(classes.join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest")), "classes")
     kept = classes.groupBy("component").agg(F.min(F.struct("best.null", "best.doc_id", "digest")).alias("kept"))
-    kept = kept.select(F.col("kept.digest").alias("_digest"), F.col("kept.doc_id").alias("_doc_id"))
-    out = docs.withColumn("_own", digest).join(kept, F.col("_own") == F.col("_digest")).filter(F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    return out.dropDuplicates(["_own"]).select(*docs.columns)
+    kept = kept.select(F.col("kept.digest").alias("digest"), F.col("kept.doc_id").alias("first_id"))
+    rows = common.whole(docs, own=digest, id=F.col("doc_id"))
+    out = rows.join(kept, (F.col("own") == F.col("digest")) & F.col("id").eqNullSafe(F.col("first_id")))
+    return out.dropDuplicates(["own"]).select("row.*")
