@@ -147,6 +147,24 @@ def in_blocks(scratch: Scratch, rows: DataFrame, keys: list[str], member: str, n
     return dealt.drop("members", "heavy", "cuts", "other").repartition(*every).sortWithinPartitions(*every)
 
 
+def split_large(rows: DataFrame, large: DataFrame, keys: list[str], member: str, most: int) -> DataFrame:
+    """Like ``in_blocks`` for rows whose groups mostly are small: only groups in
+    ``large`` (keys, members) are cut, the others stay one block. ``large`` is
+    joined by whatever way its size allows."""
+    dealt = rows.join(large, keys, "left").withColumn("cuts", F.ceil(F.coalesce(F.col("members") / most, F.lit(1.0))).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(member), F.col("cuts").cast("bigint")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return dealt.withColumn("block_a", F.least("own", "other")).withColumn("block_b", F.greatest("own", "other")).drop("members", "cuts", "other")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished steps."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def groups(batches, n_keys: int):
     """Record batches sorted by their first ``n_keys`` columns, as one
     ``pyarrow.RecordBatch`` of whole groups after another."""

@@ -4,20 +4,25 @@ A vector is padded to a power of two, rotated by three rounds of random signs
 and the fast Hadamard transform, and hashed to its largest coordinate and that
 one's sign; ``hashes`` such values, chosen by the number of vectors so that a
 bucket holds a few, make a table's code. A vector is filed under its code and
-probes the codes in which one hash takes its runner-up (multiprobe). All members
-of a bucket are compared by exact cosine in double precision.
-
-Equal vectors are one class, so a vector of very many copies is one member.
-Buckets of any size are dealt out in block pairs; a task returns, for each
-member, the vectors linked to it, and a spanning forest, never all pairs. A pair
-is counted only in the first table and least bucket where it meets, which both
-members' codes tell.
+probes the code in which its least certain hash takes the runner-up
+(multiprobe). All members of a bucket are compared by exact cosine in double
+precision. The number of tables follows from ``recall``: enough that a pair at
+the threshold itself meets with that chance, for any number of hashes.
+
+Tables are worked off one after another, and a table's shuffle goes before the
+next one's, so that disk holds a vector about three times, however many tables
+there are. Equal vectors are one class, so a vector of very many copies is one
+member. Buckets of any size are dealt out in block pairs; a task returns, for
+each member, the vectors linked to it, and a spanning forest, never all pairs.
+A pair is counted only in the first table and least bucket where it meets,
+which both members' codes tell.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and are their own component; vectors of unequal
 length don't link; repeated vec_ids are separate vectors that share what is
 said of an id's component; a null vec_id is never a minimum; empty tables give
-no rows; extra columns are not read.
+no rows; extra columns are not read; a cosine of exactly the threshold links
+(ties); a cosine is worked out on whole vectors of any length.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common
 from .common import Scratch
 
-TABLES, BLOCK = 8, 1024
+RECALL, BLOCK = 0.995, 1024
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -45,16 +50,18 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def codes(vectors: np.ndarray, tables: int, hashes: int, seed: int = 42) -> np.ndarray:
-    """(rows, tables, 1 + hashes): each table's own code, then its probes."""
+def codes(vectors: np.ndarray, tables: range, hashes: int, seed: int = 42) -> np.ndarray:
+    """(rows, tables, 2): each table's own code, then its probe, in which the hash
+    whose two largest coordinates are closest takes the runner-up."""
     n, d = vectors.shape
     size = 1 << max(1, (d - 1).bit_length())
     padded = np.zeros((n, size))
     padded[:, :d] = vectors / np.abs(vectors).max(1, keepdims=True)
-    out = np.zeros((n, tables, 1 + hashes), "i8")
-    rng, rows = np.random.default_rng(seed), np.arange(n)
-    for t in range(tables):
-        digits = []
+    padded /= np.sqrt((padded * padded).sum(1, keepdims=True))
+    out, rows = np.zeros((n, len(tables), 2), "i8"), np.arange(n)
+    for k, t in enumerate(tables):
+        rng = np.random.default_rng([seed, t])
+        digits, gaps = [], []
         for _ in range(hashes):
             y = padded
             for _ in range(3):
@@ -62,15 +69,31 @@ def codes(vectors: np.ndarray, tables: int, hashes: int, seed: int = 42) -> np.n
             place = np.argpartition(-np.abs(y), 1, axis=1)[:, :2]
             swap = np.abs(y[rows, place[:, 0]]) < np.abs(y[rows, place[:, 1]])
             place[swap] = place[swap][:, ::-1]
-            digits.append(2 * place + (np.take_along_axis(y, place, 1) < 0))
-        for probe in range(1 + hashes):
-            code = np.zeros(n, "i8")
-            for k, digit in enumerate(digits):
-                code = code * (2 * size) + digit[:, 1 if probe == k + 1 else 0]
-            out[:, t, probe] = code
+            top = np.take_along_axis(y, place, 1)
+            digits.append(2 * place + (top < 0))
+            gaps.append(np.abs(top[:, 0]) - np.abs(top[:, 1]))
+        least = np.argmin(gaps, axis=0)
+        for j, digit in enumerate(digits):
+            out[:, k, 0] = out[:, k, 0] * (2 * size) + digit[:, 0]
+            out[:, k, 1] = out[:, k, 1] * (2 * size) + np.where(least == j, digit[:, 1], digit[:, 0])
     return out
 
 
+def tables_for(width: int, hashes: int, least: float, recall: float, trials: int = 4000) -> int:
+    """How many tables let a pair of cosine exactly ``least`` meet with chance
+    ``recall`` or more: from how often random such pairs meet in one."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(trials, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(trials, width))
+    y -= (y * x).sum(1, keepdims=True) * x
+    y = least * x + math.sqrt(1 - least * least) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    a, b = codes(x, range(1), hashes)[:, 0], codes(y, range(1), hashes)[:, 0]
+    met = ((a[:, 0] == b[:, 0]) | (a[:, 1] == b[:, 0]) | (a[:, 0] == b[:, 1])).mean()
+    met = max(met - 2 * math.sqrt(met * (1 - met) / trials), 1e-4)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+
 def _meet(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First table and least bucket in which the pairs (a, b) meet."""
     x, y = own[a], own[b]
@@ -80,51 +103,38 @@ def _meet(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
     return first, at[np.arange(len(a)), first]
 
 
-def link(vectors: DataFrame, least: float = 0.95, tables: int = TABLES) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row of ``vectors``."""
-    spark = vectors.sparkSession
-    common.tune(spark)
-    scratch = Scratch(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    sound = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("sound", sound).withColumn("digest", F.md5(F.to_json("v").cast("binary")))
-    good = rows.filter("sound")
-    classes = scratch.table(good.groupBy("digest").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id")), "classes")
-    total = classes.count()
-    widest = classes.agg(F.max(F.size("v"))).first()[0] or 1
-    width = 2 << max(1, (widest - 1).bit_length())
-    hashes = max(1, min(60 // width.bit_length(), round(math.log(max(2, total / 8)) / math.log(width))))
+def _file(t: int, hashes: int):
+    """Rows of one table: each vector under its own code and under its probe."""
 
-    def file(batches):
+    def run(batches):
         for batch in batches:
-            lists = batch.column(1)
-            sizes = lists.value_lengths().to_numpy()
+            sizes = batch.column(1).value_lengths().to_numpy()
             for d in np.unique(sizes).tolist():
-                some = np.flatnonzero(sizes == d)
-                part = batch.take(pa.array(some))
-                c = codes(part.column(1).flatten().to_numpy().reshape(-1, d), tables, hashes)
-                for t in range(tables):
-                    for probe in range(1 + hashes):
-                        n = len(some)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d, "i4")), pa.array(np.full(n, t, "i4")), pa.array(c[:, t, probe]), part.column(0), part.column(1), part.column(2), pa.array(np.full(n, probe == 0))], ["size", "place", "code", "digest", "v", "copies", "filed"])
-
-    filed = scratch.table(classes.select("digest", "v", "copies").mapInArrow(file, "size int, place int, code bigint, digest string, v array<double>, copies bigint, filed boolean"), "filed")
-    keys = ["size", "place", "code"]
-    dealt = common.in_blocks(scratch, filed, keys, "digest", "filed", BLOCK).select(*keys, "block_a", "block_b", "own", "digest", "v", "copies", "filed")
-
-    def verify(batches):
-        for batch in common.groups(batches, 5):
-            starts = common.starts_of(batch, 5)
+                part = batch.take(pa.array(np.flatnonzero(sizes == d)))
+                c = codes(part.column(1).flatten().to_numpy().reshape(-1, d), range(t, t + 1), hashes)[:, 0]
+                for probe in range(2):
+                    n = part.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d, "i4")), pa.array(c[:, probe].copy()), *part.columns, pa.array(np.full(n, probe == 0))], ["size", "code", "digest", "v", "copies", "filed"])
+
+    return run
+
+
+def _verify(t: int, tables: int, hashes: int, least: float):
+    """Links, by exact cosine, of sorted members of bucket blocks of table ``t``."""
+
+    def run(batches):
+        for batch in common.groups(batches, 4):
+            starts = common.starts_of(batch, 4)
             ends = np.append(starts[1:], batch.num_rows)
-            digest, copies = batch.column(6).to_pylist(), batch.column(8).to_numpy()
-            home = batch.column(9).to_numpy(zero_copy_only=False)
-            d, t, code, block_a, block_b, own = (batch.column(k).to_numpy() for k in range(6))
+            digest, copies = batch.column(5).to_pylist(), batch.column(7).to_numpy()
+            home = batch.column(8).to_numpy(zero_copy_only=False)
+            d, code, block_a, block_b, own = (batch.column(k).to_numpy() for k in range(5))
             out = []
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 if b - a < 2 or not home[a:b].any():
                     continue
-                x = batch.column(7).slice(a, b - a).flatten().to_numpy().reshape(-1, d[a])
-                x = x / np.abs(x).max(1, keepdims=True)
+                raw = batch.column(6).slice(a, b - a).flatten().to_numpy().reshape(-1, d[a]).astype("f8")
+                x = raw / np.abs(raw).max(1, keepdims=True)
                 x = x / np.sqrt((x * x).sum(1, keepdims=True))
                 near = np.triu(x @ x.T >= least, 1)
                 u, v = near.nonzero()
@@ -134,25 +144,61 @@ def link(vectors: DataFrame, least: float = 0.95, tables: int = TABLES) -> DataF
                 u, v = u[ok], v[ok]
                 if not len(u):
                     continue
-                every = codes(x, tables, hashes)
+                some = np.unique(np.r_[u, v])
+                every = np.zeros((b - a, tables, 2), "i8")
+                every[some] = codes(raw[some], range(tables), hashes)
                 first = np.zeros(len(u), bool)
                 for i in range(0, len(u), 100_000):
                     place, bucket = _meet(every, u[i : i + 100_000], v[i : i + 100_000])
-                    first[i : i + 100_000] = (place == t[a]) & (bucket == code[a])
-                links = np.bincount(u[first], copies[a + v[first]], b - a) + np.bincount(v[first], copies[a + u[first]], b - a)
+                    first[i : i + 100_000] = (place == t) & (bucket == code[a])
+                if not first.any():
+                    continue
+                u, v = u[first], v[first]
+                links = np.bincount(u, copies[a + v], b - a) + np.bincount(v, copies[a + u], b - a)
                 linked = np.zeros((b - a, b - a), bool)
                 linked[u, v] = linked[v, u] = True
                 partner = dict(_tree(linked))
-                for i in np.flatnonzero((links > 0) | linked.any(1)).tolist():
+                for i in np.flatnonzero(links > 0).tolist():
                     out.append((digest[a + i], int(links[i]), digest[a + partner[i]] if i in partner else None))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], ["u", "links", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["u", "links", "v"])
+
+    return run
 
-    found = scratch.table(dealt.mapInArrow(verify, "u string, links bigint, v string"), "found")
+
+def link(vectors: DataFrame, least: float = 0.95, recall: float = RECALL) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of each row of ``vectors``."""
+    spark = vectors.sparkSession
+    common.tune(spark)
+    scratch = Scratch(spark)
+    exact = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(exact).alias("v"))
+    sound = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
+    rows = rows.withColumn("sound", sound).withColumn("digest", F.unhex(F.md5(F.to_json("v").cast("binary"))))
+    good = rows.filter("sound")
+    classes = scratch.table(good.groupBy("digest").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id")), "classes")
+    total, widest = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    widest = widest or 1
+    width = 2 << max(1, (widest - 1).bit_length())
+    hashes = max(1, min(60 // width.bit_length(), round(math.log(max(2, total / 8)) / math.log(width))))
+    tables = tables_for(widest, hashes, least, recall)
+    found = None
+    for t in range(tables):
+        filed = classes.select("digest", "v", "copies").mapInArrow(_file(t, hashes), f"size int, code bigint, digest binary, v {exact}, copies bigint, filed boolean")
+        large = filed.groupBy("size", "code").agg(F.count("*").alias("members")).filter(F.col("members") > BLOCK)
+        large = scratch.table(large, f"large-{t}")
+        dealt = common.split_large(filed, large, ["size", "code"], "digest", BLOCK)
+        keys = ["size", "code", "block_a", "block_b"]
+        dealt = dealt.select(*keys, "own", "digest", "v", "copies", "filed").repartition(*keys).sortWithinPartitions(*keys)
+        part = scratch.table(dealt.mapInArrow(_verify(t, tables, hashes, least), "u binary, links bigint, v binary"), f"found-{t}")
+        found = part if found is None else found.union(part)
+        scratch.drop(f"large-{t}")
+        common.release(spark)
     parts = common.components(scratch, found.filter("v is not null").select("u", "v"), "vectors")
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
     home = classes.select("digest", "copies", "first_id").join(links, F.col("digest") == F.col("u"), "left").join(parts, F.col("digest") == F.col("node"), "left")
     home = scratch.table(home.select("digest", "first_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "digest").alias("component")), "home")
+    scratch.drop("classes", *[f"found-{t}" for t in range(tables)])
     ids = home.groupBy("component").agg(F.min("first_id").alias("component_id"))
     told = home.join(ids, "component").select("digest", "n_links", "component_id")
     out = good.select("vec_id", "digest").join(told, "digest").select("vec_id", "n_links", "component_id")

@@ -23,7 +23,6 @@ each other); an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import tempfile
@@ -198,12 +197,6 @@ def repeated(cores: list[bytes], lefts: list[bytes], rights: list[bytes], weight
     return out
 
 
-def _release(spark) -> None:
-    """Lets Spark delete shuffle files of finished steps."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _hashed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("raw"), F.unhex(F.md5(text)).alias("digest"))
@@ -301,24 +294,24 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     twice = every.groupBy("anchor").agg(F.sum("copies").alias("all")).filter("all > 1").select("anchor")
     some = scratch.table(every.join(twice, "anchor", "left_semi"), "repeated")
     scratch.drop("anchors")
-    _release(spark)
+    common.release(spark)
     reps = some.groupBy("anchor", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("digest", "doc_id", "first", "n", "rel")).alias("r"))
     reps = reps.select("anchor", "content", "copies", "r.*")
     cut = scratch.table(_cut(hashed, reps, length), "pieces")
-    _release(spark)
+    common.release(spark)
     merged = cut.groupBy("core", "before", "after").agg(F.sum("copies").alias("weight"))
     found = scratch.table(_index(merged), "flags")
-    _release(spark)
+    common.release(spark)
     told = cut.join(found, ["core", "before", "after"]).groupBy("anchor", "content").agg(F.collect_list(F.struct("shift", "flags")).alias("flags"))
     told = scratch.table(told, "told")
     scratch.drop("pieces", "flags")
-    _release(spark)
+    common.release(spark)
     members = some.select("anchor", "content", "digest", "first").distinct()
     runs = members.join(told, ["anchor", "content"]).select("digest", F.explode("flags").alias("f"), "first")
     runs = runs.groupBy("digest").agg(F.collect_list(F.struct((F.col("first") + F.col("f.shift")).alias("at"), F.col("f.flags").alias("flags"))).alias("runs"))
     out = scratch.table(runs, "runs")
     scratch.drop("repeated", "told")
-    _release(spark)
+    common.release(spark)
     return out
 
 
