@@ -82,6 +82,8 @@ def codes(vectors: np.ndarray, tables: range, hashes: int, seed: int = 42) -> np
 def tables_for(width: int, hashes: int, least: float, recall: float, trials: int = 4000) -> int:
     """How many tables let a pair of cosine exactly ``least`` meet with chance
     ``recall`` or more: from how often random such pairs meet in one."""
+    if width < 2:
+        return 1
     rng = np.random.default_rng(5)
     x = rng.normal(size=(trials, width))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -32,7 +32,7 @@ FUNCTION_WORDS = frozenset("the of and to in a is that for on with as was it by
 #: Prior means: how often a labeller calls good texts bad (narrow detectors little, broad ones more), how often it finds
 #: texts bad in its own way, the share of good texts; and what the priors are worth in shares of the documents.
 FALSE_ALARM = np.array([0.0005, 0.0005, 0.0005, 0.0005, 0.2, 0.0005, 0.3])
-FOUND, GOOD, PRIOR = 0.9, 0.85, 0.05
+FOUND, GOOD, PRIOR = 0.9, 0.85, 1.0
 LABELLERS = ("signs", "capitals", "cells", "marks", "function words", "variety", "length")
 _SIGN, _LETTER = re.compile(r"[^\w\s.,;:'\"!?()-]"), re.compile(r"[^\W\d_]")
 _END = re.compile(r"([^\w\s.,;:)'\"]+)(?:\s|$)")
@@ -82,7 +82,7 @@ def weak_labels(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200)
         post = odds / odds.sum(1, keepdims=True)
         w = n[:, None] * post
         passes = (w.T @ (v == 1) + worth * mean) / (w.T @ (v >= 0) + worth)
-        share = (w.sum(0) + worth[:, 0] * first) / (n.sum() + (worth[:, 0] * first).sum())
+        share = w.sum(0) + PRIOR * n.sum() * first
         share = share / share.sum()
     bad = share[1:] / share[1:].sum()
     return {tuple(p): float(x) for (p, _), x in zip(patterns, post[:, 0], strict=True)}, np.array([passes[0], bad @ (1 - passes[1:])])

@@ -56,5 +56,25 @@ def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+SQL = {
+    "op5_decontamination": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+ ds AS (SELECT r, doc_id, list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k : k + 4], ' ')) AS s FROM d WHERE len(w) > 0), ib AS (SELECT item_id, list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k : k + 4], ' ')) AS s FROM i WHERE len(w) > 0),
+ dp AS (SELECT r, unnest(s) AS g, unnest(range(len(s))) AS p FROM ds), ip AS (SELECT item_id, len(s) AS size, unnest(s) AS g, unnest(range(len(s))) AS q FROM ib),
+ st AS (SELECT DISTINCT dp.r, item_id, greatest(0, least(p - q, len(ds.s) - size)) AS start FROM dp JOIN ip USING (g) JOIN ds ON ds.r = dp.r),
+ win AS (SELECT doc_id, st.item_id, start, ds.s[start + 1 : start + len(ib.s)] AS a, ib.s AS b FROM st JOIN ds USING (r) JOIN ib ON ib.item_id = st.item_id),
+ shared AS (SELECT doc_id, item_id, start, len(a) + len(b) AS n, list_sum(list_transform(list_distinct(b), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda z: z = x))))) AS common FROM win),
+ sim AS (SELECT doc_id, item_id, start, common / (n - common) AS similarity FROM shared WHERE common / (n - common) >= 0.8)
+ SELECT doc_id, item_id, start::INTEGER AS start_word, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS k FROM sim) WHERE k = 1""",
+    "op10_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l AS (SELECT a.r AS a, b.r AS b, a.vec_id AS va, b.vec_id AS vb FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95),
+ reach(r, x) AS (SELECT r, r FROM v UNION SELECT reach.r, l.b FROM reach JOIN l ON reach.x = l.a),
+ c AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON reach.x = v.r GROUP BY reach.r), n AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY a)
+ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+ UNION ALL SELECT vec_id, 0, vec_id, vec_id IS NOT NULL FROM embeddings WHERE NOT coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false)""",
+}
+
+
 def oracle_sql():
-    return {}
+    """What SQL can express on whole tables; the other queries are tested against
+    brute force or held-out accuracy."""
+    return dict(SQL)

@@ -238,4 +238,5 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def write_and_read(docs: DataFrame, vocabulary: str, end_id: int = 2, kind: str = "byte") -> DataFrame:
     """The round trip through files in the shared folder."""
     folder = f"{common.shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
+    common.remove_at_exit(docs.sparkSession, folder)
     return read(write(docs, folder, vocabulary, end_id, kind=kind).collect(), docs.sparkSession)
