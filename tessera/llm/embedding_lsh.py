@@ -2,8 +2,8 @@
 
 A vector is padded to a power of two, rotated by three rounds of random signs
 and the fast Hadamard transform, and hashed to its largest coordinate and that
-one's sign; ``hashes`` such values, chosen by the number of vectors so that a
-bucket holds a few, make a table's code. A vector is filed under its code and
+one's sign; ``hashes`` such values make a table's code, the more the more
+vectors there are. A vector is filed under its code and
 probes the code in which its least certain hash takes the runner-up
 (multiprobe). All members of a bucket are compared by exact cosine in double
 precision. The number of tables follows from ``recall``: enough that a pair at
@@ -38,6 +38,8 @@ from . import common
 from .common import Scratch
 
 RECALL, BLOCK = 0.995, 1024
+#: Microseconds of work for a row, for a hash of it, and for a comparison.
+SHUFFLED, HASHED, COMPARED = 40.0, 10.0, 0.02
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -96,6 +98,21 @@ def tables_for(width: int, hashes: int, least: float, recall: float, trials: int
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
+def plan(total: int, width: int, least: float, recall: float) -> tuple[int, int]:
+    """Hashes a table and tables, by the least estimated work: in each table a
+    vector is shuffled and hashed, and compared with its buckets' members. Every
+    choice has the recall asked for."""
+    codes_of_one = 2 << max(1, (width - 1).bit_length())
+    best = (math.inf, 1, 1)
+    for hashes in range(1, 60 // codes_of_one.bit_length() + 1):
+        tables = tables_for(width, hashes, least, recall)
+        met = 2 * total / codes_of_one**hashes
+        best = min(best, (tables * (SHUFFLED + HASHED * hashes + COMPARED * met), hashes, tables))
+        if met < 1:
+            break
+    return best[1:]
+
+
 def _meet(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First table and least bucket in which the pairs (a, b) meet."""
     x, y = own[a], own[b]
@@ -181,9 +198,7 @@ def link(vectors: DataFrame, least: float = 0.95, recall: float = RECALL) -> Dat
     classes = scratch.table(good.groupBy("digest").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id")), "classes")
     total, widest = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     widest = widest or 1
-    width = 2 << max(1, (widest - 1).bit_length())
-    hashes = max(1, min(60 // width.bit_length(), round(math.log(max(2, total / 8)) / math.log(width))))
-    tables = tables_for(widest, hashes, least, recall)
+    hashes, tables = plan(total, widest, least, recall)
     found = None
     for t in range(tables):
         filed = classes.select("digest", "v", "copies").mapInArrow(_file(t, hashes), f"size int, code bigint, digest binary, v {exact}, copies bigint, filed boolean")
