@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"\s*(\|\||&&|\(|\)|!|not\b|[A-Za-z_][\w.]*)")
+_TOKEN = re.compile(r"""\s*(\|\||&&|ifn?eq\s*(?=\()|\(|\)|,|!|not\b|\$\([A-Za-z_]\w*\)|"[^"]*"|'[^']*'|[A-Za-z_][\w.]*|[^\s(),&|]+)""")
+_NAME, _REF = re.compile(r"[A-Za-z_][\w.]*"), re.compile(r"\$\(([A-Za-z_]\w*)\)")
 
 
-def compile_condition(text: str, macros: dict[str, Column]) -> Column:
-    """``||``, ``&&``, ``not`` or ``!``, parentheses and macros; a macro that is not known is null."""
+def compile_condition(text: str, macros: dict[str, Column] | None = None, truth: Callable[[str], Column] | None = None, value: Callable[[str], Column] | None = None) -> Column:
+    """``||``, ``&&``, ``not`` or ``!``, parentheses, ``ifeq(a,b)``, ``ifneq(a,b)`` and
+    macros, plain or as ``$(NAME)``; a macro that is not known is null.
+
+    ``truth(name)`` is whether a macro holds, ``value(name)`` its text for
+    comparisons; ``macros`` is a plain way to give the former.
+    """
+    null = F.lit(None)
+    truth = truth or (lambda name: (macros or {}).get(name, null.cast("boolean")))
+    value = value or (lambda name: null.cast("string"))
     found, at = [], 0
     while at < len(text.rstrip()):
         m = _TOKEN.match(text, at)
         if not m:
             raise ValueError(f"can't read a condition at {text[at:]!r}")
-        found.append(m[1])
+        found.append(m[1].strip())
         at = m.end()
     found.append("")
 
@@ -35,18 +45,44 @@ def compile_condition(text: str, macros: dict[str, Column]) -> Column:
             left = left & one()
         return left
 
+    def operand() -> Column:
+        """What stands up to a comma or parenthesis, as text; nothing: null."""
+        said = []
+        while found[0] not in (",", ")", ""):
+            said.append(found.pop(0))
+        whole = " ".join(said)
+        if not whole:
+            return null.cast("string")
+        if m := _REF.fullmatch(whole):
+            return value(m[1])
+        if whole[0] in "\"'" and whole[-1] == whole[0]:
+            return F.lit(whole[1:-1])
+        # A bare word is a macro's value if there is such a macro, else itself.
+        return F.coalesce(value(whole), F.lit(whole)) if _NAME.fullmatch(whole) else F.lit(whole)
+
     def one() -> Column:
         token = found.pop(0)
         if token in ("not", "!"):
             return ~one()
+        if token in ("ifeq", "ifneq"):
+            found.pop(0)
+            left = operand()
+            if found.pop(0) != ",":
+                raise ValueError("a comparison needs two sides")
+            right = operand()
+            if found.pop(0) != ")":
+                raise ValueError("a parenthesis is open")
+            return left == right if token == "ifeq" else left != right
         if token == "(":
             inner = either()
             if found.pop(0) != ")":
                 raise ValueError("a parenthesis is open")
             return inner
-        if not token or token in ("||", "&&", ")"):
+        if not token or token in ("||", "&&", ")", ","):
             raise ValueError("a condition ends too soon")
-        return macros.get(token, F.lit(None).cast("boolean"))
+        if m := _REF.fullmatch(token):
+            return truth(m[1])
+        return truth(token) if _NAME.fullmatch(token) else null.cast("boolean")
 
     out = either()
     if found != [""]:

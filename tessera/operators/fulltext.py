@@ -1,48 +1,180 @@
-"""Full-text retrieval: inverted index, BM25, fusion across stores (F)."""
+"""Full-text retrieval: inverted index, phrases, BM25, fusion across stores and indexes (F)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.text import tokens
 from .lineage import cut
+from .store import Store
 
-K1, B = 1.2, 0.75
+K1, B, RRF_K = 1.2, 0.75, 60
+#: The order of indexes, and matches that each is asked for at least (fixed values).
+INDEXES, LEAST_MATCHES = ("chunk_fts", "entity_fts", "doc_fts", "code_fts"), 24
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, length, term, tf); terms are counted within tasks before the shuffle."""
-    cut = docs.select(key, tokens(F.col(text)).alias("_all"))
-    each = cut.select(key, F.size("_all").alias("length"), F.explode("_all").alias("term"))
-    return each.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+def priority() -> Column:
+    """overlay before merged before baseline."""
+    return F.when(F.col("source_index") == "overlay", 3).when(F.col("source_index") == "merged", 2).otherwise(1)
 
 
-def search(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int | None = None) -> DataFrame:
-    """(query, key, bm25, rank): documents with all of a query's terms, best first.
+def units(queries: DataFrame, key: str, text: str) -> DataFrame:
+    """(query, unit, words, times): what a query asks for, all of it. A run of
+    ``[A-Za-z0-9_./:-]`` is one unit; one that splits into several words (at
+    ``_``, say) is a phrase, whose words must follow each other."""
+    runs = F.regexp_extract_all(F.col(text), F.lit("[A-Za-z0-9_./:-]+"), F.lit(0))
+    each = queries.select(F.col(key), F.explode(runs).alias("run")).select(key, tokens(F.col("run")).alias("words"))
+    return each.filter(F.size("words") > 0).groupBy(key, F.array_join("words", " ").alias("unit"), "words").agg(F.count("*").alias("times"))
+
+
+def match(docs: DataFrame, key: str, columns: Column, queries: DataFrame, query_key: str, query_text: str, asked: DataFrame | None = None) -> DataFrame:
+    """(query, key, bm25): rows that hold all of a query's units; the less the better.
 
-    The score is as in the usual SQL full-text extension: negative, so that
-    ascending is best first, idf clamped to 1e-6. Only terms of queries leave
-    the scan's tasks; document statistics are two plain aggregates.
+    Statistics cover the whole table. The corpus is read and cut into words once:
+    what stays is one row a document for its length, and its counts of words that
+    some query asks for. A query starts from its rarest unit, and only those rows
+    meet its other units.
     """
-    terms = queries.select(F.col(query_key), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    wanted = terms.groupBy(query_key).agg(F.count("*").alias("need"))
-    sizes = docs.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    found = cut(postings(docs, key, text).join(terms.select("term").distinct(), "term", "left_semi"))  # read twice below
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    asked = cut(units(queries, query_key, query_text) if asked is None else asked)
+    per_column = F.transform(columns, lambda c: tokens(F.coalesce(c, F.lit(""))))
+    # An empty word ends a column, so that no phrase crosses it.
+    lined = docs.select(F.col(key), F.flatten(F.transform(per_column, lambda w: F.concat(w, F.array(F.lit(""))))).alias("line"))
+    sized = lined.select(key, "line", F.size(F.filter("line", lambda w: w != "")).alias("length"))
+    wanted = asked.select(F.explode("words").alias("word")).distinct()
+    marked = sized.select(key, "length", F.explode(F.concat(F.filter("line", lambda w: w != ""), F.array(F.lit("")))).alias("word"))
+    counted = marked.join(wanted.union(wanted.sparkSession.createDataFrame([("",)], "word string")), "word", "left_semi").groupBy(key, "length", "word").agg(F.count("*").alias("tf"))
+    counted = cut(counted)
+    stats = counted.filter("word = ''").agg(F.count("*").cast("double").alias("docs"), F.avg("length").alias("mean"))
+    single = asked.filter(F.size("words") == 1).select("unit").distinct()
+    held = counted.filter("word <> ''").withColumnRenamed("word", "unit").join(single, "unit", "left_semi").select(key, "length", "unit", "tf")
+    phrases = asked.filter(F.size("words") > 1).select("unit", "words").distinct()
+    first = counted.select(key, F.col("word").alias("first")).join(phrases.withColumn("first", F.col("words")[0]), "first").drop("first")
+    starts = F.filter(F.sequence(F.lit(1), F.size("line")), lambda i: F.slice(F.col("line"), i, F.size("words")) == F.col("words"))
+    spoken = sized.join(first, key).select(key, "length", "unit", F.size(starts).cast("long").alias("tf")).filter("tf > 0")
+    held = cut(held.unionByName(spoken))
+    asked = asked.join(held.groupBy("unit").agg(F.count("*").cast("double").alias("df")), "unit", "left")
+    need = F.count("*").over(Window.partitionBy(query_key))
+    order = F.row_number().over(Window.partitionBy(query_key).orderBy(F.col("df").asc_nulls_first(), "unit"))
+    asked = asked.select(query_key, "unit", "times", "df", need.alias("need"), order.alias("place"))
+    start = asked.filter("place = 1").select(query_key, "unit").join(held, "unit").select(query_key, key, "length")
+    rows = start.join(asked, query_key).join(held.select("unit", key, "tf"), ["unit", key])
     # One row of statistics, joined on a constant.
-    joined = found.join(df, "term").join(terms, "term").withColumn("one", F.lit(1)).join(F.broadcast(sizes.withColumn("one", F.lit(1))), "one")
+    rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(stats.withColumn("one", F.lit(1))), "one")
     idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = joined.groupBy(query_key, key).agg(F.round(-F.sum(part), 6).alias("bm25"), F.count("*").alias("hit"))
-    scored = scored.join(wanted, query_key).filter("hit = need").drop("hit", "need")
+    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    scored = rows.groupBy(query_key, key).agg(F.round(-F.sum(part), 6).alias("bm25"), F.count("*").alias("hit"), F.first("need").alias("need"))
+    return scored.filter("hit = need").drop("hit", "need")
+
+
+def search(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int | None = None) -> DataFrame:
+    """(query, key, bm25, rank) over one text column; any word of the query's text is required."""
+    words = F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("unit")
+    asked = queries.select(query_key, words).select(query_key, "unit", F.array("unit").alias("words"), F.lit(1).alias("times"))
+    scored = match(docs, key, F.array(text), queries, query_key, query_text, asked)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy("bm25", key)))
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def fuse(ranked: DataFrame, keys: list[str], weight: str | None = None, k: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion: the sum of weight / (k + rank) by keys."""
+def fuse(ranked: DataFrame, keys: list[str], weight: str | None = None, k: int = RRF_K) -> DataFrame:
+    """Reciprocal-rank fusion: the sum of weight / (k + rank) by keys (H1)."""
     w = F.col(weight) if weight else F.lit(1.0)
     rows = ranked.filter(w > 0) if weight else ranked
     return rows.groupBy(*keys).agg(F.round(F.sum(w / (k + F.col("rank"))), 6).alias("score"), F.count("*").alias("lists"), F.min("rank").alias("best_rank"))
+
+
+def search_store(store: Store, index: str, queries: DataFrame, top_k: int, domain: str | None = None, doc_type: str | None = None, source_index: str | None = None) -> DataFrame:
+    """(query_id, logical_id, object_id, source_index, bm25, score, rank, ...) of one
+    index over both layers (F3-F5).
+
+    Each layer ranks its own rows and keeps 4 x ``top_k``; hidden rows are dropped
+    after that, so their ranks stay taken. The better layer's row is shown, the
+    reciprocal ranks of both are summed.
+    """
+    s, out = store.scope, None
+    for layer in ("overlay", "baseline"):
+        if source_index in ("overlay", "baseline") and source_index != layer:
+            continue
+        rows = store.index_rows(layer).filter(F.col("index_name") == index)
+        scored = match(rows, "object_id", F.col("columns"), queries, "query_id", "query")
+        hits = scored.join(store.in_scope(rows).drop("columns", "index_name"), "object_id")
+        if s.path_scope is not None:
+            scope = s.path_scope.strip("/").replace("\\", "/")
+            hits = hits.filter(F.col("rel_path").ilike(scope + "%"))  # a prefix without a slash at its end; _ and % are not escaped
+        if domain is not None:
+            hits = hits.filter(F.col("domain") == domain)
+        if doc_type is not None:
+            hits = hits.filter(F.col("doc_type") == doc_type)
+        w = Window.partitionBy("query_id").orderBy("bm25", "object_id")
+        hits = cut(hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 4 * top_k))
+        kind = "entity" if index == "entity_fts" else "chunk"
+        hits = store.hide(hits, "file", F.col("file_id"))
+        hits = store.resolved(hits, kind, "object_id")
+        moved = hits.filter("replaced").join(store.existing(kind), F.col("resolved_id") == F.col("existing_id"), "left_semi")
+        asked = [F.lit(s.profile_id), F.lit(s.source_scope)]
+        moved = store.hide(moved, kind, F.col("resolved_id"), F.lit(s.snapshot_id), asked).withColumn("source_index", F.lit("merged"))
+        own = store.hide(hits.filter(~F.col("replaced")), kind, F.col("object_id"))
+        if layer == "baseline":
+            own = own.join(store.overlay_live(kind), F.col("object_id") == F.col("live_id"), "left_anti")
+        part = moved.unionByName(own.withColumn("source_index", F.lit(layer)))
+        out = part if out is None else out.unionByName(part)
+    if source_index is not None:
+        out = out.filter(F.col("source_index") == source_index)
+    best = F.struct(priority().alias("p"), (-F.col("bm25")).alias("b"), F.when(F.col("source_index") == "overlay", 1).otherwise(0).alias("o"))
+    shown = F.struct("object_id", "object_type", "source_index", "bm25", "file_id", "profile_id", "source_scope", "rel_path", "domain", "doc_type", "title", "snippet")
+    out = out.groupBy("query_id", F.col("resolved_id").alias("logical_id")).agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("score"), F.max_by(shown, best).alias("m")).select("query_id", "logical_id", "score", "m.*")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), priority().desc(), "logical_id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
+
+
+def module_names(store: Store) -> DataFrame:
+    """(file_id, modules): names of the modules that a file's entity belongs to."""
+    seen = store.logical("entity")
+    files = seen.filter("entity_type = 'File'").select(F.col("logical_id").alias("src_entity_id"), "file_id")
+    modules = seen.filter("entity_type = 'Module'").select(F.col("logical_id").alias("dst_entity_id"), F.coalesce(F.nullif("qualified_name", F.lit("")), "name").alias("module"))
+    member = store.relations().filter("relation_type = 'belongs_to_module'").select("relation_id", "src_entity_id", "dst_entity_id", (F.col("source_index") != "overlay").alias("late"))
+    named = member.join(files, "src_entity_id").join(modules, "dst_entity_id").filter("module <> ''")
+    once = named.groupBy("file_id", "module").agg(F.min(F.struct("late", "relation_id")).alias("at"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "module")))
+    return once.groupBy("file_id").agg(F.transform(ordered, lambda x: x["module"]).alias("modules"))
+
+
+def match_modules(store: Store, matches: DataFrame) -> DataFrame:
+    """Adds ``module_names``: the file's modules, then those the object itself names."""
+    lists = lambda: F.concat(tx.metadata_list(F.col("metadata"), "module"), tx.metadata_list(F.col("metadata"), "modules"))
+    named = F.when(F.col("entity_type") == "Module", F.concat(F.array("name", "qualified_name"), tx.metadata_list(F.col("metadata"), "aliases"))).otherwise(F.array().cast("array<string>"))
+    own = store.physical("entity").select(F.lit("entity").alias("object_type"), F.col("entity_id").alias("object_id"), F.concat(lists(), named).alias("own"))
+    own = own.unionByName(store.physical("chunk").select(F.lit("chunk").alias("object_type"), F.col("chunk_id").alias("object_id"), lists().alias("own")))
+    none = F.array().cast("array<string>")
+    joined = matches.join(module_names(store), "file_id", "left").join(own, ["object_type", "object_id"], "left")
+    every = F.transform(F.concat(F.coalesce("modules", none), F.coalesce("own", none)), lambda x: F.trim(x))
+    return joined.withColumn("module_names", F.array_distinct(F.filter(every, lambda x: x.isNotNull() & (x != "")))).drop("modules", "own")
+
+
+def in_module(modules: Column, asked: str) -> Column:
+    """Whether some name holds ``asked``, in exact or in lookup form."""
+    exact, lookup = tx.exact_form(F.lit(asked)), tx.lookup_form(F.lit(asked))
+    holds = lambda m: ((exact != "") & (F.instr(tx.exact_form(m), exact) > 0)) | ((lookup != "") & (F.instr(tx.lookup_form(m), lookup) > 0))
+    return F.coalesce(F.exists(modules, holds), F.lit(False))
+
+
+def retrieve(store: Store, queries: DataFrame, top_k: int = 12, indexes: tuple[str, ...] = INDEXES, module: str | None = None, **filters) -> DataFrame:
+    """(query_id, object_type, logical_id, score, primary_index, rank, ...) over several
+    indexes: scores are summed, the preferred layer's match is shown (F9)."""
+    every = None
+    for place, index in enumerate(indexes):
+        part = search_store(store, index, queries, max(4 * top_k, LEAST_MATCHES), **filters).drop("rank").withColumns({"index_name": F.lit(index), "place": F.lit(place)})
+        every = part if every is None else every.unionByName(part)
+    every = match_modules(store, every)
+    if module is not None:
+        every = every.filter(in_module(F.col("module_names"), module))
+    # The first index to find an object is its primary one unless a later match is preferred.
+    best = F.struct(priority().alias("p"), (-F.col("bm25")).alias("b"), (-F.col("place")).alias("i"))
+    shown = F.struct(F.col("index_name").alias("primary_index"), "object_id", "source_index", "bm25", "file_id", "profile_id", "source_scope", "rel_path", "domain", "doc_type", "title", "snippet")
+    names = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "module_names"))), lambda x: x["module_names"])))
+    out = every.groupBy("query_id", "object_type", "logical_id").agg(F.round(F.sum("score"), 6).alias("score"), F.max_by(shown, best).alias("m"), names.alias("module_names"))
+    out = out.select("query_id", "object_type", "logical_id", "score", "m.*", "module_names")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "primary_index", "logical_id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)

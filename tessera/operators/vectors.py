@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fulltext import priority, retrieve
+from .store import ALL, Scope, Store, newest_first
+
+#: What a query asks the store for at least, and the indexes it falls back to (fixed values).
+LEAST_ASKED, FALLBACK = 24, ("doc_fts", "chunk_fts")
+#: Bytes of query vectors that go to every task at once.
+BROADCAST = 64 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,36 +26,174 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms)
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """(query_id, vec_id, score, rank): each query's best rows, itself left out.
+def top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", same: bool = False) -> DataFrame:
+    """(query_id, key, score, rank): each query's best rows, itself left out unless ``same``.
 
-    The query set is stated and goes in blocks of at most ``block`` vectors, a
-    broadcast of fixed size; partial top-k within tasks comes before the shuffle.
+    The query set is stated; it is broadcast once, and must fit in ``BROADCAST``.
+    Each task multiplies batches of rows with all queries as matrices, and keeps
+    its own k best of each query, so only these are shuffled.
     """
-    held = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    n = held.count()
-    blocks = max(1, -(-n // block))
-    out = None
-    for i in range(blocks):
-        part = held if blocks == 1 else held.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = rows.join(F.broadcast(part), rows["vec_id"] != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score")).filter("score is not null")
-        out = pairs if out is None else out.union(pairs)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    held = queries.select(F.col(query_key).cast("long"), F.col("embedding").cast("array<double>")).toPandas()
+    if held.shape[0] and sum(len(v) for v in held.iloc[:, 1] if v is not None) * 8 > BROADCAST:
+        raise ValueError("split the queries: their vectors are over 64 MB")
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for size in {len(v) for v in held.iloc[:, 1] if v is not None and len(v)}:
+        some = [(i, v) for i, v in held.itertuples(index=False) if v is not None and len(v) == size]
+        x = np.array([v for _, v in some], "f8")
+        norm = np.sqrt((x * x).sum(1))
+        ok = norm > 0
+        by_size[size] = (np.array([i for i, _ in some], "i8")[ok], (x[ok] / norm[ok, None]).T.copy())
+    sent = rows.sparkSession.sparkContext.broadcast(by_size)
+
+    def run(batches):
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes).tolist():
+                if size not in sent.value:
+                    continue
+                some = np.flatnonzero(sizes == size)
+                x = lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype("f8")
+                norm = np.sqrt((x * x).sum(1))
+                ok = norm > 0
+                own, (qids, q) = ids[some][ok], sent.value[size]
+                score = np.round((x[ok] @ q) / norm[ok, None], 6)
+                score[~np.isfinite(score)] = -np.inf
+                if not same:
+                    score[own[:, None] == qids[None, :]] = -np.inf
+                for j, qid in enumerate(qids.tolist()):
+                    s, i = score[:, j], own
+                    keep = s > -np.inf
+                    s, i = s[keep], i[keep]
+                    if qid in best:
+                        s, i = np.r_[best[qid][0], s], np.r_[best[qid][1], i]
+                    order = np.lexsort((i, -s))[:k]
+                    best[qid] = (s[order], i[order], None)
+        if best:
+            n = [len(b[0]) for b in best.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), "i8"), n)), pa.array(np.concatenate([b[1] for b in best.values()])), pa.array(np.concatenate([b[0] for b in best.values()]))], [query_key, key, "score"])
+
+    found = rows.select(F.col(key).cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, f"{query_key} bigint, {key} bigint, score double")
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def hash_embedding(docs: DataFrame, key: str, text: str, dims: int = 24) -> DataFrame:
     """(key, dim, value): feature-hash embedding, L2-normalised, all built-in.
 
     Every token adds to two dimensions that its SHA-256 chooses; the third byte
-    gives the sign, the fourth the size.
+    gives the sign, the fourth the size. A text without tokens, or whose parts
+    cancel out, is the first unit vector. Words are counted within a text first,
+    so a text shuffles its distinct words once.
     """
-    found = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))).alias("t"))
-    counted = found.groupBy(key, "t").agg(F.count("*").alias("c"))
-    byte = lambda i: F.conv(F.substring(F.sha2("t", 256), 2 * i + 1, 2), 16, 10).cast("int")
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
+    counted = docs.select(key, F.explode(words).alias("t")).groupBy(key, "t").agg(F.count("*").alias("c"))
+    digest = F.sha2("t", 256)
+    byte = lambda i: F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int")
     sign = F.when(byte(2) % 2 == 0, 1.0).otherwise(-1.0)
     hashed = counted.select(key, "c", byte(0).alias("b0"), byte(1).alias("b1"), sign.alias("s"), byte(3).alias("b3"))
-    parts = hashed.select(key, F.explode(F.array(F.struct((F.col("b0") % dims).alias("dim"), (F.col("c") * F.col("s") * (1 + F.col("b3") / 255)).alias("x")), F.struct((F.col("b1") % dims).alias("dim"), (F.col("c") * F.col("s") * 0.5).alias("x")))).alias("p"))
-    sums = parts.groupBy(key, F.col("p.dim").alias("dim")).agg(F.sum("p.x").alias("x"))
+    x = F.col("c") * F.col("s")
+    parts = hashed.select(key, F.explode(F.array(F.struct((F.col("b0") % dims).alias("dim"), (x * (1 + F.col("b3") / 255)).alias("x")), F.struct((F.col("b1") % dims).alias("dim"), (x * 0.5).alias("x")))).alias("p"))
+    sums = parts.groupBy(key, F.col("p.dim").alias("dim")).agg(F.sum("p.x").alias("x")).filter(F.abs("x") > 1e-9)
     norm = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return sums.join(norm, key).filter("norm > 0").select(key, "dim", F.round(F.col("x") / F.col("norm"), 5).alias("value"))
+    found = sums.join(norm, key).select(key, "dim", (F.col("x") / F.col("norm")).alias("value"))
+    first = docs.select(key).distinct().join(norm.select(key), key, "left_anti").select(key, F.lit(0).alias("dim"), F.lit(1.0).alias("value"))
+    return found.unionByName(first)
+
+
+# --- a store of vectors in two layers ------------------------------------------------------
+
+
+def version_gate(layers: dict[str, DataFrame], expected: str | None) -> DataFrame:
+    """(source_index, versions, skipped): a layer without a vector of the expected
+    model is skipped with a warning (E5)."""
+    out = None
+    for name, rows in layers.items():
+        seen = F.array_sort(F.collect_set("embedding_model_version"))
+        part = rows.agg(seen.alias("versions")).select(F.lit(name).alias("source_index"), "versions")
+        out = part if out is None else out.unionByName(part)
+    lacks = F.lit(False) if expected is None else ~F.array_contains("versions", expected)
+    return out.withColumn("skipped", (F.size("versions") > 0) & lacks)
+
+
+def live_vectors(store: Store, layers: dict[str, DataFrame], expected: str | None = None, object_types: tuple[str, ...] = ("chunk", "entity", "evidence")) -> DataFrame:
+    """Vector rows that a search may return (E3): in scope and of the expected
+    model, not gone, not replaced, with a visible reference of the same object and
+    content hash, and a visible object whose hash, if it has one, is the same."""
+    s = store.scope
+    refs = store.vector_refs().select(F.col("vector_ref_id").alias("ref_id"), F.col("object_type").alias("ref_type"), F.col("object_id").alias("ref_object"), F.col("content_hash").alias("ref_hash"))
+    of_metadata = F.get_json_object("metadata", "$.content_hash")
+    live = store.logical("chunk").select(F.lit("chunk").alias("live_type"), "logical_id", F.col("content_hash").alias("live_hash"), F.col("chunk_id").alias("live_chunk"))
+    live = live.unionByName(store.logical("entity").select(F.lit("entity").alias("live_type"), "logical_id", of_metadata.alias("live_hash"), F.lit(None).cast("string").alias("live_chunk")))
+    live = live.unionByName(store.evidence().select(F.lit("evidence").alias("live_type"), F.col("evidence_id").alias("logical_id"), of_metadata.alias("live_hash"), F.col("chunk_id").alias("live_chunk")))
+    out = None
+    for name, rows in layers.items():
+        rows = rows.filter(F.col("object_type").isin(*object_types))
+        if expected is not None:
+            rows = rows.filter(F.col("embedding_model_version") == expected)
+        rows = store.in_scope(rows).withColumn("source_index", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    own, snapshot = [F.col("profile_id"), F.col("source_scope")], F.lit(s.snapshot_id)
+    out = store.hide(out, F.col("object_type"), F.col("object_id"), snapshot, own)
+    out = store.hide(out, "vector_ref", F.col("vector_ref_id"), snapshot, own)
+    everything = store if (s.profile_id, s.source_scope) == (ALL, ALL) else Store(store.baseline, store.overlay, Scope(s.snapshot_id))  # chains in each row's own scope
+    kept = None
+    for kind in object_types:
+        part = everything.resolved(out.filter(F.col("object_type") == kind), kind, "object_id", snapshot).filter(~F.col("replaced")).drop("resolved_id", "replaced")
+        kept = part if kept is None else kept.unionByName(part)
+    same = (F.col("vector_ref_id") == F.col("ref_id")) & (F.col("object_type") == F.col("ref_type")) & (F.col("object_id") == F.col("ref_object")) & (F.col("content_hash") == F.col("ref_hash"))
+    kept = kept.join(refs, same, "left_semi")
+    kept = kept.join(live, (F.col("object_type") == F.col("live_type")) & (F.col("object_id") == F.col("logical_id")))
+    return kept.filter("live_hash is null or live_hash = content_hash").withColumn("chunk_id", F.coalesce("chunk_id", "live_chunk")).drop("live_type", "live_hash", "live_chunk")
+
+
+def search_vectors(store: Store, layers: dict[str, DataFrame], queries: DataFrame, k: int = 12, expected: str | None = None, object_types: tuple[str, ...] = ("chunk",), domain: str | None = None, doc_type: str | None = None) -> DataFrame:
+    """(query_id, logical_id, source_index, score, rank, ...).
+
+    Of an object's vectors the higher layer's counts, then the better score; the
+    store is asked for max(4 k, 24), domain and document type are filtered after
+    that, so fewer than k may remain. Chunks bring their file's path and a snippet.
+    """
+    rows = live_vectors(store, layers, expected, object_types)
+    norms = F.col("score").isNotNull()
+    n = queries.count()
+    if n > 4096:
+        raise ValueError("queries go in blocks of at most 4,096")
+    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("asked"), F.lit(1).alias("one")))
+    pairs = rows.withColumn("one", F.lit(1)).join(asked, "one").withColumn("score", F.round(cosine(F.col("embedding"), F.col("asked")), 6)).filter(norms).drop("one", "asked", "embedding")
+    pairs = newest_first(pairs, ["query_id", "logical_id"], priority().desc(), F.desc("score"), F.col("vector_ref_id"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), priority().desc(), "logical_id")
+    pairs = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(4 * k, LEAST_ASKED)).drop("rank")
+    pairs = hydrate(store, pairs)
+    if domain is not None:
+        pairs = pairs.filter(F.col("domain") == domain)
+    if doc_type is not None:
+        pairs = pairs.filter(F.col("doc_type") == doc_type)
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def hydrate(store: Store, matches: DataFrame) -> DataFrame:
+    """Adds path, title, snippet, domain and document type by object type."""
+    own = lambda c, k: F.get_json_object(c, f"$.{k}")
+    files = store.scoped("file").select("file_id", F.col("relative_path").alias("rel_path"))
+    flat = lambda c: F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, 240)
+    chunk = store.physical("chunk").select(F.lit("chunk").alias("object_type"), F.col("chunk_id").alias("object_id"), "file_id", F.coalesce(own("metadata", "title"), "chunk_type").alias("title"), flat(F.col("text")).alias("snippet"), own("metadata", "domain").alias("domain"), own("metadata", "doc_type").alias("doc_type"))
+    entity = store.physical("entity").select(F.lit("entity").alias("object_type"), F.col("entity_id").alias("object_id"), "file_id", F.col("name").alias("title"), flat(F.coalesce(own("metadata", "summary"), "qualified_name")).alias("snippet"), own("metadata", "domain").alias("domain"), own("metadata", "doc_type").alias("doc_type"))
+    evidence = store.physical("evidence").select(F.lit("evidence").alias("object_type"), F.col("evidence_id").alias("object_id"), "file_id", F.col("citation_label").alias("title"), flat(F.col("excerpt")).alias("snippet"), own("metadata", "domain").alias("domain"), own("metadata", "doc_type").alias("doc_type"))
+    known = chunk.unionByName(entity).unionByName(evidence).join(files, "file_id", "left").drop("file_id")
+    return matches.join(known, ["object_type", "object_id"], "left")
+
+
+def search_or_fall_back(store: Store, layers: dict[str, DataFrame], queries: DataFrame, k: int = 12, expected: str | None = None, embedded: bool = True, **how) -> tuple[DataFrame, str, list[str]]:
+    """Matches, mode and warnings (E7): without query vectors, or if nothing is
+    found because a layer holds another model's vectors, full text answers."""
+    warnings = [] if embedded else ["embedding.provider_unavailable"]
+    if embedded:
+        skipped = version_gate(layers, expected).filter("skipped").count()
+        found = search_vectors(store, layers, queries, k, expected, **how)
+        if not skipped or found.limit(1).count():
+            return found, "vector", ["embedding.version_mismatch"] * bool(skipped)
+        warnings.append("embedding.version_mismatch")
+    filters = {c: v for c, v in how.items() if c in ("domain", "doc_type")}
+    return retrieve(store, queries, k, FALLBACK, **filters), "fts_fallback", [*warnings, "retrieval.vector_fallback"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import fulltext, layers, ranking, vectors
+from ..sources import files, workspace
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -45,18 +46,26 @@ def n(c):
 # --- scans and paths (A) ------------------------------------------------------------------
 
 
-@query(f"""WITH {PATHS} SELECT page_id, path FROM paths WHERE (regexp_matches(path, '(^|/)[^/]*\\.html(/|$)') OR regexp_matches(path, '^[^/]*/(en|de)/[^/]*$'))
- AND NOT regexp_matches(path, '(^|/)m\\.[^/]*(/|$)')""")
+@query(f"""WITH {PATHS} SELECT page_id, path FROM paths WHERE (list_bool_or(list_transform(string_split(path, '/'), lambda c: c GLOB '*.html')) OR path GLOB '*/en/*' OR path GLOB '*[ab]*/d?/*')
+ AND NOT list_bool_or(list_transform(string_split(path, '/'), lambda c: c GLOB 'm.*')) AND NOT starts_with(path || '/', 'blog.example.com/')""")
 def a2_a3_glob_filter(spark, sf_dir):
+    """``*`` crosses slashes in a pattern that has one; else it names a component."""
     p = paths(spark, sf_dir)
-    wanted = tx.matches_any(F.col("path"), ["*.html", "*/en/*", "*/de/*"])
-    return p.filter(wanted & ~tx.matches_any(F.col("path"), ["m.*"]))
+    wanted = tx.matches_any(F.col("path"), ["*.html", "*/en/*", "*[ab]*/d?/*"])
+    return p.filter(wanted & ~tx.matches_any(F.col("path"), ["m.*", "blog.example.com/**"]))
 
 
-@query(f"""WITH {PATHS} SELECT page_id, CASE WHEN path LIKE '%.html' THEN 'html' WHEN path LIKE '%.c' THEN 'c' WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.md' THEN 'markdown' END AS language,
- CASE WHEN position('/' IN path) > 0 THEN split_part(path, '/', 1) END AS area FROM paths""")
+_LANGUAGES = {"Kconfig": "kconfig", "Makefile": "makefile", "CMakeLists.txt": "cmake", ".c": "c", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".h": "c-header", ".hpp": "cpp-header", ".hh": "cpp-header", ".py": "python", ".rs": "rust", ".go": "go", ".java": "java", ".js": "javascript", ".ts": "typescript", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".md": "markdown", ".rst": "restructuredtext", ".sh": "shell", ".cmake": "cmake", ".mk": "makefile", ".S": "assembly", ".s": "assembly", ".html": None, "defconfig": None}
+
+
+@query(f"""WITH m(k, language) AS (VALUES {', '.join(f"('{k}', {repr(v) if v else 'NULL'})" for k, v in _LANGUAGES.items())}), f AS (SELECT page_id, k, CASE WHEN starts_with(k, '.') THEN 'src' || page_id || '/x' || k ELSE 'lib/' || k END AS path, language FROM pages CROSS JOIN m WHERE page_id % 10 = 1)
+ SELECT page_id, path, language, split_part(path, '/', 1) AS area FROM f""")
 def a4_a5_language_area(spark, sf_dir):
-    return paths(spark, sf_dir).select("page_id", tx.language_of(F.col("path")).alias("language"), tx.area_of(F.col("path")).alias("area"))
+    """Every name and suffix, and two that name no language."""
+    names = spark.createDataFrame([(k,) for k in _LANGUAGES], "k string").withColumn("one", F.lit(1))
+    p = read(spark, sf_dir, "pages").filter("page_id % 10 = 1").select("page_id", F.lit(1).alias("one")).join(names, "one")
+    path = F.when(F.startswith("k", F.lit(".")), F.concat(F.lit("src"), "page_id", F.lit("/x"), "k")).otherwise(F.concat(F.lit("lib/"), "k"))
+    return p.select("page_id", path.alias("path")).select("page_id", "path", tx.language_of(F.col("path")).alias("language"), tx.area_of(F.col("path")).alias("area"))
 
 
 @query(f"WITH {PATHS} SELECT split_part(path, '/', 2) AS area, count(*) AS files, count(DISTINCT split_part(path, '/', 1)) AS hosts, sum(length(path))::BIGINT AS size FROM paths GROUP BY 1")
@@ -68,12 +77,10 @@ def a6_area_counts(spark, sf_dir):
  repos AS (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS repo FROM paths UNION SELECT DISTINCT split_part(path, '/', 1) FROM paths)
  SELECT page_id, max(repo) AS repo FROM (SELECT page_id, repo, row_number() OVER (PARTITION BY page_id ORDER BY length(repo) DESC) AS r FROM up JOIN repos ON prefix = repo) WHERE r = 1 GROUP BY page_id""")
 def a9_nearest_repository(spark, sf_dir):
-    """Longest-prefix assignment as an equi-join on a path's own prefixes."""
-    p = paths(spark, sf_dir)
-    parts = F.split("path", "/")
-    up = p.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("repo"))
-    repos = p.select(F.explode(F.array(F.concat_ws("/", F.split_part("path", F.lit("/"), F.lit(1)), F.split_part("path", F.lit("/"), F.lit(2))), F.split_part("path", F.lit("/"), F.lit(1)))).alias("repo")).distinct()
-    return up.join(repos, "repo").groupBy("page_id").agg(F.max_by("repo", F.length("repo")).alias("repo"))
+    p = paths(spark, sf_dir).withColumnRenamed("path", "relative_path")
+    cutp = lambda i: F.split_part("relative_path", F.lit("/"), F.lit(i))
+    repos = p.select(F.explode(F.array(F.concat_ws("/", cutp(1), cutp(2)), cutp(1))).alias("relative_path")).distinct()
+    return workspace.nearest_repository(p, repos).select("page_id", "repo")
 
 
 @query("""WITH h AS (SELECT source, md5(doc_id || ':' || md5(coalesce(text, ''))) AS h FROM documents), b AS (SELECT source, substr(h, 1, 3) AS b, md5(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1, 2)
@@ -113,7 +120,10 @@ def a15_point_lookup(spark, sf_dir):
 
 @query("SELECT conv_id, max_by(text, turn) AS text, max(turn) AS turn, count(*) AS versions FROM conversations GROUP BY conv_id")
 def a17_last_segment_wins(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"), F.count("*").alias("versions"))
+    rows = read(spark, sf_dir, "conversations")
+    turns = [r[0] for r in rows.select("turn").distinct().orderBy("turn").collect()]  # a turn is a segment
+    last = files.segments([rows.filter(F.col("turn") == t) for t in turns], "conv_id")
+    return last.join(rows.groupBy("conv_id").agg(F.count("*").alias("versions")), "conv_id").select("conv_id", "text", "turn", "versions")
 
 
 # --- sinks and maintenance (B) --------------------------------------------------------------
@@ -178,24 +188,6 @@ def c3_best_replacement(spark, sf_dir):
     return layers.best_replacement(rows).select("old_id", "replacement_id")
 
 
-@query(f"""WITH {LINES}, hidden AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'), every AS (SELECT *, 0 AS layer FROM over UNION ALL SELECT *, 1 FROM base)
- SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY layer, l_orderkey, l_linenumber) AS r FROM every WHERE l_orderkey NOT IN (SELECT * FROM hidden)) WHERE r = 1""")
-def c5_c6_logical_view(spark, sf_dir):
-    t = read(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "P").alias("active"), F.col("o_orderkey").alias("object_id"), F.lit(None).cast("long").alias("baseline_id"))
-    both = [layers.live(x, t, "l_orderkey") for x in line_layers(spark, sf_dir)]
-    return layers.merge(both, ["l_partkey"], ["l_orderkey", "l_linenumber"]).select("l_partkey", "l_orderkey", "l_linenumber")
-
-
-@query(f"""WITH {PARTS}, moved AS (SELECT p_partkey AS old_id, max(p_partkey) OVER (PARTITION BY p_brand, p_type) AS final_id FROM part)
- SELECT l_suppkey AS src, final_id AS dst, count(*) AS edges FROM lineitem JOIN moved ON l_partkey = old_id WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2""")
-def c7_redirected_relations(spark, sf_dir):
-    edges = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
-    moved = layers.resolve(part_pairs(spark, sf_dir)).select(F.concat(F.lit("p"), "old_id").alias("old_id"), F.concat(F.lit("p"), "final_id").alias("final_id"))
-    nodes = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node")).union(read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey")))
-    got = layers.redirect_edges(edges, nodes, moved)
-    return got.groupBy(F.substring("src", 2, 20).cast("long").alias("src"), F.substring("dst", 2, 20).cast("long").alias("dst")).agg(F.count("*").alias("edges"))
-
-
 @query(f"WITH {PATHS}, s AS (SELECT DISTINCT split_part(path, '/', 1) || '/en' AS scope FROM paths) SELECT page_id, scope FROM paths JOIN s ON split_part(path, '/', 1) = split_part(scope, '/', 1) WHERE path = scope OR starts_with(path, scope || '/')")
 def c14_path_scope(spark, sf_dir):
     p = paths(spark, sf_dir).withColumn("root", F.split_part("path", F.lit("/"), F.lit(1)))
@@ -205,7 +197,7 @@ def c14_path_scope(spark, sf_dir):
 
 # --- full text (F) ------------------------------------------------------------------------------
 
-BM25 = """t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark),
+BM25 = """t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS w FROM documents), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS term FROM benchmark),
  need AS (SELECT item_id, count(*) AS need FROM q GROUP BY 1), st AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t),
  tf AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -233,23 +225,10 @@ def f5_cross_store_rrf(spark, sf_dir):
     return fulltext.fuse(ranked, ["l_partkey"]).select("l_partkey", "score", "lists", n("best_rank"))
 
 
-@query("""SELECT doc_id, CASE WHEN source = 'src0' THEN 'doc_fts' ELSE 'code_fts' END AS index_name, coalesce(nullif(split_part(text, chr(10), 1), ''), lang, '') AS title,
- CASE WHEN length(f) > 240 THEN substr(f, 1, 237) || '...' ELSE f END AS snippet FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)""")
-def f6_f8_f13_projection(spark, sf_dir):
-    """Index rows of chunks: title by fallbacks, snippet, and the index they go to."""
+@query("""SELECT doc_id, coalesce(nullif(split_part(text, chr(10), 1), ''), lang, '') AS title, CASE WHEN length(f) > 240 THEN rtrim(substr(f, 1, 237)) || '...' ELSE f END AS excerpt, substr(text, 1, 240) AS snippet FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)""")
+def f13_h15_snippets(spark, sf_dir):
     title = F.coalesce(F.nullif(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("")), "lang", F.lit(""))
-    return read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("source") == "src0", "doc_fts").otherwise("code_fts").alias("index_name"), title.alias("title"), tx.excerpt(F.col("text")).alias("snippet"))
-
-
-@query("SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS modules FROM customer GROUP BY 1")
-def f10_module_names(spark, sf_dir):
-    return read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("modules"))
-
-
-@query("SELECT p_partkey, p_name FROM part WHERE position('ea' IN regexp_replace(lower(trim(p_name)), '\\s+', ' ', 'g')) > 0 OR position('st' IN lower(p_type)) > 0")
-def f12_module_filter(spark, sf_dir):
-    norm = F.regexp_replace(F.lower(F.trim("p_name")), r"\s+", " ")
-    return read(spark, sf_dir, "part").filter((F.instr(norm, "ea") > 0) | (F.instr(F.lower("p_type"), "st") > 0)).select("p_partkey", "p_name")
+    return read(spark, sf_dir, "documents").select("doc_id", title.alias("title"), tx.excerpt(F.col("text")).alias("excerpt"), F.substring("text", 1, 240).alias("snippet"))
 
 
 # --- vectors (E) ------------------------------------------------------------------------------------
@@ -259,12 +238,16 @@ def f12_module_filter(spark, sf_dir):
  FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10""")
 def e2_e3_vector_top_k(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
-    return vectors.top_k(rows, rows.filter("vec_id % 20 = 0"), 10).select("query_id", "vec_id", "score", n("rank"))
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.top_k(rows, asked, 10).select("query_id", "vec_id", "score", n("rank"))
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents), h AS (SELECT doc_id, sha256(t) AS h FROM t),
+ b AS (SELECT doc_id, ('0x' || h[1:2])::INT AS b0, ('0x' || h[3:4])::INT AS b1, CASE WHEN ('0x' || h[5:6])::INT % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS s, ('0x' || h[7:8])::INT AS b3 FROM h),
+ p AS (SELECT doc_id, b0 % 24 AS dim, s * (1 + b3 / 255) AS x FROM b UNION ALL SELECT doc_id, b1 % 24, s * 0.5 FROM b), v AS (SELECT doc_id, dim, sum(x) AS x FROM p GROUP BY 1, 2 HAVING abs(sum(x)) > 1e-9), w AS (SELECT doc_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM v)
+ SELECT doc_id, dim::BIGINT AS dim, round(x, 4) AS value FROM w UNION ALL SELECT doc_id, 0, 1.0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM v)""")
 def e1_hash_embedding(spark, sf_dir):
-    return vectors.hash_embedding(read(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", n("dim"), "value")
+    return vectors.hash_embedding(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", n("dim"), F.round("value", 4).alias("value"))
 
 
 @query("SELECT text_digest, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, md5(text) AS text_digest FROM documents WHERE NOT regexp_matches(text, '(?i)(password|token|secret|api_key) *[=:]')) GROUP BY 1")

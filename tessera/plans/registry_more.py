@@ -6,36 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import fulltext, graph, layers, ranking
+from ..operators import fusion, validation
+from ..sources import files
+from ..operators import fulltext, graph, indexing, layers, ranking
 from .registry import PATHS, n, paths, query, read
 
-# --- symbols (Y) -----------------------------------------------------------------------------------
-
-
-@query("""WITH s AS (SELECT DISTINCT p_type AS symbol FROM part), c AS (SELECT symbol, p_partkey, CASE WHEN p_name = symbol THEN 1.0 WHEN p_type = symbol THEN 0.99 WHEN p_brand = symbol THEN 0.94 END::DOUBLE AS score, p_name FROM s JOIN part ON symbol = p_type)
- SELECT symbol, p_partkey, score, r AS rank, count AS total FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, p_name, p_partkey) AS r, count(*) OVER (PARTITION BY symbol) AS count FROM c) WHERE r <= 5""")
-def y2_y6_symbol_candidates(spark, sf_dir):
-    parts = read(spark, sf_dir, "part")
-    symbols = parts.select(F.col("p_type").alias("symbol")).distinct()
-    c = parts.join(symbols, parts["p_type"] == F.col("symbol"))
-    score = F.when(F.col("p_name") == F.col("symbol"), 1.0).when(F.col("p_type") == F.col("symbol"), 0.99).when(F.col("p_brand") == F.col("symbol"), 0.94)
-    w = Window.partitionBy("symbol")
-    c = c.withColumn("score", score).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "p_name", "p_partkey"))).withColumn("total", F.count("*").over(w))
-    return c.filter("rank <= 5").select("symbol", "p_partkey", "score", n("rank"), "total")
-
-
-@query("""WITH c AS (SELECT n_nationkey AS key, c_custkey, c_acctbal / 10000 AS score FROM customer JOIN nation ON c_nationkey = n_nationkey), r AS (SELECT key, count(*) AS n, max(score) AS top, max(score) FILTER (WHERE k = 2) AS second FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, c_custkey) AS k FROM c) GROUP BY key)
- SELECT n_nationkey AS key, CASE WHEN n IS NULL THEN 'zero_result' WHEN n = 1 THEN 'resolved' WHEN top - second >= 0.15 THEN 'resolved' ELSE 'multi_result' END AS status FROM nation LEFT JOIN r ON n_nationkey = key""")
-def y9_resolve_status(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"), (F.col("c_acctbal") / 10000).alias("score"), F.col("c_custkey").alias("id"))
-    return ranking.resolve_status(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key")), c, 0.15)
-
-
-@query("SELECT p_brand || ' | ' || p_type AS disambiguation, count(*) AS parts, min(p_partkey) AS first FROM part GROUP BY 1")
-def y8_disambiguation(spark, sf_dir):
-    return read(spark, sf_dir, "part").groupBy(F.concat_ws(" | ", "p_brand", "p_type").alias("disambiguation")).agg(F.count("*").alias("parts"), F.min("p_partkey").alias("first"))
-
-
 # --- graph (G) -------------------------------------------------------------------------------------
 
 EDGES = """e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 'located_in' AS relation_type FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'located_in' FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'belongs_to' FROM nation),
@@ -84,59 +59,9 @@ def h1_weighted_rrf(spark, sf_dir):
     return fulltext.fuse(ranked, ["id"], "w").select("id", "score", "lists", n("best_rank"))
 
 
-@query("""SELECT o_orderkey, round(0.01 * (1 + 0.20 * CASE o_orderpriority WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.85 WHEN '3-MEDIUM' THEN 0.6 ELSE 0.3 END + 0.15 * CASE o_orderstatus WHEN 'O' THEN 1.0 WHEN 'P' THEN 0.45 ELSE 0 END
- + 0.15 * CASE WHEN age <= 7 THEN 1.0 WHEN age <= 30 THEN 0.8 WHEN age <= 90 THEN 0.55 WHEN age <= 365 THEN 0.25 ELSE 0 END), 6) AS score FROM (SELECT *, date_diff('day', o_orderdate::DATE, (SELECT max(o_orderdate)::DATE FROM orders)) AS age FROM orders)""")
-def h3_h5_rerank(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
-    clock = o.agg(F.max("o_orderdate")).first()[0]
-    authority = F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).when(F.col("o_orderpriority") == "2-HIGH", 0.85).when(F.col("o_orderpriority") == "3-MEDIUM", 0.6).otherwise(0.3)
-    profile = F.when(F.col("o_orderstatus") == "O", 1.0).when(F.col("o_orderstatus") == "P", 0.45).otherwise(0.0)
-    return o.select("o_orderkey", F.round(ranking.rerank(F.lit(0.01), authority, profile, ranking.freshness(F.col("o_orderdate"), F.lit(clock))), 6).alias("score"))
-
-
-@query("""WITH r(intent, pattern, weight) AS (VALUES ('symbol', '[a-z]+_[a-z]+', 0.4), ('config', '(?i)config', 0.5), ('question', '\\?', 0.3), ('long', '^.{200,}', 0.2)),
- s AS (SELECT conv_id, turn, intent, weight AS score FROM conversations JOIN r ON regexp_matches(text, pattern)), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, intent) AS rn FROM s)
- SELECT conv_id, turn, CASE WHEN score < 0.3 THEN 'unknown' ELSE intent END AS intent, score::DOUBLE AS score FROM k WHERE rn = 1""")
-def h8_h9_intent(spark, sf_dir):
-    rules = (("symbol", "[a-z]+_[a-z]+", 0.4), ("config", "(?i)config", 0.5), ("question", "\\?", 0.3), ("long", "^.{200,}", 0.2))
-    return ranking.intents(read(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", rules, least=0.3)
-
-
-@query("""SELECT item_id, doc_id, priority::BIGINT AS priority FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY priority, item_id, doc_id) AS r FROM (SELECT item_id, NULL::BIGINT AS doc_id, md5(text) AS key, 1 AS priority FROM benchmark UNION ALL SELECT NULL, doc_id, md5(text), 2 FROM documents)) WHERE r = 1""")
-def h13_evidence_bundle(spark, sf_dir):
-    a = read(spark, sf_dir, "benchmark").select("item_id", F.lit(None).cast("long").alias("doc_id"), F.md5("text").alias("key"))
-    b = read(spark, sf_dir, "documents").select(F.lit(None).cast("long").alias("item_id"), "doc_id", F.md5("text").alias("key"))
-    got = layers.merge([a, b], ["key"], [F.col("item_id").asc_nulls_last(), F.col("doc_id").asc_nulls_last()])
-    return got.select("item_id", "doc_id", (F.col("layer_rank") + 1).cast("long").alias("priority"))
-
-
-@query("""WITH v AS (SELECT l_returnflag AS p, 'M' || l_linenumber AS macro, (avg(l_discount) > 0.05) AS value FROM lineitem GROUP BY 1, 2)
- SELECT coalesce(a.macro, b.macro) AS macro, a.value AS left_value, b.value AS right_value FROM (SELECT * FROM v WHERE p = 'A') a FULL JOIN (SELECT * FROM v WHERE p = 'R') b ON a.macro = b.macro""")
-def h18_profile_diff(spark, sf_dir):
-    v = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("p"), F.concat(F.lit("M"), "l_linenumber").alias("macro")).agg((F.avg("l_discount") > 0.05).alias("value"))
-    a, b = (v.filter(F.col("p") == x).select("macro", F.col("value").alias(c)) for x, c in (("A", "left_value"), ("R", "right_value")))
-    return a.join(b, "macro", "full")
-
-
-@query("SELECT page_id FROM pages WHERE contains(lower(url || ' ' || html), 'example.net')")
-def h21_item_filter(spark, sf_dir):
-    return read(spark, sf_dir, "pages").filter(F.contains(F.lower(F.concat_ws(" ", "url", "html")), F.lit("example.net"))).select("page_id")
-
-
 # --- indexing and incremental (I) --------------------------------------------------------------------
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents) SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE trim(line) = '') AS blank, max(length(line)) AS longest FROM l GROUP BY doc_id""")
-def i7_lines(spark, sf_dir):
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.trim("line") == "").alias("blank"), F.max(F.length("line")).cast("long").alias("longest"))
-
-
-@query("""SELECT page_id, len(regexp_extract_all(html, '<h[1-6][^>]*>'))::BIGINT AS headings, len(regexp_extract_all(html, '<p[^>]*>'))::BIGINT AS paragraphs, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
-def i2_i5_html_blocks(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<h[1-6][^>]*>"), F.lit(0))).cast("long").alias("headings"), F.size(F.regexp_extract_all("html", F.lit("<p[^>]*>"), F.lit(0))).cast("long").alias("paragraphs"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
 @query("""WITH a AS (SELECT doc_id, source, lang FROM documents) SELECT lang, source, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' WHEN x = y THEN 'unchanged' ELSE 'changed' END AS change
  FROM (SELECT lang, source, min(n_chars) AS x FROM documents WHERE n_chars > 1000 GROUP BY 1, 2) FULL JOIN (SELECT lang, source, min(n_chars) AS y FROM documents WHERE n_chars > 1100 GROUP BY 1, 2) USING (lang, source)""")
 def i25_i26_diff(spark, sf_dir):
@@ -154,16 +79,7 @@ def i34_sliding_eta(spark, sf_dir):
 @query(f"""WITH {PATHS}, p AS (SELECT unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS dir, array_to_string(string_split(path, '/')[1:len(string_split(path, '/'))-1], '/') AS own FROM paths)
  SELECT dir, count(*) AS total, count(*) FILTER (WHERE own = dir) AS direct FROM p GROUP BY dir""")
 def i35_directory_rollup(spark, sf_dir):
-    parts = F.split("path", "/")
-    own = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
-    up = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
-    each = paths(spark, sf_dir).select(F.explode(up).alias("dir"), own.alias("own"))
-    return each.groupBy("dir").agg(F.count("*").alias("total"), F.count_if(F.col("own") == F.col("dir")).alias("direct"))
-
-
-@query("SELECT source, count(*) AS files, sum(n_chars)::BIGINT AS size, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs FROM documents GROUP BY source")
-def i37_layer_views(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("size"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
+    return indexing.directory_rollup(paths(spark, sf_dir)).select("dir", "total", "direct")
 
 
 @query("SELECT s_suppkey, array_to_string(list_transform(regexp_extract_all(s_name, '[A-Z]?[a-z]+|[0-9]+'), lambda x: lower(x)), ' ') AS words FROM supplier")
@@ -174,11 +90,6 @@ def i38_name_words(spark, sf_dir):
 # --- quality and evaluation (Q) -------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)bearer +[A-Za-z0-9._-]+', 'Bearer [REDACTED]', 'g'), '(?i)(password|token|secret|api_key) *[=:] *"?[^" ,;]+"?', '\\1=[REDACTED]', 'g'), 'AKIA[0-9A-Z]{16}', '[REDACTED_KEY]', 'g'), '/(home|root|Users)/[A-Za-z0-9_./-]+', '[PATH]', 'g') AS text FROM documents""")
-def q10_q11_redaction(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", tx.redact(F.col("text")).alias("text"))
-
-
 @query("SELECT conv_id, turn, sha256(text) AS query_hash, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) ELSE text END AS preview FROM conversations")
 def q12_query_hash(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("query_hash"), F.substring("text", 1, 80).alias("preview"))
@@ -189,26 +100,13 @@ def q13_metrics(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("count"), F.round(F.sum("value"), 4).alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), F.max_by("value", "event_id").alias("last"))
 
 
-@query("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank FROM events), f AS (SELECT user_id, min(rank) FILTER (WHERE event_type = 'purchase') AS first FROM r GROUP BY 1)
- SELECT round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS top_5, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END), 6) AS top_3, count(*) AS cases FROM f""")
-def q14_q19_retrieval_metrics(spark, sf_dir):
-    r = read(spark, sf_dir, "events").withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    first = r.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.col("rank"))).alias("first"))
-    return ranking.retrieval_metrics(first)
-
-
 @query("SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, round(quantile_cont(value, 0.95), 6) AS p95_linear, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def q15_q17_percentiles(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.round(F.expr("percentile(value, 0.95)"), 6).alias("p95_linear"), F.round(F.avg("value"), 6).alias("mean"))
-
-
-@query("""WITH a AS (SELECT c_nationkey AS k, md5(string_agg(c_name, '' ORDER BY c_name)) AS h FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, md5(string_agg(s_name, '' ORDER BY s_name)) AS h FROM supplier GROUP BY 1)
- SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k""")
-def q9_collection_compare(spark, sf_dir):
-    def side(table, key, name):
-        return read(spark, sf_dir, table).groupBy(F.col(key).alias("k")).agg(F.md5(F.array_join(F.array_sort(F.collect_list(name)), "")).alias("h"))
-
-    return layers.diff(side("customer", "c_nationkey", "c_name"), side("supplier", "s_nationkey", "s_name"), ["k"], "h")
+    rows = read(spark, sf_dir, "events")
+    p = ranking.percentiles(rows, ["event_type"], "value", (0.5, 0.95))
+    at = lambda q, c: F.max(F.when(F.col("q") == q, F.col(c)))
+    p = p.groupBy("event_type").agg(at(0.5, "nearest").alias("p50"), at(0.95, "nearest").alias("p95"), F.round(at(0.95, "linear"), 6).alias("p95_linear"))
+    return p.join(rows.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean")), "event_type")
 
 
 @query("""WITH m(quality, least) AS (VALUES (0, 100), (1, 10000)) SELECT quality::BIGINT AS quality, coalesce(n, 0) AS cases, greatest(least - coalesce(n, 0), 0)::BIGINT AS gap FROM m LEFT JOIN (SELECT quality, count(*) AS n FROM labels GROUP BY 1) USING (quality)""")
@@ -219,65 +117,201 @@ def q18_coverage_gap(spark, sf_dir):
     return least.join(got, "quality", "left").select(n("quality"), cases.alias("cases"), F.greatest(F.col("least") - cases, F.lit(0).cast("long")).alias("gap"))
 
 
-@query("""WITH d AS (SELECT doc_id FROM documents) SELECT 'label_without_document' AS issue, count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM d) UNION ALL SELECT 'document_without_label', count(*) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)
- UNION ALL SELECT 'length_mismatch', count(*) FROM documents WHERE n_chars <> length(text)""")
-def q1_q3_consistency(spark, sf_dir):
-    d, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    count = lambda df, name: df.agg(F.lit(name).alias("issue"), F.count("*").alias("n"))
-    return count(labels.join(d.select("doc_id"), "doc_id", "left_anti"), "label_without_document").union(count(d.join(labels.select("doc_id"), "doc_id", "left_anti"), "document_without_label")).union(count(d.filter(F.col("n_chars") != F.length("text")), "length_mismatch"))
+@query("""WITH p AS (SELECT *, (l_returnflag = 'A' OR NULLIF(l_returnflag, 'R') = 'Q') AND NOT (l_linestatus = 'F') AS v FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN v THEN 'enabled_by' WHEN NOT v THEN 'disabled_by' ELSE 'unknown_by' END AS relation FROM p""")
+def i23_three_valued_conditions(spark, sf_dir):
+    """Conditions over macros in three-valued logic: null is unknown."""
+    from ..functions.conditions import compile_condition
 
+    macros = {"A": F.col("l_returnflag") == "A", "Q": F.nullif(F.col("l_returnflag"), F.lit("R")) == "Q", "FINISHED": F.col("l_linestatus") == "F"}
+    v = compile_condition("(A || Q) && not FINISHED", macros)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(v, "enabled_by").when(~v, "disabled_by").otherwise("unknown_by").alias("relation"))
 
-@query("SELECT p_partkey, s_suppkey FROM (SELECT l_partkey AS p_partkey, l_suppkey AS s_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY sum(l_quantity) DESC, min(l_orderkey), l_suppkey) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1")
-def i18_best_chunk(spark, sf_dir):
-    """The best chunk of an item: highest score, ties to the earliest."""
-    scored = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).agg(F.sum("l_quantity").alias("score"), F.min("l_orderkey").alias("ordinal"))
-    best = F.max_by("s_suppkey", F.struct("score", (-F.col("ordinal")).alias("o"), (-F.col("s_suppkey")).alias("s")))
-    return scored.groupBy("p_partkey").agg(best.alias("s_suppkey"))
 
+# --- fusion and results (H) --------------------------------------------------------------------------------
 
-@query("""WITH o AS (SELECT c_custkey, o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey DESC) AS r FROM orders JOIN customer ON o_custkey = c_custkey)
- SELECT a.c_custkey, a.o_orderkey AS old_id, b.o_orderkey AS new_id FROM (SELECT * FROM o WHERE o_orderstatus = 'F') a LEFT JOIN (SELECT * FROM o WHERE o_orderstatus = 'O' AND r = 1) b ON a.c_custkey = b.c_custkey AND a.o_orderpriority IS NOT DISTINCT FROM b.o_orderpriority""")
-def i28_object_matching(spark, sf_dir):
-    """Old objects against new ones by a null-safe key; the last new row wins, no match is a tombstone."""
-    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
-    old = o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("old_id"), F.col("o_orderpriority").alias("a"))
-    new = o.filter("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("k")).agg(F.max_by(F.struct("o_orderkey", "o_orderpriority"), "o_orderkey").alias("last"))
-    got = old.join(new, (F.col("c_custkey") == F.col("k")) & F.col("a").eqNullSafe(F.col("last.o_orderpriority")), "left")
-    return got.select("c_custkey", "old_id", F.col("last.o_orderkey").alias("new_id"))
+_AUTHORITY = {"source_doc": 1.0, "api_doc": 0.95, "widget_doc": 0.92, "workspace_code": 0.82, "source_code": 0.80, "workspace_map": 0.68, "derived": 0.40, "synthetic": 0.28, "official": 0.20}
+_LEVELS = list(_AUTHORITY)
+_CANDIDATES = f"""c AS (SELECT o_orderkey AS id, o_custkey % 7 AS query_id, ['code_exact', 'api_lookup', 'call_trace', 'unknown'][1 + o_orderkey % 4] AS intent, {_LEVELS}[1 + o_orderkey % {len(_LEVELS)}] AS level, CASE o_orderstatus WHEN 'O' THEN 'en' WHEN 'P' THEN 'all' ELSE 'fr' END AS profile, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS seen_at, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 END AS depth, round(o_totalprice / 1e7, 6) AS fused, o_orderkey % 2 = 0 AS sym, o_orderkey % 3 = 1 AS vec, (SELECT max(o_orderdate) FROM orders) AS clock FROM orders)"""
 
 
-@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'unknown' WHEN bool_or(event_type = 'signup') THEN 'disabled' WHEN bool_or(event_type = 'purchase') THEN 'enabled' ELSE 'not_applicable' END AS state, min(value) AS confidence FROM events GROUP BY user_id""")
-def i24_state_across_profiles(spark, sf_dir):
-    """unknown before disabled before enabled; the least confidence."""
-    has = lambda kind: F.bool_or(F.col("event_type") == kind)
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.when(has("error"), "unknown").when(has("signup"), "disabled").when(has("purchase"), "enabled").otherwise("not_applicable").alias("state"), F.min("value").alias("confidence"))
+@query(f"""WITH {_CANDIDATES}, f AS (SELECT *, coalesce(1.0 / (depth + 1), 0) AS prox, epoch(clock) - epoch(seen_at::TIMESTAMP) AS age FROM c)
+ SELECT query_id, id, round(fused * (1 + 0.20 * CASE level {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _AUTHORITY.items())} END + 0.15 * CASE profile WHEN 'en' THEN 1.0 WHEN 'all' THEN 0.45 ELSE 0 END + 0.15 * CASE WHEN age <= 7 * 86400 THEN 1.0 WHEN age <= 30 * 86400 THEN 0.8 WHEN age <= 90 * 86400 THEN 0.55 WHEN age <= 365 * 86400 THEN 0.25 ELSE 0 END + 0.15 * prox + 0.05 * least(1.0, (1 + sym::INT + vec::INT) / 3.0)
+ + CASE WHEN sym AND intent IN ('code_exact', 'call_trace') THEN 0.10 ELSE 0 END + CASE WHEN vec AND intent IN ('api_lookup', 'unknown') THEN 0.08 ELSE 0 END + CASE WHEN intent = 'call_trace' THEN 0.08 * prox ELSE 0 END), 6) AS score FROM f""")
+def h3_h4_h5_h6_rerank(spark, sf_dir):
+    """Authority table, profile match, freshness, proximity, coverage, intent bonus."""
+    o = read(spark, sf_dir, "orders")
+    clock = F.lit(o.agg(F.max("o_orderdate")).first()[0])
+    k = F.col("o_orderkey")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (1 + i).cast("int"))
+    one = lambda name, when: F.when(when, F.struct(F.lit(name).alias("retriever")))
+    signals = F.filter(F.array(one("fts", F.lit(True)), one("symbol", k % 2 == 0), one("vector", k % 3 == 1)), lambda x: x.isNotNull())
+    rows = o.select(k.alias("candidate_id"), (F.col("o_custkey") % 7).alias("query_id"), pick(("code_exact", "api_lookup", "call_trace", "unknown"), k % 4).alias("intent"), pick(_LEVELS, k % len(_LEVELS)).alias("authority_level"), F.when(F.col("o_orderstatus") == "O", "en").when(F.col("o_orderstatus") == "P", "all").otherwise("fr").alias("profile_id"), F.when(k % 5 > 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("freshness_ts"), F.when(k % 3 == 0, k % 4).alias("graph_depth"), F.lit(0.0).alias("graph_proximity"), F.round(F.col("o_totalprice") / 1e7, 6).alias("fused"), signals.alias("signals"))
+    return fusion.rerank(rows, clock, "en").select("query_id", F.col("candidate_id").alias("id"), "score")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.8 ELSE 0.6 END::DOUBLE AS unasked, CASE c_mktsegment WHEN 'BUILDING' THEN 1.0 ELSE 0.45 END::DOUBLE AS asked, row_number() OVER (PARTITION BY c_nationkey ORDER BY round(abs(c_acctbal) / 1e5, 6) DESC, c_custkey) AS rank FROM customer")
+def h4_h7_profile_match_and_noop(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    own = F.when(F.col("c_mktsegment") == "BUILDING", "en").otherwise("all")
+    rows = c.select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("candidate_id"), F.round(F.abs("c_acctbal") / 1e5, 6).alias("fused"), own.alias("profile_id"))
+    got = fusion.rerank(rows, F.current_timestamp(), mode="none")
+    return got.select(F.col("candidate_id").alias("c_custkey"), fusion.profile_match(F.col("profile_id"), F.lit("auto")).alias("unasked"), fusion.profile_match(F.col("profile_id"), F.lit("EN ")).alias("asked"), n("rank"))
+
+
+@query("""WITH l AS (SELECT l_orderkey % 50 AS query_id, 'c' || l_partkey % 40 AS id, CASE l_linenumber % 3 WHEN 0 THEN 'symbol' WHEN 1 THEN 'fts' ELSE 'vector' END AS retriever, l_linenumber % 3 AS place, CASE l_linenumber % 3 WHEN 0 THEN 0.55 WHEN 1 THEN 0.3 ELSE 0.0 END AS weight, max(l_quantity) AS raw FROM lineitem WHERE l_orderkey % 200 < 50 GROUP BY 1, 2, 3, 4, 5),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, retriever ORDER BY raw DESC, id) AS rank FROM l)
+ SELECT query_id, id AS candidate_id, round(sum(weight / (60 + rank)), 6) AS fused, max(raw) AS raw_score, first(CASE WHEN retriever = 'symbol' THEN 'S' || rank ELSE 'F' END ORDER BY place, rank) AS title, coalesce(first(retriever ORDER BY place) FILTER (WHERE retriever = 'symbol'), 'all') AS profile_id, array_to_string(list_distinct(list(retriever ORDER BY place))[1:0] || list(retriever ORDER BY place), ',') AS reasons FROM r WHERE weight > 0 GROUP BY 1, 2""")
+def h1_h2_fusion_merge(spark, sf_dir):
+    """Weighted ranks of three lists, one of them without weight; columns merge by their rules."""
+    li = read(spark, sf_dir, "lineitem").filter("l_orderkey % 200 < 50")
+    m = F.col("l_linenumber") % 3
+    name = F.when(m == 0, "symbol").when(m == 1, "fts").otherwise("vector")
+    rows = li.groupBy((F.col("l_orderkey") % 50).alias("query_id"), F.concat(F.lit("c"), F.col("l_partkey") % 40).alias("candidate_id"), name.alias("retriever"), m.alias("place"), F.when(m == 0, 0.55).when(m == 1, 0.3).otherwise(0.0).alias("weight")).agg(F.max("l_quantity").alias("raw_score"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "retriever").orderBy(F.desc("raw_score"), "candidate_id")))
+    symbol, none = F.col("retriever") == "symbol", F.lit(None).cast("string")
+    rows = rows.withColumns({"object_type": F.lit("chunk"), "title": F.when(symbol, F.concat(F.lit("S"), "rank")).otherwise("F"), "relative_path": none, "source_scope": none, "snippet": none, "profile_id": F.when(symbol, "symbol").otherwise("all"), "graph_depth": F.lit(None).cast("int"), "graph_proximity": F.lit(0.0), "authority_level": F.lit("derived"), "freshness_ts": none, "source_index": F.lit("baseline"), "module_names": F.array().cast("array<string>"), "evidence_keys": F.array().cast("array<string>"), "match_reasons": F.array("retriever")})
+    return fusion.fuse(rows).select("query_id", "candidate_id", "fused", "raw_score", "title", "profile_id", F.array_join("match_reasons", ",").alias("reasons"))
+
+
+@query("""WITH p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'knowledge-sources/api/' || lang || '.md' WHEN 1 THEN 'out/' || source || '/.config' WHEN 2 THEN 'boards/x_defconfig' ELSE source || '/a.c' END AS path, ['file', 'relation', 'layer', 'profile', 'chunk'][1 + (doc_id // 5) % 5] AS kind, CASE WHEN doc_id % 7 = 0 THEN 'official' END AS named FROM documents)
+ SELECT doc_id, CASE WHEN doc_id % 5 IN (1, 2) THEN 'config' WHEN doc_id % 5 = 0 THEN 'doc' WHEN kind = 'relation' THEN 'graph' WHEN kind = 'layer' THEN 'workspace' WHEN kind = 'profile' THEN 'profile' ELSE 'code' END AS type, coalesce(named, CASE WHEN doc_id % 5 = 0 THEN 'source_doc' WHEN doc_id % 5 IN (1, 2) THEN 'profile_config' ELSE 'workspace_code' END) AS authority FROM p""")
+def h16_evidence_classes(spark, sf_dir):
+    d, k = read(spark, sf_dir, "documents"), F.col("doc_id")
+    path = F.when(k % 5 == 0, F.concat(F.lit("knowledge-sources/api/"), "lang", F.lit(".md"))).when(k % 5 == 1, F.concat(F.lit("out/"), "source", F.lit("/.config"))).when(k % 5 == 2, "boards/x_defconfig").otherwise(F.concat("source", F.lit("/a.c")))
+    kind = F.element_at(F.array(*map(F.lit, ("file", "relation", "layer", "profile", "chunk"))), (1 + F.floor(k / 5) % 5).cast("int"))
+    return d.select("doc_id", fusion.evidence_type(path, kind).alias("type"), fusion.authority_level(path, F.when(k % 7 == 0, "official")).alias("authority"))
+
+
+@query("SELECT event_id, round(least(1.0, 0.85 * (value - floor(value)) + 0.15), 6) AS confidence, CASE WHEN event_id % 11 = 0 THEN 'partial_ready' WHEN event_id % 3 = 0 THEN 'zero_result' WHEN value - floor(value) < 0.5 OR event_id % 5 = 0 THEN 'low_confidence' ELSE 'ok' END AS status, event_type || ' 的相关证据有哪些？' AS suggestion FROM events")
+def h17_h20_statuses(spark, sf_dir):
+    e, k = read(spark, sf_dir, "events"), F.col("event_id")
+    c = F.col("value") - F.floor("value")
+    warnings = F.filter(F.array(F.when(k % 11 == 0, "index.partial_ready"), F.when(k % 5 == 0, "router.low_confidence")), lambda x: x.isNotNull())
+    return e.select("event_id", fusion.result_confidence(c).alias("confidence"), fusion.result_status((k % 3).cast("int"), c, warnings).alias("status"), fusion.suggestions(F.concat(F.lit(" "), "event_type"))[2].alias("suggestion"))
+
+
+@query("""WITH v AS (SELECT l_returnflag AS p, 'CONFIG_M' || l_partkey % 60 AS macro, CASE WHEN l_partkey % 60 % 9 = 0 THEN '' ELSE (max(l_linenumber) % 2)::VARCHAR END AS value, avg(l_discount) > 0.05 AS enabled, 'bool' AS value_type FROM lineitem WHERE l_partkey % 7 <> CASE l_returnflag WHEN 'A' THEN 0 ELSE 1 END AND l_orderkey % 40 = 1 GROUP BY 1, 2, l_partkey % 60)
+ SELECT coalesce(a.macro, b.macro) AS macro, CASE WHEN a.macro IS NULL THEN 'missing' WHEN a.value <> '' THEN a.value WHEN a.enabled THEN 'y' ELSE 'n' END AS left_value, CASE WHEN b.macro IS NULL THEN 'missing' WHEN b.value <> '' THEN b.value WHEN b.enabled THEN 'y' ELSE 'n' END AS right_value FROM (SELECT * FROM v WHERE p = 'A') a FULL JOIN (SELECT * FROM v WHERE p = 'R') b ON a.macro = b.macro
+ WHERE a.macro IS NULL OR b.macro IS NULL OR a.value <> b.value OR a.enabled <> b.enabled ORDER BY 1 LIMIT 12""")
+def h18_h19_macro_diff(spark, sf_dir):
+    k = F.col("l_partkey") % 60
+    li = read(spark, sf_dir, "lineitem").filter((F.col("l_orderkey") % 40 == 1) & (F.col("l_partkey") % 7 != F.when(F.col("l_returnflag") == "A", 0).otherwise(1)))
+    v = li.groupBy(F.col("l_returnflag").alias("p"), F.concat(F.lit("CONFIG_M"), k).alias("macro"), k.alias("k")).agg(F.when(F.col("k") % 9 == 0, "").otherwise((F.max("l_linenumber") % 2).cast("string")).alias("value"), (F.avg("l_discount") > 0.05).alias("enabled"), F.lit("bool").alias("value_type"))
+    return fusion.macro_diff(v.filter("p = 'A'"), v.filter("p = 'R'"))
+
+
+@query("SELECT page_id FROM pages WHERE contains(lower(url || ' ' || html), 'example.net') ORDER BY page_id LIMIT 20")
+def h21_item_filter(spark, sf_dir):
+    return fusion.filter_items(read(spark, sf_dir, "pages"), " Example.NET", "page_id", 20).select("page_id")
 
 
-@query("""WITH p AS (SELECT *, (l_returnflag = 'A' OR NULLIF(l_returnflag, 'R') = 'Q') AND NOT (l_linestatus = 'F') AS v FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN v THEN 'enabled_by' WHEN NOT v THEN 'disabled_by' ELSE 'unknown_by' END AS relation FROM p""")
-def i23_three_valued_conditions(spark, sf_dir):
-    """Conditions over macros in three-valued logic: null is unknown."""
-    from ..functions.conditions import compile_condition
+# --- configuration, views, metrics (I, Q) ---------------------------------------------------------------------
 
-    macros = {"A": F.col("l_returnflag") == "A", "Q": F.nullif(F.col("l_returnflag"), F.lit("R")) == "Q", "FINISHED": F.col("l_linestatus") == "F"}
-    v = compile_condition("(A || Q) && not FINISHED", macros)
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(v, "enabled_by").when(~v, "disabled_by").otherwise("unknown_by").alias("relation"))
+_VALUES = ("y", "n", "m", '"y"', '""', "0x0", "0X1F", "0", "-12", "bare", "", '"a b"')
+
+
+@query(f"""WITH l AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '# CONFIG_P' || p_size || ' is not set' ELSE CASE WHEN p_partkey % 3 = 0 THEN 'P' ELSE 'CONFIG_P' END || p_size || '=' || {list(_VALUES)}[1 + p_partkey % {len(_VALUES)}] END AS line FROM part),
+ m AS (SELECT p_partkey, CASE WHEN starts_with(line, '#') THEN split_part(line, ' ', 2) ELSE split_part(line, '=', 1) END AS macro, CASE WHEN starts_with(line, '#') THEN 'n' ELSE split_part(line, '=', 2) END AS raw FROM l), last AS (SELECT macro, arg_max(raw, p_partkey) AS raw FROM m GROUP BY 1)
+ SELECT macro, CASE WHEN raw LIKE '"%"' THEN raw[2:-2] WHEN lower(raw) LIKE '0x%' THEN lower(raw) ELSE raw END AS value, CASE WHEN raw IN ('y', 'n') THEN 'bool' WHEN raw = 'm' THEN 'tristate' WHEN raw LIKE '"%"' THEN 'string' WHEN lower(raw) LIKE '0x%' THEN 'hex' WHEN regexp_full_match(raw, '-?[0-9]+') THEN 'int' ELSE 'literal' END AS value_type, raw NOT IN ('n', '0x0', '0', '') AS enabled FROM last""")
+def i8_i9_config(spark, sf_dir):
+    """Lines of every kind; of one macro's the last counts."""
+    k = F.col("p_partkey")
+    value = F.element_at(F.array(*map(F.lit, _VALUES)), (1 + k % len(_VALUES)).cast("int"))
+    line = F.when(k % 4 == 0, F.concat(F.lit("# CONFIG_P"), "p_size", F.lit(" is not set"))).otherwise(F.concat(F.when(k % 3 == 0, "P").otherwise("CONFIG_P"), "p_size", F.lit("="), value))
+    return files.effective_config(files.config_assignments(read(spark, sf_dir, "part").select("p_partkey", line.alias("line"))), "p_partkey")
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'packages/services/HeartRate' || p_size || '/x.c' WHEN 1 THEN 'packages/apps/health/' || p_size WHEN 2 THEN 'ui/heartTile/a.c' WHEN 3 THEN 'framework/engine/AudioEngine/e.c' WHEN 4 THEN 'framework/core.c' WHEN 5 THEN 'uiframework/w.c' WHEN 6 THEN 'drivers/' || p_size ELSE 'misc/' || p_brand END AS path FROM part)
+ SELECT p_partkey, split_part(path, '/', 1) AS area, ['service', 'app', 'ui', 'engine', 'framework', 'uiframework', 'driver', NULL][1 + p_partkey % 8] AS layer, ['service_package', 'app_package', 'ui_screen_family', 'engine_component', 'framework_root', 'uiframework_component', 'driver_root', 'directory'][1 + p_partkey % 8] AS role, CASE p_partkey % 8 WHEN 0 THEN 'heart_rate_' || split_part(split_part(path, 'Rate', 2), '/', 1) WHEN 3 THEN 'audio' END AS domain, CASE p_partkey % 8 WHEN 1 THEN 'health' WHEN 2 THEN 'heart_tile' END AS feature FROM p""")
+def i36_path_classes(spark, sf_dir):
+    return _classified(spark, sf_dir).select("p_partkey", "c.area", "c.layer", "c.role", "c.domain", "c.feature")
 
 
-@query("""SELECT doc_id, CASE WHEN starts_with(source, 'src1') THEN 'vendor' WHEN source = 'src0' THEN 'core' ELSE 'component' END AS layer, CASE WHEN lang = 'en' THEN 'source_doc' ELSE 'derived' END AS authority FROM documents""")
-def h16_i36_classification(spark, sf_dir):
-    layer = F.when(F.startswith("source", F.lit("src1")), "vendor").when(F.col("source") == "src0", "core").otherwise("component")
-    return read(spark, sf_dir, "documents").select("doc_id", layer.alias("layer"), F.when(F.col("lang") == "en", "source_doc").otherwise("derived").alias("authority"))
+def _classified(spark, sf_dir):
+    k = F.col("p_partkey") % 8
+    c = lambda *x: F.concat(*[F.lit(y) if y not in ("p_size", "p_brand") else F.col(y) for y in x])
+    path = F.when(k == 0, c("packages/services/HeartRate", "p_size", "/x.c")).when(k == 1, c("packages/apps/health/", "p_size")).when(k == 2, "ui/heartTile/a.c").when(k == 3, "framework/engine/AudioEngine/e.c").when(k == 4, "framework/core.c").when(k == 5, "uiframework/w.c").when(k == 6, c("drivers/", "p_size")).otherwise(c("misc/", "p_brand"))
+    return read(spark, sf_dir, "part").select("p_partkey", path.alias("path"), indexing.classify(path).alias("c"))
 
 
-@query("SELECT p_type, avg(p_retailprice) FILTER (WHERE p_size > 25) / avg(p_retailprice) FILTER (WHERE p_size <= 25) > 1.20 AS slower, count(*) AS cases FROM part GROUP BY 1")
-def q21_regression_gate(spark, sf_dir):
-    """A ratio of two runs' means against the allowed 1.20."""
-    mean = lambda c: F.avg(F.when(c, F.col("p_retailprice")))
-    return read(spark, sf_dir, "part").groupBy("p_type").agg((mean(F.col("p_size") > 25) / mean(F.col("p_size") <= 25) > 1.20).alias("slower"), F.count("*").alias("cases"))
+@query("""SELECT 'layer' AS view, ['service', 'app', 'ui', 'engine', 'framework', 'uiframework', 'driver'][1 + p_partkey % 8] AS item, count(*) AS files FROM part WHERE p_partkey % 8 < 7 GROUP BY 2 UNION ALL SELECT 'domain', CASE p_partkey % 8 WHEN 0 THEN 'heart_rate_' || p_size ELSE 'audio' END, count(*) FROM part WHERE p_partkey % 8 IN (0, 3) GROUP BY 2 UNION ALL SELECT 'feature', CASE p_partkey % 8 WHEN 1 THEN 'health' ELSE 'heart_tile' END, count(*) FROM part WHERE p_partkey % 8 IN (1, 2) GROUP BY 2""")
+def i37_views(spark, sf_dir):
+    return indexing.views(_classified(spark, sf_dir)).select("view", "item", "files")
 
 
-@query("""WITH RECURSIVE s AS (SELECT p_partkey AS id, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nxt FROM part) SELECT id, 'dangling' AS issue FROM s WHERE nxt IS NULL""")
-def q6_replacement_ends(spark, sf_dir):
-    """Replacements that lead nowhere."""
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lead("p_partkey").over(w).alias("nxt")).filter("nxt is null").select("id", F.lit("dangling").alias("issue"))
+@query("""WITH h AS (SELECT user_id, event_id, lower(trim(event_type)) AS text, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank FROM events), f AS (SELECT user_id AS case_id, min(rank) FILTER (WHERE contains(text, 'purch')) AS first FROM h GROUP BY 1),
+ m(metric, actual, eligible) AS (SELECT 'mrr', round(coalesce(avg(1.0 / first), 0), 6), count(first) FROM f UNION ALL SELECT 'top_5_recall', round(coalesce(avg((first <= 5)::INT), 0), 6), count(first) FROM f UNION ALL SELECT 'evidence_hit_rate', round(avg((first IS NOT NULL)::INT), 6), count(*) FROM f UNION ALL SELECT 'schema_compliance', 1.0, count(*) FROM f UNION ALL SELECT 'symbol_top_3_recall', round(coalesce(avg((first <= 3)::INT), 0), 6), count(first) FROM f UNION ALL SELECT 'profile_correctness', 0.0, 0 UNION ALL SELECT 'warning_quality', 1.0, count(*) FROM f UNION ALL SELECT 'blocked_security_contract', 1.0, 1)
+ SELECT metric, actual::DOUBLE AS actual, eligible, actual >= CASE metric WHEN 'schema_compliance' THEN 1.0 WHEN 'evidence_hit_rate' THEN 0.85 WHEN 'top_5_recall' THEN 0.90 WHEN 'symbol_top_3_recall' THEN 0.95 WHEN 'mrr' THEN 0.75 WHEN 'profile_correctness' THEN 0.90 WHEN 'warning_quality' THEN 0.85 ELSE 1.0 END AS passed FROM m""")
+def q14_q19_q20_quality_gate(spark, sf_dir):
+    """First relevant ranks, rates over known cases, thresholds."""
+    e = read(spark, sf_dir, "events").withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    items = e.select(F.col("user_id").alias("case_id"), "rank", F.col("event_type").alias("text"))
+    first = ranking.first_relevant(items, items.select("case_id").distinct().withColumn("locator", F.lit(" Purch")))
+    f = F.col("first")
+    cases = first.select((1 / f).alias("reciprocal_rank"), (f <= 5).alias("top_5_hit"), (f <= 3).alias("symbol_top_3_hit"), f.isNotNull().alias("evidence_hit"), F.lit(True).alias("schema_compliant"), F.lit(True).alias("warning_quality_ok"), F.lit(None).cast("boolean").alias("profile_correct"))
+    return ranking.quality_metrics(cases).select("metric", "actual", "eligible", "passed")
+
+
+@query("""WITH a AS (SELECT l_shipdate::DATE % 1 AS z FROM lineitem LIMIT 0), b AS (SELECT p_type AS k, round(avg(p_size) FILTER (WHERE p_partkey % 2 = 0) / 50, 6) AS x, round(avg(p_size) FILTER (WHERE p_partkey % 2 = 1) / 50, 6) AS y FROM part GROUP BY 1)
+ SELECT k AS category, round(y - x, 6) AS delta, CASE WHEN x IS NULL OR y IS NULL THEN 'category_evidence_available' WHEN round(x - y, 9) > 0.05 THEN 'category_evidence_regression' END AS failure, CASE WHEN x IS NULL OR y IS NULL THEN 'performance_probe_available' WHEN y / x > 1.2 THEN 'performance_regression' END AS slower FROM b""".replace("a AS (SELECT l_shipdate::DATE % 1 AS z FROM lineitem LIMIT 0), ", ""))
+def q21_regressions(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    side = lambda k, c: p.filter(F.col("p_partkey") % 2 == k).groupBy(F.col("p_type").alias("category")).agg(F.round(F.avg("p_size") / 50, 6).alias(c))
+    rates = ranking.rate_regression(side(0, "rate"), side(1, "rate")).select("category", "delta", "failure")
+    speed = ranking.speed_regression(side(0, "p95"), side(1, "p95"), "category").select("category", F.col("failure").alias("slower"))
+    return rates.join(speed, "category")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 3 = 1 THEN '3,' || turn + 1 ELSE '1' END AS ints FROM (SELECT * FROM conversations) WHERE turn + 1 <> 3")
+def q23_int_lists(spark, sf_dir):
+    t = F.col("turn")
+    raw = F.when(t % 3 == 0, F.concat(F.lit("1,x"), "turn")).when(t % 3 == 1, F.concat(F.lit("3, "), t + 1, F.lit(" ,3,,"))).otherwise("1,1")
+    return read(spark, sf_dir, "conversations").filter("turn + 1 <> 3").select("conv_id", "turn", F.array_join(ranking.positive_ints(raw), ",").alias("ints"))
+
+
+@query(r"""SELECT doc_id, len(list_filter(['password', 'token'], lambda w: regexp_matches(text, '(?i)\b(api[_-]?key|password|secret|token)\s*[:=]\s*[\x27"]?[^\x27"\s,;]+'))) > 0 AS assigned, regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') AS access_key FROM documents""")
+def q10_secret_scan(spark, sf_dir):
+    kinds = tx.secret_kinds(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_contains(kinds, "assignment").alias("assigned"), F.array_contains(kinds, "access_key").alias("access_key"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(t, '\bAKIA[0-9A-Z]{16}\b', '***REDACTED***', 'g'), '(^|[^A-Za-z0-9_.-])/([^/\s]+/){2,}[^,\s:]+', '\1[redacted:absolute_path]', 'g') AS text FROM (SELECT doc_id, regexp_replace(regexp_replace('Bearer abc.def ' || doc_id || ' password = x' || doc_id || ', see /root/a/b/c.txt or a/b/c ' || text[1:100], '(?i)\bbearer\s+[A-Za-z0-9._~+/\-=]+', 'Bearer ***REDACTED***', 'g'), '(?i)\b((?:api[_-]?key|password|secret|token)\s*)([:=])\s*[\x27"]?[^\x27"\s,;]+', '\1\2***REDACTED***', 'g') AS t FROM documents WHERE text IS NOT NULL)""")
+def q11_redaction(spark, sf_dir):
+    text = F.concat(F.lit("Bearer abc.def "), "doc_id", F.lit(" password = x"), "doc_id", F.lit(", see /root/a/b/c.txt or a/b/c "), F.substring("text", 1, 100))
+    return read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", tx.redact(text).alias("text"))
+
+
+@query("""WITH a AS (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 <> 1), b AS (SELECT doc_id, lang, CASE WHEN doc_id % 10 = 2 THEN 0 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 10 <> 3), j AS (SELECT coalesce(a.doc_id, b.doc_id) AS k, a.doc_id IS NULL AS r, b.doc_id IS NULL AS l, a.n_chars <> b.n_chars AS c FROM a FULL JOIN b ON a.doc_id = b.doc_id)
+ SELECT (SELECT count(*) FROM a) AS left_count, (SELECT count(*) FROM b) AS right_count, false AS equal, (SELECT array_to_string(list(k ORDER BY k), ',') FROM (SELECT k FROM j WHERE l ORDER BY k LIMIT 10)) AS left_only, (SELECT array_to_string(list(k ORDER BY k), ',') FROM (SELECT k FROM j WHERE r ORDER BY k LIMIT 10)) AS right_only, (SELECT array_to_string(list(k ORDER BY k), ',') FROM (SELECT k FROM j WHERE c ORDER BY k LIMIT 10)) AS changed""")
+def q9_collection_compare(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    b = d.filter("doc_id % 10 <> 3").withColumn("n_chars", F.when(F.col("doc_id") % 10 == 2, F.lit(0).cast("long")).otherwise(F.col("n_chars")))
+    got = validation.compare_collections(d.filter("doc_id % 10 <> 1"), b, "doc_id")
+    return got.select("left_count", "right_count", "equal", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("left_only", "right_only", "changed")])
+
+
+@query("""SELECT 'job_lock:' || event_id AS object FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY AND event_id % 3 = 0""")
+def q7_stale_leases(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    clock = F.lit(e.agg(F.max("ts")).first()[0]) - F.expr("interval 1 day")
+    locks = e.filter("event_id % 3 = 0").select(F.col("event_id").alias("lock_id"), F.col("ts").cast("string").alias("expires_at"))
+    return validation.stale_leases(locks, clock).select("object")
+
+
+@query("SELECT 'blocked' AS status, 6 + 3 AS issues".replace("6 + 3", "9::BIGINT"))
+def q8_versions_and_status(spark, sf_dir):
+    """Of 25 nations every fourth store is missing, every eighth plus one is of another version."""
+    k = F.col("n_nationkey")
+    found = read(spark, sf_dir, "nation").select(F.col("n_name").alias("target"), F.when(k % 4 == 3, None).when(k % 8 == 1, "0").otherwise("1").alias("version"))
+    issues = validation.version_issues(found, "1")
+    return validation.report_status(issues).select("status", F.col("issues"))
+
+
+@query("""WITH o AS (SELECT 'o' || p_partkey AS id, p_brand, p_size, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_type END AS t FROM part WHERE p_partkey % 2 = 0), w AS (SELECT CASE WHEN p_partkey % 4 = 2 THEN 'o' ELSE 'w' END || p_partkey AS id, p_brand, p_size, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_type END AS t FROM part WHERE p_partkey % 3 = 0),
+ f AS (SELECT p_brand, p_size, t, max(id) AS new_id FROM w GROUP BY 1, 2, 3) SELECT o.id AS old_id, new_id, coalesce(new_id <> o.id, false) AS replaced, o.id NOT IN (SELECT id FROM w) AS gone FROM o LEFT JOIN f ON o.p_brand = f.p_brand AND o.p_size = f.p_size AND o.t IS NOT DISTINCT FROM f.t""")
+def i28_object_matching(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").withColumn("t", F.when(k % 9 != 0, F.col("p_type")))
+    old = p.filter(k % 2 == 0).withColumn("id", F.concat(F.lit("o"), k))
+    new = p.filter(k % 3 == 0).withColumn("id", F.concat(F.when(k % 4 == 2, "o").otherwise("w"), k))
+    return indexing.match_objects(old, new, "id", ["p_brand", "p_size", "t"])

@@ -18,8 +18,11 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     returned with ``content``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].replace("file:", "")
-    relative = F.regexp_replace(F.substring_index(F.col("path"), base + "/", -1), "^/+", "")
+    # Both sides as the file system spells them: the root's own length is cut, wherever its name occurs again.
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/")
+    plain = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", ""), "%20", " ")
+    relative = F.substring(plain, F.lit(len(full) + 2), F.length(plain))
     rows = files.withColumn("relative_path", relative).filter(~matches_any(F.col("relative_path"), [*NEVER, *(exclude or [])]))
     if include:
         rows = rows.filter(matches_any(F.col("relative_path"), include))
@@ -37,19 +40,23 @@ def segments(parts: list[DataFrame], key: str) -> DataFrame:
     return every.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_segment")
 
 
-def config_assignments(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Macro lines of defconfig and .config text: (macro, value, value_type, enabled) (I8)."""
-    text = F.trim(F.col(line))
-    unset = F.regexp_extract(text, r"^# (CONFIG_\w+) is not set$", 1)
-    macro, raw = F.regexp_extract(text, r"^(CONFIG_\w+)=(.*)$", 1), F.regexp_extract(text, r"^(CONFIG_\w+)=(.*)$", 2)
-    name = F.when(unset != "", unset).otherwise(macro)
-    value = F.when(unset != "", "n").otherwise(F.regexp_replace(raw, '^"(.*)"$', "$1"))
-    rows = lines.withColumn("macro", name).filter("macro <> ''").withColumn("_raw", raw).withColumn("value", value)
-    return rows.withColumn("value_type", _kind(F.col("_raw"), F.col("value"))).withColumn("enabled", ~F.col("value").isin("n", "0", "")).drop("_raw", line)
+_SYMBOL = "(?:CONFIG_[A-Za-z0-9_]+|[A-Za-z][A-Za-z0-9_]+)"
 
 
-def _kind(raw: Column, value: Column) -> Column:
-    return F.when(value.isin("y", "n"), "bool").when(value == "m", "tristate").when(raw.startswith('"'), "string").when(value.rlike("^0[xX][0-9a-fA-F]+$"), "hex").when(value.rlike("^-?[0-9]+$"), "int").otherwise("literal")
+def config_assignments(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Macro lines of defconfig and .config text: (macro, value, value_type, enabled) (I8)."""
+    text = F.trim(F.regexp_replace(F.col(line), r"^\s+|\s+$", ""))
+    unset = F.regexp_extract(text, rf"^#\s*({_SYMBOL})\s+is\s+not\s+set\s*$", 1)
+    macro, raw = F.regexp_extract(text, rf"^({_SYMBOL})=(.*)$", 1), F.trim(F.regexp_extract(text, rf"^({_SYMBOL})=(.*)$", 2))
+    rows = lines.withColumn("macro", F.when(unset != "", unset).otherwise(macro)).filter("macro <> ''")
+    rows = rows.withColumn("_raw", F.when(unset != "", "n").otherwise(raw))
+    r = F.col("_raw")
+    quoted = r.rlike('^".*"$')
+    kind = F.when(r.isin("y", "n"), "bool").when(r == "m", "tristate").when(quoted, "string").when(F.startswith(F.lower(r), F.lit("0x")), "hex").when(r.rlike("^-?[0-9]+$"), "int").otherwise("literal")
+    inner = F.regexp_replace(F.expr("substring(_raw, 2, length(_raw) - 2)"), r'\\(["\\])', "$1")
+    value = F.when(quoted, inner).when(F.startswith(F.lower(r), F.lit("0x")), F.lower(r)).otherwise(r)
+    on = F.when(r.isin("y", "n"), r == "y").when((r == "m") | quoted, True).when(F.startswith(F.lower(r), F.lit("0x")), r != "0x0").when(r.rlike("^-?[0-9]+$"), r != "0").otherwise(r != "")
+    return rows.withColumn("value_type", kind).withColumn("enabled", on).withColumn("value", value).drop("_raw", line)
 
 
 def effective_config(assignments: DataFrame, order: str) -> DataFrame:

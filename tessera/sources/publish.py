@@ -1,8 +1,10 @@
-"""Versioned tables behind a pointer: write, then switch."""
+"""Versioned tables behind numbered pointers, and segmented tables."""
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,25 +15,152 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """Writes a new version below ``root`` and switches the pointer to it last,
-    so that readers see the old version or the new one, never a part."""
+_POINTER = re.compile(r"CURRENT\.(\d{12})\.json$")
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    fs, at = _fs(spark, root)
+    if not fs.exists(at):
+        return []
+    return sorted(int(m[1]) for s in fs.listStatus(at) if (m := _POINTER.search(s.getPath().getName())))
+
+
+def publish(df: DataFrame, root: str, keep: int = 2) -> str:
+    """Writes a new version below ``root``, then a new pointer of the next number.
+
+    Readers follow the highest number, and a pointer is written beside its place
+    and renamed into it, so they see the old version or the new one at every
+    moment, and a crash leaves the old one. If two writers race, the rename of
+    the second fails. The ``keep`` last versions stay.
+    """
     spark, version = df.sparkSession, f"v={uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{version}")
-    fs, to = _fs(spark, f"{root}/CURRENT.json")
-    _, fresh = _fs(spark, f"{root}/CURRENT.{version[2:]}.tmp")
+    before = _pointers(spark, root)
+    number = (before[-1] if before else 0) + 1
+    fs, to = _fs(spark, f"{root}/CURRENT.{number:012d}.json")
+    _, fresh = _fs(spark, f"{root}/_{version[2:]}.tmp")
     out = fs.create(fresh, True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    if fs.exists(to):
-        fs.delete(to, False)
-    fs.rename(fresh, to)
+    if fs.exists(to) or not fs.rename(fresh, to):
+        fs.delete(fresh, False)
+        raise RuntimeError(f"another writer has published version {number} of {root}")
+    for old in before[: len(before) + 1 - keep] if keep else []:
+        name = _version(spark, root, old)
+        fs.delete(_fs(spark, f"{root}/CURRENT.{old:012d}.json")[1], False)
+        fs.delete(_fs(spark, f"{root}/{name}")[1], True)
     return version
 
 
+def _version(spark: SparkSession, root: str, number: int) -> str:
+    fs, at = _fs(spark, f"{root}/CURRENT.{number:012d}.json")
+    source = fs.open(at)
+    try:
+        return json.loads(bytes(source.readAllBytes()))["version"]
+    finally:
+        source.close()
+
+
+def published(spark: SparkSession, root: str) -> bool:
+    """Whether ``root`` holds a version; versions without a pointer are an error, not a first run."""
+    if _pointers(spark, root):
+        return True
+    fs, at = _fs(spark, root)
+    if fs.exists(at) and any(s.getPath().getName().startswith("v=") for s in fs.listStatus(at)):
+        raise RuntimeError(f"{root} holds versions but no pointer")
+    return False
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
-    row = spark.read.json(f"{root}/CURRENT.json").first()
-    return spark.read.parquet(f"{root}/{row['version']}")
+    if not published(spark, root):
+        raise FileNotFoundError(f"nothing is published below {root}")
+    return spark.read.parquet(f"{root}/{_version(spark, root, _pointers(spark, root)[-1])}")
+
+
+def staging(root: str, job: str) -> str:
+    """Where a job writes before it publishes."""
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", job):
+        raise ValueError(f"a job's name is letters, digits, dot, dash and underscore: {job!r}")
+    return f"{root}/staging/{job}"
+
+
+# --- artifacts (B14) ----------------------------------------------------------
+
+
+def save_artifact(df: DataFrame, root: str, signature: str) -> str:
+    """Keeps a collected result under the hash of what it was made from."""
+    path = f"{root}/artifact-{hashlib.sha256(signature.encode()).hexdigest()}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_artifact(spark: SparkSession, root: str, signature: str) -> DataFrame | None:
+    """The result kept for this signature, if it was written to its end."""
+    path = f"{root}/artifact-{hashlib.sha256(signature.encode()).hexdigest()}"
+    fs, done = _fs(spark, f"{path}/_SUCCESS")
+    return spark.read.parquet(path) if fs.exists(done) else None
+
+
+# --- segments (B5-B7) -----------------------------------------------------------
+
+
+def segment_paths(spark: SparkSession, root: str) -> list[str]:
+    """The compacted part first, then segments in the order they were written."""
+    fs, at = _fs(spark, root)
+    if not fs.exists(at):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith("part="))
+    return [f"{root}/{n}" for n in names if fs.exists(_fs(spark, f"{root}/{n}/_SUCCESS")[1])]
+
+
+def append_segment(df: DataFrame, root: str, key: str) -> int:
+    """Appends rows as a new segment (B5), checks that all of them can be read
+    back, and returns its number. Earlier rows are not rewritten."""
+    spark = df.sparkSession
+    taken = [int(p.rsplit("=", 1)[1]) for p in segment_paths(spark, root)]
+    number = max(taken, default=0) + 1
+    path = f"{root}/part={number:012d}"
+    df.write.mode("errorifexists").parquet(path)
+    if df.join(spark.read.parquet(path), key, "left_anti").limit(1).count():
+        raise RuntimeError(f"segment {number} of {root} lacks rows that were to be written")
+    return number
+
+
+def read_segments(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """All rows, of each key the last segment's."""
+    from .files import segments
+
+    return segments([spark.read.parquet(p) for p in segment_paths(spark, root)], key)
+
+
+def compact(spark: SparkSession, root: str, key: str, force: bool = False) -> bool:
+    """Merges segments into one when there are many or they hold many rows.
+    The merged part takes the last one's place in order, so a crash in between
+    leaves rows twice, of which the last counts, never none."""
+    paths = segment_paths(spark, root)
+    if len(paths) < 2:
+        return False
+    rows = sum(spark.read.parquet(p).count() for p in paths[1:])
+    if not force and not needs_compaction(len(paths) - 1, rows):
+        return False
+    append_segment(read_segments(spark, root, key), root, key)
+    fs, _ = _fs(spark, root)
+    for p in paths:
+        fs.delete(_fs(spark, p)[1], True)
+    return True
+
+
+def delete_keys(spark: SparkSession, root: str, key: str, gone: DataFrame) -> int:
+    """Rewrites a segmented table without the keys in ``gone`` (B6); returns rows removed."""
+    paths = segment_paths(spark, root)
+    rows = read_segments(spark, root, key)
+    removed = rows.join(gone.select(key).distinct(), key, "left_semi").count()
+    if removed:
+        append_segment(rows.join(gone.select(key).distinct(), key, "left_anti"), root, key)
+        fs, _ = _fs(spark, root)
+        for p in paths:
+            fs.delete(_fs(spark, p)[1], True)
+    return removed
 
 
 def needs_compaction(segments: int, rows: int, most_segments: int = 8, most_rows: int = 1024) -> bool:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.layers import upsert
-from ..sources.publish import current, publish
+from ..sources.publish import current, publish, published
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, root: str, key: str, order: str, checkpoint: str, files: int = 64) -> int:
@@ -21,13 +21,8 @@ def ingest(spark: SparkSession, source: str, schema: StructType, root: str, key:
         if batch.isEmpty():
             return
         latest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), order).alias("_r")).select(key, "_r.*").select(*batch.columns)
-        try:
-            base = current(batch.sparkSession, root)
-            table = upsert(base, latest, [key])
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            table = latest
+        session = batch.sparkSession
+        table = upsert(current(session, root), latest, [key]) if published(session, root) else latest
         publish(table, root)
         done.append(number)
 
