@@ -39,7 +39,7 @@ def metadata_joined(metadata: Column, key: str) -> Column:
 def metadata_list(metadata: Column, key: str) -> Column:
     """A list of trimmed, non-empty texts; one text is a list of itself; else empty."""
     raw = F.get_json_object(metadata, f"$.{key}")
-    several = F.filter(F.transform(F.from_json(raw, "array<string>"), F.trim), lambda x: x.isNotNull() & (x != ""))
+    several = F.filter(F.transform(F.from_json(raw, "array<string>"), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     return F.when(F.startswith(raw, F.lit("[")), several).when(raw.isNull() | (raw == "") | F.startswith(raw, F.lit("{")), F.array().cast("array<string>")).otherwise(F.array(raw))
 
 

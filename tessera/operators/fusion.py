@@ -32,7 +32,7 @@ def freshness(when: Column, clock: Column) -> Column:
     """Age in buckets of 7, 30, 90 and 365 days; what can't be read or is older: 0 (H5)."""
     at = F.try_to_timestamp(when) if not isinstance(when, str) else F.try_to_timestamp(F.col(when))
     age = F.greatest(F.lit(0.0), F.unix_micros(clock) - F.unix_micros(at)) / 86_400e6
-    return F.when(age <= 7, 1.0).when(age <= 30, 0.8).when(age <= 90, 0.55).when(age <= 365, 0.25).otherwise(0.0)
+    return F.when(at.isNull(), 0.0).when(age <= 7, 1.0).when(age <= 30, 0.8).when(age <= 90, 0.55).when(age <= 365, 0.25).otherwise(0.0)
 
 
 def fuse(lists: DataFrame, k: int = 60) -> DataFrame:

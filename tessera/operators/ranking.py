@@ -156,7 +156,7 @@ def coverage(cases: DataFrame, minimums: DataFrame, key: str = "category") -> Da
 def positive_ints(raw: Column) -> Column:
     """A comma-separated list of positive integers without repeats (Q23); null if it
     holds anything else, or nothing."""
-    items = F.filter(F.transform(F.split(raw, ","), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
     ints = F.transform(items, lambda x: x.try_cast("bigint"))
     ok = (F.size(items) > 0) & ~F.exists(ints, lambda x: x.isNull() | (x <= 0))
     return F.when(ok, F.array_distinct(ints))
