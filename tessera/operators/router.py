@@ -114,6 +114,11 @@ def _signal(intent: str, kind: Column | str, value: Column, weight: Column | flo
     return F.struct(F.lit(intent).alias("intent"), lit(kind).alias("kind"), value.alias("value"), lit(weight).cast("double").alias("weight"), F.lit(source).alias("source"))
 
 
+def _each(values: Column, intent: str, kind: str, weight: float, bare: bool = False) -> Column:
+    """A signal for each value; ``bare`` leaves a call's parentheses out."""
+    return F.transform(values, lambda v: _signal(intent, kind, F.regexp_replace(v, r"\(\)$", "") if bare else v, weight, "query"))
+
+
 def _found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -141,14 +146,14 @@ def signals(requests: DataFrame, names: Request = Request()) -> DataFrame:
         parts.append(one(c("caller_tool") == tool, *[_signal(i, "caller_tool_hint", F.lit(tool), w, "caller_tool") for i, w in several.items()]))
     for pattern, kind, several in ANCHORS:
         for intent, weight in several.items():
-            said = lambda v, i=intent, p=pattern: F.regexp_replace(v, r"\(\)$", "") if (i, p) == ("evidence_lookup", FUNCTION) else v
-            parts.append(F.transform(_found(q, pattern), lambda v, i=intent, k=kind, w=weight, s=said: _signal(i, k, s(v), w, "query")))
+            bare = (intent, pattern) == ("evidence_lookup", FUNCTION)
+            parts.append(_each(_found(q, pattern), intent, kind, weight, bare))
     dotted = F.filter(_found(q, SYMBOL), lambda v: F.contains(v, F.lit(".")))
     parts.append(F.transform(dotted, lambda v: _signal("api_lookup", "symbol_like", v, 0.15, "query")))
     for (intent, kind, weight), terms in PHRASES.items():
         for term in terms:
             quoted = r"(?i)\Q" + term + r"\E"
-            parts.append(F.transform(_found(q, quoted), lambda v, i=intent, k=kind, w=weight: _signal(i, k, v, w, "query")))
+            parts.append(_each(_found(q, quoted), intent, kind, weight))
     for pattern in EVIDENCE:
         parts.append(F.transform(_found(q, "(?i)" + pattern), lambda v: _signal("evidence_lookup", "evidence_keyword", v, 0.50, "query")))
     anchored = reduce(lambda a, b: a | b, [q.rlike(p) for p in (FUNCTION, PATH, MACRO, SYMBOL)])

@@ -1,8 +1,14 @@
 """Scans, segments, configuration, publishing and incremental ingestion."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import files, publish
+from tessera.operators import indexing
+from tessera.parsers import build, cfamily, documents
+from tessera.sources import files, publish, workspace
+from tessera.streaming import jobs
 from tessera.streaming.ingest import ingest
 
 
@@ -16,10 +22,10 @@ def test_scan(spark, tmp_path):
 
 
 def test_config(spark):
-    lines = ["CONFIG_A=y", "# CONFIG_B is not set", 'CONFIG_C="x y"', "CONFIG_D=0x1F", "CONFIG_E=12", "# other", "", "CONFIG_A=m"]
+    lines = ["CONFIG_A=y", "# CONFIG_B is not set", 'CONFIG_C="x y"', "CONFIG_D=0X1F", "CONFIG_E=12", "# other", "", "CONFIG_A=m", "CONFIG_F=0x0", 'CONFIG_G="y"', 'CONFIG_H=""', "BARE=n", "CONFIG_I=0"]
     df = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
     got = {r["macro"]: (r["value"], r["value_type"], r["enabled"]) for r in files.effective_config(files.config_assignments(df), "n").collect()}
-    assert got == {"CONFIG_A": ("m", "tristate", True), "CONFIG_B": ("n", "bool", False), "CONFIG_C": ("x y", "string", True), "CONFIG_D": ("0x1F", "hex", True), "CONFIG_E": ("12", "int", True)}
+    assert got == {"CONFIG_A": ("m", "tristate", True), "CONFIG_B": ("n", "bool", False), "CONFIG_C": ("x y", "string", True), "CONFIG_D": ("0x1f", "hex", True), "CONFIG_E": ("12", "int", True), "CONFIG_F": ("0x0", "hex", False), "CONFIG_G": ("y", "string", True), "CONFIG_H": ("", "string", True), "BARE": ("n", "bool", False), "CONFIG_I": ("0", "int", False)}
 
 
 def test_segments(spark):
@@ -37,3 +43,110 @@ def test_publish_and_ingest(spark, tmp_path):
     assert sorted(tuple(r)[:2] for r in publish.current(spark, root).orderBy(F.col("k")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
     assert ingest(spark, source, one.schema, root, "k", "n", f"{tmp_path}/ck") == 0
     assert publish.needs_compaction(8, 0) and not publish.needs_compaction(7, 100)
+
+
+def test_a_lost_pointer_is_no_first_run(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    one = spark.createDataFrame([(1, "a")], "k int, v string")
+    for _ in range(4):
+        publish.publish(one, root)
+    assert publish.current(spark, root).count() == 1 and len([n for n in os.listdir(f"{tmp_path}/t") if n.startswith("v=")]) == 2
+    for n in os.listdir(f"{tmp_path}/t"):
+        if n.startswith("CURRENT"):
+            os.unlink(f"{tmp_path}/t/{n}")
+    with pytest.raises(RuntimeError, match="no pointer"):
+        publish.published(spark, root)
+    assert not publish.published(spark, f"file://{tmp_path}/none")
+
+
+def test_segments_on_disk(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    for k in range(9):
+        publish.append_segment(spark.createDataFrame([(k % 3, k)], "k int, v int"), root, "k")
+    assert {(r["k"], r["v"]) for r in publish.read_segments(spark, root, "k").collect()} == {(0, 6), (1, 7), (2, 8)}
+    assert publish.compact(spark, root, "k") and len(publish.segment_paths(spark, root)) == 1
+    assert publish.delete_keys(spark, root, "k", spark.createDataFrame([(1,)], "k int")) == 1
+    assert {r["k"] for r in publish.read_segments(spark, root, "k").collect()} == {0, 2}
+
+
+def test_scan_cuts_the_root_once(spark, tmp_path):
+    top = tmp_path / "r"
+    inner = top / str(top).strip("/")
+    inner.mkdir(parents=True)
+    (inner / "foo.c").write_text("x")
+    (top / "foo.c").write_text("y")
+    got = {r["relative_path"] for r in files.scan(spark, f"file://{top}").collect()}
+    assert got == {"foo.c", f"{str(top).strip('/')}/foo.c"}
+
+
+def test_path_guard(tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    os.symlink(tmp_path / "out", tmp_path / "in" / "link")
+    guard = workspace.PathGuard({"workspace": str(tmp_path / "in")})
+    assert guard.guard(str(tmp_path / "in" / "a" / ".." / "b")).display == "workspace:b"
+    for path, reason in ((str(tmp_path / "in" / ".." / "out"), "path_outside_allowlist"), (str(tmp_path / "in" / "link"), "symlink_outside_allowlist")):
+        with pytest.raises(workspace.PathBlocked) as e:
+            guard.guard(path)
+        assert e.value.reason == reason and str(tmp_path) not in str(e.value)
+
+
+def test_jobs(tmp_path):
+    now = [100.0]
+    store = jobs.JobStore(str(tmp_path), clock=lambda: now[0])
+    for status in ("discovering", "parsing", "failed", "pending"):
+        store.move("j", status)
+    with pytest.raises(jobs.Conflict):
+        store.move("j", "ready")
+    store.start("j", {"a": 1})
+    store.record("j", "t1", "applied", "h1")
+    assert store.left("j", {"t1": "h1", "t2": "h2"}) == ["t2"] and store.left("j", {"t1": "other"}) == ["t1"]
+    store.start("j", {"a": 2})
+    assert store.left("j", {"t1": "h1"}) == ["t1"]
+    store.acquire("overlay", "a", 10)
+    with pytest.raises(jobs.Conflict):
+        store.acquire("overlay", "b", 10)
+    now[0] = 111.0
+    assert store.acquire("overlay", "b", 10)["owner"] == "b" and not store.release("overlay", "a") and store.release("overlay", "b")
+    assert list(jobs.batches([("a", 1), ("b", 5), ("c", 9), ("d", 1)], 2, 10)) == [["a", "b"], ["c", "d"]]
+
+    def apply(keys):
+        if "bad" in keys:
+            raise ValueError("no")
+
+    assert jobs.apply_or_degrade(["x", "bad", "y"], apply) == {"bad": "ValueError: no"}
+    p = jobs.plan({"code": {"a": "1", "b": "1"}}, {"code": {"a": "2"}, "docs": {"d": "1"}})
+    assert p["code_changed"] == ["a"] and p["code_deleted"] == ["b"] and p["vectors"] == ["d"]
+
+
+MARKDOWN = "---\ntitle: X\ntags: [a, b]\n---\nlead\n# A\ntext\n```\n# no\n```\nB\n---\nmore\n## C\n# A\n"
+MAKE = "NAME := health\nifdef CONFIG_X\nSRCS += main.c bt.c \\\n  z.S\nelse ifeq ($(CONFIG_Y),y)\nobj-$(CONFIG_Q) += q.o\nendif\nCOMPONENTS = a b # c\nendif\n"
+CODE = "/* hdr */\n#include <stdio.h>\n#define X 1\n\nstruct foo { int a; } foo_t;\nint f(int a);\n/* doc */\nstatic void g(void) {\n  xQueueSend(&q1, &m, 0);\n  t = xTimerCreate(\"t\", 1, 0, 0, cb);\n}\nvoid cb(void) { panic(); }\n"
+
+
+def test_parsers():
+    assert [(t, p, a) for _, _, t, p, a, _ in documents._headings("", MARKDOWN)] == [("A", ["A"], "a"), ("B", ["A", "B"], "b"), ("C", ["A", "C"], "c"), ("A", ["A"], "a-2")]
+    assert [(r[1], r[5], r[6]) for r in documents._markdown("", MARKDOWN)] == [("markdown.lead", 5, 5), ("markdown.section", 6, 10), ("markdown.section", 11, 13), ("markdown.section", 14, 14), ("markdown.section", 15, 15)]
+    assert documents.typed_fields({"title": 3, "tags": "x", "z": 1, "profiles": [{}]}, None) == ({"title": "3", "tags": ["x"], "profiles": []}, {"z": 1}, ["doc.front_matter_invalid_type"])
+    html = "<h1>One</h1><p>a b</p><table><tr><td>x</td><th>y</th></tr></table>"
+    assert [r[7] for r in documents._html("x.html", html)] == ["One\na b\nx | y"]
+    rows = list(build.makefile_members("c/health/module.mk", MAKE))
+    assert ("c/health/z.S", "CONFIG_X") in {(r[4], r[7]) for r in rows} and ("c/health/q.o", "not (CONFIG_X) && ifeq($(CONFIG_Y),y) && $(CONFIG_Q)") in {(r[4], r[7]) for r in rows}
+    assert {r[4] for r in rows if r[3] == "depends_on_component"} == {"a", "b"} and rows[-1][-1] == "makefile.unmatched_endif"
+    k = list(build.kconfig_symbols("", 'if A\nconfig FOO\n\tbool "x"\n\tdepends on B\n\tselect Z if W\nendif\n'))
+    assert k[0][:5] == ("FOO", "config", "bool", "x", ["A", "B"]) and k[0][5][0]["target"] == "Z" and len(k) == 1
+    assert [(r[0], r[1], r[3], r[5]) for r in cfamily.symbols("", CODE)] == [("X", "macro", True, 3), ("foo", "type", True, 4), ("foo_t", "type", True, 4), ("f", "function", False, 6), ("g", "function", True, 8), ("cb", "function", True, 12)]
+
+
+def test_code_index(spark):
+    rows = [("c/h/main.c", CODE, "c"), ("c/h/module.mk", "NAME = h\nSRCS = main.c gone.c\n", "makefile")]
+    df = spark.createDataFrame(rows, "path string, text string, language string")
+    got = indexing.index_code(df, "s1")
+    kinds = {(r["entity_type"], r["name"]) for r in got["entity"].collect()}
+    assert {("Directory", "h"), ("File", "main.c"), ("Function", "g"), ("Macro", "X"), ("Module", "h")} <= kinds
+    assert {r["relation_type"] for r in got["relation"].collect()} == {"contains", "defines", "belongs_to_module"}
+    assert [r["code"] for r in got["problem"].collect()] == ["code.module_file_missing"]
+    chunk = {r["name"]: r for r in got["chunk"].collect()}
+    assert chunk["g"]["text"].startswith("/* doc */") and chunk[None]["chunk_type"] == "code.file_header"
+    edges = {(r["relation_type"], r["dst"]) for r in indexing.runtime_relations(df.filter("language = 'c'")).collect()}
+    assert {("posts_to_queue", "c/h/main.c#Queue#q1"), ("creates_timer", "c/h/main.c#Timer#t"), ("triggers", "c/h/main.c#cb")} <= edges
