@@ -135,8 +135,8 @@ _CANDIDATES = f"""c AS (SELECT o_orderkey AS id, o_custkey % 7 AS query_id, ['co
 
 
 @query(f"""WITH {_CANDIDATES}, f AS (SELECT *, coalesce(1.0 / (depth + 1), 0) AS prox, epoch(clock) - epoch(seen_at::TIMESTAMP) AS age FROM c)
- SELECT query_id, id, round(fused * (1 + 0.20 * CASE level {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _AUTHORITY.items())} END + 0.15 * CASE profile WHEN 'en' THEN 1.0 WHEN 'all' THEN 0.45 ELSE 0 END + 0.15 * CASE WHEN age <= 7 * 86400 THEN 1.0 WHEN age <= 30 * 86400 THEN 0.8 WHEN age <= 90 * 86400 THEN 0.55 WHEN age <= 365 * 86400 THEN 0.25 ELSE 0 END + 0.15 * prox + 0.05 * least(1.0, (1 + sym::INT + vec::INT) / 3.0)
- + CASE WHEN sym AND intent IN ('code_exact', 'call_trace') THEN 0.10 ELSE 0 END + CASE WHEN vec AND intent IN ('api_lookup', 'unknown') THEN 0.08 ELSE 0 END + CASE WHEN intent = 'call_trace' THEN 0.08 * prox ELSE 0 END), 6) AS score FROM f""")
+ SELECT query_id, id, round(fused * (1e0 + 0.2e0 * CASE level {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _AUTHORITY.items())} END + 0.15e0 * CASE profile WHEN 'en' THEN 1.0 WHEN 'all' THEN 0.45 ELSE 0 END + 0.15e0 * CASE WHEN age <= 7 * 86400 THEN 1.0 WHEN age <= 30 * 86400 THEN 0.8 WHEN age <= 90 * 86400 THEN 0.55 WHEN age <= 365 * 86400 THEN 0.25 ELSE 0 END + 0.15e0 * prox + 0.05e0 * least(1.0, (1 + sym::INT + vec::INT) / 3e0)
+ + (CASE WHEN sym AND intent IN ('code_exact', 'call_trace') THEN 0.1e0 ELSE 0e0 END + CASE WHEN vec AND intent IN ('api_lookup', 'unknown') THEN 0.08e0 ELSE 0e0 END + CASE WHEN intent = 'call_trace' THEN 0.08e0 * prox ELSE 0e0 END)), 6) AS score FROM f""")
 def h3_h4_h5_h6_rerank(spark, sf_dir):
     """Authority table, profile match, freshness, proximity, coverage, intent bonus."""
     o = read(spark, sf_dir, "orders")
