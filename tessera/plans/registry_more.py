@@ -131,7 +131,7 @@ def i23_three_valued_conditions(spark, sf_dir):
 
 _AUTHORITY = {"source_doc": 1.0, "api_doc": 0.95, "widget_doc": 0.92, "workspace_code": 0.82, "source_code": 0.80, "workspace_map": 0.68, "derived": 0.40, "synthetic": 0.28, "official": 0.20}
 _LEVELS = list(_AUTHORITY)
-_CANDIDATES = f"""c AS (SELECT o_orderkey AS id, o_custkey % 7 AS query_id, ['code_exact', 'api_lookup', 'call_trace', 'unknown'][1 + o_orderkey % 4] AS intent, {_LEVELS}[1 + o_orderkey % {len(_LEVELS)}] AS level, CASE o_orderstatus WHEN 'O' THEN 'en' WHEN 'P' THEN 'all' ELSE 'fr' END AS profile, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS seen_at, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 END AS depth, round(o_totalprice / 1e7, 6) AS fused, o_orderkey % 2 = 0 AS sym, o_orderkey % 3 = 1 AS vec, (SELECT max(o_orderdate) FROM orders) AS clock FROM orders)"""
+_CANDIDATES = f"""c AS (SELECT o_orderkey AS id, o_custkey % 7 AS query_id, ['code_exact', 'api_lookup', 'call_trace', 'unknown'][1 + o_orderkey % 4] AS intent, {_LEVELS}[1 + o_orderkey % {len(_LEVELS)}] AS level, CASE o_orderstatus WHEN 'O' THEN 'en' WHEN 'P' THEN 'all' ELSE 'fr' END AS profile, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS seen_at, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 END AS depth, o_totalprice / 1.3e7 AS fused, o_orderkey % 2 = 0 AS sym, o_orderkey % 3 = 1 AS vec, (SELECT max(o_orderdate) FROM orders) AS clock FROM orders)"""
 
 
 @query(f"""WITH {_CANDIDATES}, f AS (SELECT *, coalesce(1.0 / (depth + 1), 0) AS prox, epoch(clock) - epoch(seen_at::TIMESTAMP) AS age FROM c)
@@ -145,7 +145,7 @@ def h3_h4_h5_h6_rerank(spark, sf_dir):
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (1 + i).cast("int"))
     one = lambda name, when: F.when(when, F.struct(F.lit(name).alias("retriever")))
     signals = F.filter(F.array(one("fts", F.lit(True)), one("symbol", k % 2 == 0), one("vector", k % 3 == 1)), lambda x: x.isNotNull())
-    rows = o.select(k.alias("candidate_id"), (F.col("o_custkey") % 7).alias("query_id"), pick(("code_exact", "api_lookup", "call_trace", "unknown"), k % 4).alias("intent"), pick(_LEVELS, k % len(_LEVELS)).alias("authority_level"), F.when(F.col("o_orderstatus") == "O", "en").when(F.col("o_orderstatus") == "P", "all").otherwise("fr").alias("profile_id"), F.when(k % 5 > 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("freshness_ts"), F.when(k % 3 == 0, k % 4).alias("graph_depth"), F.lit(0.0).alias("graph_proximity"), F.round(F.col("o_totalprice") / 1e7, 6).alias("fused"), signals.alias("signals"))
+    rows = o.select(k.alias("candidate_id"), (F.col("o_custkey") % 7).alias("query_id"), pick(("code_exact", "api_lookup", "call_trace", "unknown"), k % 4).alias("intent"), pick(_LEVELS, k % len(_LEVELS)).alias("authority_level"), F.when(F.col("o_orderstatus") == "O", "en").when(F.col("o_orderstatus") == "P", "all").otherwise("fr").alias("profile_id"), F.when(k % 5 > 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("freshness_ts"), F.when(k % 3 == 0, k % 4).alias("graph_depth"), F.lit(0.0).alias("graph_proximity"), (F.col("o_totalprice") / 1.3e7).alias("fused"), signals.alias("signals"))
     return fusion.rerank(rows, clock, "en").select("query_id", F.col("candidate_id").alias("id"), "score")
 
 
