@@ -24,11 +24,13 @@ each other); an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,9 @@ def super_strings(raw: bytes, length: int = LENGTH, gram: int = GRAM):
         anchor = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         for a, b in zip(anchor.tolist(), [*anchor[1:].tolist(), starts], strict=True):
             hits = a + np.flatnonzero(h[a : b - 1 + wide] == least[a])
+            if len(hits) == 1:
+                yield int(least[a]), at + a, b - a, int(hits[0]) - a
+                continue
             s = a
             while s < b:
                 q = int(hits[np.searchsorted(hits, s + wide, "left") - 1])
@@ -315,11 +320,22 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out
 
 
-def _spans(runs: list[dict] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _starts(runs: pa.ListArray) -> list[np.ndarray]:
+    """Repeated starts of each row of ``runs``, in order and once each."""
+    flat, sizes = runs.flatten(), pc.fill_null(pc.list_value_length(runs), 0).to_numpy()
+    at, flags = (flat.field(k) for k in ("at", "flags"))
+    lengths = pc.binary_length(flags).to_numpy(zero_copy_only=False).astype("i8")
+    hit = np.flatnonzero(np.frombuffer(b"".join(flags.to_pylist()), "u1"))
+    run = np.repeat(np.arange(len(flat)), lengths)[hit]
+    starts = at.to_numpy()[run] + hit - (np.cumsum(lengths) - lengths)[run]
+    edges = np.searchsorted(np.repeat(np.arange(len(runs)), sizes)[run], np.arange(len(runs) + 1))
+    return [np.unique(starts[a:b]) if b > a else starts[a:b] for a, b in itertools.pairwise(edges.tolist())]
+
+
+def _spans(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed spans [from, to) of repeated starts."""
-    if not runs:
-        return np.empty(0, "i8"), np.empty(0, "i8")
-    at = np.unique(np.concatenate([r["at"] + np.flatnonzero(np.frombuffer(r["flags"], "u1")) for r in runs]))
+    if not len(at):
+        return at, at
     gap = np.flatnonzero(np.diff(at) > length)
     return at[np.r_[0, gap + 1]], at[np.r_[gap, len(at) - 1]] + length
 
@@ -334,7 +350,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, raw, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc, raw, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _starts(batch.column(2)), strict=True):
                 a, b = _spans(found, length)
                 keep, at = [], 0
                 for x, y in zip(a.tolist(), b.tolist(), strict=True):
