@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tessera.llm import simhash
+from tessera.llm import passages, simhash
 
 
 def _components(texts, k=5, similarity=0.8):
@@ -52,3 +52,12 @@ def test_near_duplicates_of_short_texts_equal_brute_force(spark):
         texts += [" ".join(words), " ".join(words[: 8 if p % 2 else 20])]
     got, want = _kept(spark, texts)
     assert got == want and len(want) == 60
+
+
+def test_copies_are_cut_whole_whatever_their_white_space(spark):
+    for space in (" ", "　", "\x1c", "\xa0 ", " ", "\x85"):
+        text = space + space.join(f"w{k}" for k in range(60))
+        docs = spark.createDataFrame([(1, text), (2, text), (3, "other")], "doc_id long, text string")
+        found = passages.find(docs).collect()
+        assert [(r["doc_id"], r["other_doc_id"], r["start_word"], r["end_word"]) for r in found] == [(2, 1, 0, 60)], repr(space)
+        assert {r["doc_id"]: r["text"] for r in passages.cut(docs).collect()} == {1: text, 2: "", 3: "other"}
