@@ -296,9 +296,10 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     scratch = Scratch(spark)
     hashed = _hashed(docs)
     every = scratch.table(_anchors(hashed, length), "anchors")
-    twice = every.groupBy("anchor").agg(F.sum("copies").alias("all")).filter("all > 1").select("anchor")
+    # A table of its own, so that both sides of the join are plain exchanges and Spark can split a hot anchor.
+    twice = scratch.table(every.groupBy("anchor").agg(F.sum("copies").alias("all")).filter("all > 1").select("anchor"), "twice")
     some = scratch.table(every.join(twice, "anchor", "left_semi"), "repeated")
-    scratch.drop("anchors")
+    scratch.drop("anchors", "twice")
     common.release(spark)
     reps = some.groupBy("anchor", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("digest", "doc_id", "first", "n", "rel")).alias("r"))
     reps = reps.select("anchor", "content", "copies", "r.*")
