@@ -163,3 +163,47 @@ def test_star_links_the_first_and_the_previous_holder():
     text, at = np.array([3, 1, 2, 1], "i4"), np.array([5, 6, 7, 6], "i4")  # the last is a copy of text 1
     u, v = passages.star(seed, doc, text, at)
     assert {(int(doc[a]), int(doc[b])) for a, b in zip(u, v, strict=True)} == {(20, 10), (30, 10), (30, 20)}
+
+
+def test_all_holders_of_a_seed_meet_and_frequent_seeds_grow():
+    def linked(texts):
+        x = [passages.seeds(passages._hashes(t))[0] for t in texts]
+        n = [len(k) for k in x]
+        seed, doc = np.concatenate(x).astype("u4"), np.repeat(np.arange(len(x)), n)
+        text, at = doc.astype("i4"), np.concatenate([np.arange(k) for k in n]).astype("i4")
+        u, v, frequent = passages.meetings(seed, doc, text, at)
+        out = {(int(doc[a]), int(doc[b])) for a, b in zip(u, v, strict=True)}
+        sizes = passages.lengths(50)
+        runs = [np.concatenate(r)[frequent] for r in zip(*(passages.longer(k, sizes) for k in x), strict=True)]
+        for _, u, v in passages.grown(seed[frequent], doc[frequent], text[frequent], at[frequent], runs):
+            out |= {(int(doc[frequent][a]), int(doc[frequent][b])) for a, b in zip(u, v, strict=True)}
+        return out
+
+    few = linked([f"a{k} some four words here b{k}" for k in range(6)])
+    assert few == {(i, j) for i in range(6) for j in range(i)}
+    lines = [" ".join(f"l{k}w{w}" for w in range(9)) for k in range(7)]
+    rng = random.Random(5)
+    texts = [" x ".join(f"{line} y{k}" for line in rng.sample(lines, 7)) for k in range(60)]
+    whole = " ".join(lines)
+    assert (61, 30) in linked([*texts[:30], f"one {whole} two", *texts[30:], f"three {whole} four"])
+    many = linked([f"a{k} {whole} b{k}" for k in range(40)])
+    assert {(i, 0) for i in range(1, 40)} <= many and len(many) < 3 * 40
+
+
+@pytest.mark.parametrize("holders", [2, 20])
+@pytest.mark.parametrize("changed", [False, True])
+def test_a_passage_whose_pieces_have_other_holders_is_found(spark, holders, changed):
+    """For each piece other texts hold it before each of the two, and no more of the passage."""
+    pieces = [[f"p{k}w{w}" for w in range(9)] for k in range(7)]
+
+    def passage(name):
+        return [w for j, p in enumerate(pieces) for w in ([*p, f"{name}{j}"] if changed and j < 6 else p)]
+
+    def others(name):
+        return [" ".join([f"{name}{k}x{j}", *p, f"{name}{k}y{j}"]) for k in range(holders) for j, p in enumerate(pieces)]
+
+    texts = [*others("a"), " ".join(["one", *passage("b"), "two"]), *others("c"), " ".join(["three", "four", *passage("d"), "five"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [(r["doc_id"], r["other_doc_id"], r["start_word"], r["end_word"], r["other_start"]) for r in passages.find(docs).collect()]
+    n = len(passage("b"))
+    assert found == [(14 * holders + 1, 7 * holders, 2, 2 + n, 1)]
