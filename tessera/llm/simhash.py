@@ -218,12 +218,12 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
             for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if digest not in rows and len(h := shingle_hashes(text, k)):
                     unique = np.unique(h)
-                    rows[digest] = (digest, len(unique), minimum_hashes(unique))
+                    rows[digest] = (digest, len(unique), minimum_hashes(unique), fingerprint(h))
             if rows:
                 c = list(zip(*rows.values(), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1], pa.int64()), pa.array([np.array(x, "u8").view("i8").tolist() for x in c[2]], pa.list_(pa.int64()))], ["digest", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1], pa.int64()), pa.array([np.array(x, "u8").view("i8").tolist() for x in c[2]], pa.list_(pa.int64())), pa.array(np.array(c[3], "u8").view("i8"))], ["digest", "n", "keys", "print"])
 
-    return docs.mapInArrow(run, "digest string, n bigint, keys array<bigint>")
+    return docs.mapInArrow(run, "digest string, n bigint, keys array<bigint>, print bigint")
 
 
 def near_sets(sets: list[np.ndarray], similarity: float):
@@ -259,21 +259,27 @@ def near_sets(sets: list[np.ndarray], similarity: float):
     return near
 
 
-def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """(digest, component) of distinct texts of Jaccard similarity ``similarity``
     or more on k-word shingles, chained; texts alone in theirs are left out.
 
-    At 0.8 on five-word shingles 64-bit fingerprints are 5 to 14 bits apart, too
-    far for pigeonhole partitions to select anything, so texts meet under one of
-    ``KEYS`` minimum hashes (a pair at 0.8 misses all with chance 0.2^6). The
+    Texts whose fingerprints are linked within ``radius`` bits (``links``,
+    chained) meet. At 0.8 on five-word shingles 64-bit fingerprints are 5 to 14
+    bits apart, too far for pigeonhole partitions to select anything, so the
+    others meet under one of ``KEYS`` minimum hashes as well (a pair at 0.8
+    misses all with chance 0.2^6). The
     exact similarity of whole texts decides each link inside the group, with no
     estimate before it, so a member stays in the search until a true link
     reaches it.
     """
     hashed = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), F.col("text").cast("string").alias("text"))
-    one = _profiles(hashed, k).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "keys")])
+    one = _profiles(hashed, k).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "keys", "print")])
     profiles = scratch.table(one, "profiles")
-    keyed = profiles.select("digest", F.posexplode("keys").alias("place", "key"), "n")
+    prints = scratch.table(profiles.select("print").distinct(), "distinct")
+    linked = common.components(scratch, links(scratch, prints, radius), "prints")
+    scratch.drop("distinct", "filed", "filed-sizes", "links")
+    near = profiles.join(linked, profiles["print"] == linked["node"], "left").select("digest", F.lit(KEYS).alias("place"), F.coalesce("component", "print").alias("key"), "n")
+    keyed = profiles.select("digest", F.posexplode("keys").alias("place", "key"), "n").union(near)
     met = keyed.join(keyed.groupBy("place", "key").agg(F.count("*").alias("members")).filter("members > 1"), ["place", "key"])
     met = scratch.table(met.select("digest", "place", "key", "n"), "met")
     wanted = met.select("digest").distinct()

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tessera.llm import passages, simhash
 
@@ -61,3 +63,14 @@ def test_copies_are_cut_whole_whatever_their_white_space(spark):
         found = passages.find(docs).collect()
         assert [(r["doc_id"], r["other_doc_id"], r["start_word"], r["end_word"]) for r in found] == [(2, 1, 0, 60)], repr(space)
         assert {r["doc_id"]: r["text"] for r in passages.cut(docs).collect()} == {1: text, 2: "", 3: "other"}
+
+
+def test_fingerprints_bring_near_duplicates_together_that_minimum_hashes_miss(spark):
+    base = " ".join(["one two three four five"] * 50)
+    texts = [base, f"{base} x11017", "some other text of a few words"]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) > 0.8
+    a, b = (simhash.minimum_hashes(np.unique(simhash.shingle_hashes(t, 5))) for t in texts[:2])
+    assert not set(a) & set(b)
+    got, want = _kept(spark, texts)
+    assert got == want == {0, 2}
