@@ -207,3 +207,24 @@ def test_a_passage_whose_pieces_have_other_holders_is_found(spark, holders, chan
     found = [(r["doc_id"], r["other_doc_id"], r["start_word"], r["end_word"], r["other_start"]) for r in passages.find(docs).collect()]
     n = len(passage("b"))
     assert found == [(14 * holders + 1, 7 * holders, 2, 2 + n, 1)]
+
+
+def test_passages_that_cover_hold_every_word_of_all():
+    rng = random.Random(6)
+    for _ in range(500):
+        spans = [(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 30) for _ in range(rng.randint(0, 9)))]
+        words = [w for k in passages.cover(spans) for w in range(*spans[k])]
+        assert set(words) == {w for s in spans for w in range(*s)}
+        assert all(words.count(w) <= 2 for w in words)
+
+
+def test_text_that_repeats_itself_makes_few_passages(spark):
+    texts = [" ".join([f"t{k}", *["over again"] * (60 if k < 2 else 150 + k), f"u{k}"]) for k in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs, words = {}, {}
+    for r in passages.find(docs).collect():
+        pairs.setdefault((r["doc_id"], r["other_doc_id"]), []).append(r)
+        words.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    assert {i for i, _ in pairs} == set(range(1, 8)) and all((i, 0) in pairs for i in range(1, 8))
+    assert all(words[i] == set(range(1, len(texts[i].split()) - 1)) for i in words)
+    assert max(len(rows) for rows in pairs.values()) <= 8
