@@ -1,6 +1,7 @@
 """The operators' inner parts against plain versions (no Spark)."""
 
 import io
+import itertools
 import math
 import random
 from collections import Counter
@@ -228,3 +229,18 @@ def test_text_that_repeats_itself_makes_few_passages(spark):
     assert {i for i, _ in pairs} == set(range(1, 8)) and all((i, 0) in pairs for i in range(1, 8))
     assert all(words[i] == set(range(1, len(texts[i].split()) - 1)) for i in words)
     assert max(len(rows) for rows in pairs.values()) <= 8
+
+
+def test_equal_words_and_packs():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        a, b = (rng.integers(0, 6, rng.integers(0, 49)).astype("u8") for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate([0, *(max(row[k + 1], row[k] + (x == y)) for k, y in enumerate(b))], max))
+        assert passages._equal_words(a, b) == row[-1]
+    rows = [tuple(rng.integers(0, 90, n).astype(d) for d in ("i8", "i4")) for n in (0, 5, 700, 3, 0, 40)]
+    packs = list(passages._in_packs(rows, {"x": "i8", "y": "i4"}, 100, lambda x, y: x % 7))
+    assert len(packs) == 2
+    got = sorted(z for p in packs for k in range(len(p)) for z in zip(*(passages._unpack([p.column(c)[k].as_py()], d).tolist() for c, d in ((1, "i8"), (2, "i4"))), [p.column(0)[k].as_py()] * 9999))
+    assert got == sorted((int(x), int(y), int(x) % 7) for r in rows for x, y in zip(*r))
