@@ -88,6 +88,24 @@ def whole(docs: DataFrame, **keys) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in keys.items()])
 
 
+#: Bytes of a text that are cut into words at once.
+SLICE = 1 << 20
+
+
+def word_slices(text: bytes):
+    """The words of a text (runs without white space of ASCII), a slice at a time,
+    so that of a very long text not all words are held at once."""
+    at = 0
+    while len(text) - at > SLICE:
+        end = max(text.rfind(c, at, at + SLICE) for c in (b" ", b"\n"))
+        if end <= at:  # one word longer than a slice: up to its end
+            ends = [x for c in (b" ", b"\n") if (x := text.find(c, at + 1)) > 0]
+            end = min(ends, default=len(text))
+        yield text[at:end].split()
+        at = end
+    yield text[at:].split() if at else text.split()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
