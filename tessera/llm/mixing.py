@@ -99,8 +99,8 @@ def fit(lengths: list[int], counts: list[int], budget: int, table: int = TABLE)
         i = rest[-1][0]
         take[i] += lengths[i] < 2 * left
         return take
-    # A sum may also end above, by less than the shortest document.
-    top = left + min(lengths[i] for i, _ in rest)
+    # The nearest sum may also lie above, by less than the longest document.
+    top = left + min(lengths[rest[0][0]], table)
     reached, by = np.zeros(top + 1, bool), np.full(top + 1, -1, "i4")
     reached[0], items = True, []
     for i, n in rest:
