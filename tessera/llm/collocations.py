@@ -9,7 +9,8 @@ them up, again in duckdb, and gives the frequent ones; candidates then send
 lookup requests for their parts, shuffled to where the part's count lies, and
 answers meet again at the candidate.
 
-No n-gram is a group: a frequent one is one row a task. Pieces of more than
+N-grams of three words go where their first two are counted. No n-gram is a
+group: a frequent one is one row a task. Pieces of more than
 ``LONG`` words are cut, each with the two words that follow as context, so a
 text without any sign to cut at is no larger row than others.
 
@@ -32,6 +33,7 @@ import uuid
 from collections import Counter
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,8 @@ from . import common
 LEAST, COVERED, MOST = 10, 50, 2000
 #: Words of a piece's row, distinct pieces a task holds before it gives them on.
 LONG, HELD = 4096, 1 << 18
+#: Buckets for each partition of a shuffle; a task works out one after another.
+BUCKETS = 4
 #: duckdb's memory in one Python worker; what is more goes to the spill folder.
 MEMORY = "320MB"
 #: A-Z to a-z, a tab to a blank, what ends a piece to a line end.
@@ -104,7 +108,14 @@ def duck(shared: str):
 
 def count_grams(buckets: int, shared: str):
     """Pieces to (bucket, grams): the task's n-grams with their weights, one Arrow
-    stream for each bucket."""
+    stream or more for each bucket. A row (a, b, c) is two n-grams at once: the pair's
+    count is the sum of its rows, which go to one bucket; words have rows of their own."""
+
+    def packed(bucket: int, tables: list[pa.Table]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, tables[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.concat_tables(tables).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "grams"])
 
     def run(batches):
         with duck(shared) as con:
@@ -117,35 +128,52 @@ def count_grams(buckets: int, shared: str):
             con.execute("""CREATE TABLE starts AS SELECT lang, a, b, c, sum(n)::BIGINT AS n FROM (SELECT lang, n, unnest(w[: len(w) - ahead]) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c
              FROM (SELECT lang, string_split(piece, ' ') AS w, ahead, sum(n)::BIGINT AS n FROM pieces GROUP BY lang, piece, ahead)) WHERE a IS NOT NULL GROUP BY lang, a, b, c""")
             con.execute("DROP TABLE pieces")
-            every = f"""SELECT (hash(lang, gram) % {buckets})::INTEGER AS bucket, lang, gram, words, n FROM (SELECT lang, a AS gram, 1::TINYINT AS words, sum(n)::BIGINT AS n FROM starts GROUP BY lang, a
-             UNION ALL SELECT lang, a || ' ' || b, 2::TINYINT, sum(n)::BIGINT FROM starts WHERE b IS NOT NULL GROUP BY lang, a, b UNION ALL SELECT lang, a || ' ' || b || ' ' || c, 3::TINYINT, n FROM starts WHERE c IS NOT NULL)"""
-            con.execute(f"CREATE TABLE grams AS {every}")
-            con.execute("DROP TABLE starts")
-            options = pa.ipc.IpcWriteOptions(compression="zstd")
-            for bucket in range(buckets):
-                rows = con.sql(f"SELECT lang, gram, words, n FROM grams WHERE bucket = {bucket} ORDER BY lang, gram").to_arrow_table().combine_chunks()
-                for k in range(0, rows.num_rows, 1 << 18):
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
-                        out.write_table(rows.slice(k, 1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "grams"])
+            rows = con.sql(f"""SELECT (hash(lang, a, b) % {buckets})::INTEGER AS bucket, lang, a, b, c, n FROM (SELECT * FROM starts WHERE b IS NOT NULL
+             UNION ALL SELECT lang, a, NULL, NULL, sum(n)::BIGINT FROM starts GROUP BY lang, a) ORDER BY bucket, lang, a, b, c""").to_arrow_reader(1 << 16)
+            now, held = None, []
+            for batch in rows:
+                bucket = batch.column(0).to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+                for i, j in zip(edges[:-1], edges[1:], strict=True):
+                    if i == j:
+                        continue
+                    if held and (now != bucket[i] or sum(map(len, held)) >= 1 << 18):
+                        yield packed(now, held)
+                        held = []
+                    now = int(bucket[i])
+                    held.append(pa.Table.from_batches([batch.slice(i, j - i).drop_columns("bucket")]))
+            if held:
+                yield packed(now, held)
 
     return run
 
 
 def add_up(least: int, shared: str):
-    """Buckets to (lang, phrase, words, n): n-grams of at least ``least`` occurrences,
+    """Buckets, in order, to (lang, phrase, words, n): n-grams of at least ``least`` occurrences,
     and a row of no words for what a language's words are together."""
 
+    often = f"HAVING sum(n) >= {int(least)}"
+
+    def sums(con):
+        return con.sql(f"""SELECT lang, a AS phrase, 1 AS words, sum(n)::BIGINT AS n FROM grams WHERE b IS NULL GROUP BY lang, a {often}
+             UNION ALL SELECT lang, a || ' ' || b, 2, sum(n)::BIGINT FROM grams WHERE b IS NOT NULL GROUP BY lang, a, b {often}
+             UNION ALL SELECT lang, a || ' ' || b || ' ' || c, 3, sum(n)::BIGINT FROM grams WHERE c IS NOT NULL GROUP BY lang, a, b, c {often}
+             UNION ALL SELECT lang, '', 0, sum(n)::BIGINT FROM grams WHERE b IS NULL GROUP BY lang""").to_arrow_reader(1 << 15)
+
     def run(batches):
         with duck(shared) as con:
-            con.execute("CREATE TABLE grams (lang VARCHAR, phrase VARCHAR, words TINYINT, n BIGINT)")
+            now = None
             for batch in batches:
-                for raw in batch.column(1):
+                for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if bucket != now:
+                        if now is not None:
+                            yield from sums(con)
+                        con.execute("CREATE OR REPLACE TABLE grams (lang VARCHAR, a VARCHAR, b VARCHAR, c VARCHAR, n BIGINT)")
+                        now = bucket
                     arrived = pa.ipc.open_stream(raw.as_buffer()).read_all()  # noqa: F841
                     con.execute("INSERT INTO grams SELECT * FROM arrived")
-            got = con.sql(f"SELECT lang, phrase, words::INTEGER AS words, sum(n)::BIGINT AS n FROM grams GROUP BY lang, phrase, words HAVING sum(n) >= {int(least)} UNION ALL SELECT lang, '', 0, sum(n)::BIGINT FROM grams WHERE words = 1 GROUP BY lang")
-            yield from got.to_arrow_reader(1 << 15)
+            if now is not None:
+                yield from sums(con)
 
     return run
 
@@ -154,10 +182,10 @@ def count(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, phrase, words, n) of all frequent n-grams of up to three words; words = 0 has each language's total."""
     spark = docs.sparkSession
     common.tune(spark)
-    shared, buckets = common.shared_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared, buckets = common.shared_dir(spark), BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
     pieces = rows.mapInArrow(count_pieces, "lang string, piece string, ahead int, n bigint").repartition("lang", "piece")
-    grams = pieces.mapInArrow(count_grams(buckets, shared), "bucket int, grams binary").repartition("bucket")
+    grams = pieces.mapInArrow(count_grams(buckets, shared), "bucket int, grams binary").repartition("bucket").sortWithinPartitions("bucket")
     return grams.mapInArrow(add_up(least, shared), "lang string, phrase string, words int, n bigint")
 
 
