@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints to the shared folder of ``spark.checkpoint.dir``; only where it
-    is unset and one machine runs everything, to a temporary folder."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where it is unset and one machine
+    runs everything, a temporary folder."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
@@ -19,4 +19,15 @@ def cut(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoints to the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()

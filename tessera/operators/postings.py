@@ -2,9 +2,8 @@
 
 Documents are numbered when they are written: a range of up to ``RANGE`` of them,
 and a slot in it. A term's postings in one range are one row, a block: slots,
-frequencies, lengths of documents and places of the word, slots as distances
-from the range's start, with the block's greatest frequency and shortest
-document. Blocks lie in folders by the term's hash and are sorted by term, so a
+frequencies, lengths of documents and places of the word, with the block's
+greatest frequency and shortest document. Blocks lie in folders by the term's hash and are sorted by term, so a
 search reads the blocks of its terms only.
 
 As ranges cut all terms alike, blocks of a range meet by an equi-join. A query's
@@ -15,24 +14,29 @@ only those whose bound reaches the k-th score found.
 A change is one commit: new documents in ranges of their own with their blocks,
 marks on the rows of documents that they replace, and for those documents'
 terms rows that take their number off the term's. Scores are BM25 over the
-whole index as it is at that moment (Lucene's segments work likewise).
+whole index as it is at that moment, and equal those of ``fulltext.match``.
+
+Defined results: null texts are empty; a key that ``rows`` repeat is indexed once a
+row; a query without words finds nothing; ties of score go by key.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..sources.commits import Log
+from ..sources.commits import Conflict, Log, State, added
+from .fulltext import K1, B, units
 from .lineage import cut
 
-K1, B = 1.2, 0.75
 #: Documents of a range, folders of terms, ranges of a query that are worked out first.
 RANGE, FOLDERS, FIRST = 4096, 64, 4
 #: Words up to which a search names its words to the scan, beside their folders.
 NAMED = 256
-_EMPTY = "array<int>"
+BLOCK = ("term", "range", "n", "top_tf", "short", "slots", "tfs", "lengths", "places")
 
 
 def folder_of(term: Column, folders: int = FOLDERS) -> Column:
@@ -45,7 +49,7 @@ def part_score(tf: Column, length: Column, mean: Column) -> Column:
 
 
 class TextIndex:
-    """Documents (``key``, a list of texts ``columns``, and columns to filter by) below ``root``."""
+    """Documents (``key``, a list of texts ``columns``) below ``root``."""
 
     def __init__(self, spark: SparkSession, root: str, key: str = "object_id", size: int = RANGE, folders: int = FOLDERS):
         self.spark, self.log, self.key, self.size, self.folders = spark, Log(spark, root), key, size, folders
@@ -54,13 +58,11 @@ class TextIndex:
 
     def _numbered(self, rows: DataFrame, first: int) -> DataFrame:
         """Adds ``range`` and ``slot``: each task's rows fill ranges of their own, from ``first`` on."""
-        parts = max(1, rows.rdd.getNumPartitions()) if rows.isStreaming else None
-        del parts
         spread = cut(rows.repartitionByRange(self.key).withColumn("_part", F.spark_partition_id()))
         counts = spread.groupBy("_part").agg(F.ceil(F.count("*") / self.size).alias("_ranges"))  # a row a task
         starts = counts.select("_part", (F.sum("_ranges").over(Window.orderBy("_part")) - F.col("_ranges") + first).alias("_first"))
         place = F.row_number().over(Window.partitionBy("_part").orderBy(self.key)) - 1
-        placed = spread.join(F.broadcast(starts), "_part").withColumn("_n", place)
+        placed = spread.join(starts, "_part").withColumn("_n", place)
         return placed.withColumns({"range": F.col("_first") + F.floor(F.col("_n") / self.size), "slot": (F.col("_n") % self.size).cast("int")}).drop("_part", "_first", "_n")
 
     def _blocks(self, lined: DataFrame) -> DataFrame:
@@ -71,53 +73,148 @@ class TextIndex:
         entry = F.struct("slot", F.size("places").alias("tf"), "length", "places")
         blocks = counted.groupBy("term", "range").agg(F.array_sort(F.collect_list(entry)).alias("e"))
         of = lambda c: F.transform("e", lambda x: x[c])
-        return blocks.select(folder_of(F.col("term"), self.folders).alias("folder"), "term", "range", F.size("e").alias("n"), F.array_max(of("tf")).alias("top_tf"), F.array_min(of("length")).alias("short"), of("slot").alias("slots"), of("tf").alias("tfs"), of("length").alias("lengths"), of("places").alias("places"))
-
-    def write(self, rows: DataFrame) -> int:
-        """Indexes ``rows``, in place of what the index holds of their keys (delete, then
-        insert); returns the version. If another writer commits meanwhile, all is tried again."""
-        for _ in range(5):
-            state = self.log.state()
-            held = self.log.read("docs", state.version) if "docs" in state.schemas else None
-            lined = rows.withColumn("_words", F.transform("columns", lambda c: tokens(F.coalesce(c, F.lit("")))))
+        return blocks.select("term", "range", F.size("e").alias("n"), F.array_max(of("tf")).alias("top_tf"), F.array_min(of("length")).alias("short"), of("slot").alias("slots"), of("tf").alias("tfs"), of("length").alias("lengths"), of("places").alias("places"))
+
+    def _less(self, old: DataFrame) -> DataFrame:
+        """Rows that take documents (range, terms) off their terms' numbers."""
+        none = lambda kind: F.array().cast(kind)
+        n = old.select("range", F.explode("terms").alias("term")).groupBy("term", "range").agg((-F.count("*")).cast("int").alias("n"))
+        return n.select("term", "range", "n", F.lit(0).alias("top_tf"), F.lit(0).alias("short"), *[none("array<int>").alias(c) for c in BLOCK[5:8]], none("array<array<int>>").alias("places"))
+
+    def _apply(self, state: State, keys: DataFrame, rows: DataFrame | None) -> int | None:
+        """One commit on top of ``state``: the documents of ``keys`` go, ``rows`` come. None: another came first."""
+        tables, sums, blocks, lists = {}, {"docs": 0, "length": 0, "ranges": 0}, None, {}
+        if rows is not None:
+            words = F.transform("columns", lambda c: tokens(F.coalesce(c, F.lit(""))))
             # An empty word ends a column, so that no phrase crosses it.
-            lined = lined.withColumn("line", F.flatten(F.transform("_words", lambda w: F.concat(w, F.array(F.lit("")))))).withColumn("length", F.size(F.filter("line", lambda w: w != ""))).drop("_words", "columns")
+            lined = rows.withColumn("line", F.flatten(F.transform(words, lambda w: F.concat(w, F.array(F.lit(""))))))
+            lined = lined.withColumn("length", F.size(F.filter("line", lambda w: w != ""))).select(self.key, "line", "length")
             lined = cut(self._numbered(lined, state.sums.get("ranges", 0)))
-            docs = lined.withColumn("terms", F.array_distinct(F.filter("line", lambda w: w != ""))).drop("line")
-            blocks, gone = self._blocks(lined), {"docs": 0, "length": 0}
-            if held is not None:
-                old = cut(held.join(lined.select(self.key), self.key, "left_semi").select("range", "length", "terms"))
-                less = old.select("range", F.explode("terms").alias("term")).groupBy("term", "range").agg((-F.count("*")).cast("int").alias("n"))
-                none = F.array().cast(_EMPTY)
-                blocks = blocks.unionByName(less.select(folder_of(F.col("term"), self.folders).alias("folder"), "term", "range", "n", F.lit(0).alias("top_tf"), F.lit(0).alias("short"), none.alias("slots"), none.alias("tfs"), none.alias("lengths"), F.array().cast("array<array<int>>").alias("places")))
-                n, length = old.agg(F.count("*"), F.sum("length")).first()
-                gone = {"docs": n, "length": length or 0}
+            docs = lined.select(self.key, "range", "slot", "length", F.array_distinct(F.filter("line", lambda w: w != "")).alias("terms"))
             n, length, last = docs.agg(F.count("*"), F.sum("length"), F.max("range")).first()
-            if not n:
-                return state.version
-            sums = {"docs": n - gone["docs"], "length": length - gone["length"], "ranges": last + 1 - state.sums.get("ranges", 0)}
-            version = self._commit(state, docs, blocks, gone["docs"], sums)
-            if version:
+            if n:
+                sums = {"docs": n, "length": length, "ranges": last + 1 - state.sums.get("ranges", 0)}
+                tables["docs"] = self.log._write(docs, "docs", order=("range", "slot"))
+                blocks = self._blocks(lined)
+        held = state.of("docs")
+        if held:
+            old = cut(self.log._scan(state, held, "docs").join(keys.select(self.key).distinct(), self.key, "left_semi").select("range", "slot", "length", "terms"))
+            n, length = old.agg(F.count("*"), F.sum("length")).first()
+            if n:
+                sums = added(sums, {"docs": -n, "length": -length})
+                blocks = self._less(old) if blocks is None else blocks.unionByName(self._less(old))
+                lists = self.log._mark(state, held, keys, [self.key], "docs")
+                tables["gone"] = self.log._write(old.select("range", "slot"), "gone")
+        if not tables:
+            return state.version
+        blocks = blocks.withColumn("folder", folder_of(F.col("term"), self.folders))
+        tables["blocks"] = self.log._write(blocks, "blocks", "folder", ("term", "range"))
+        schemas = {"blocks": blocks.schema} | {t: (docs.schema if t == "docs" else old.select("range", "slot").schema) for t in tables if t != "blocks"}
+
+        def change(now: State) -> State:
+            if now.version != state.version:
+                raise Conflict("the index has changed")
+            new = self.log._new(now, [p for parts in tables.values() for p in parts])
+            return replace(now, parts=self.log._marked(now.parts, lists) + new, schemas=self.log._schema(now, schemas), sums=added(now.sums, sums))
+
+        try:
+            return self.log._commit(change)
+        except Conflict:
+            return None
+
+    def _until_first(self, keys: DataFrame, rows: DataFrame | None, tries: int = 5) -> int:
+        for _ in range(tries):
+            version = self._apply(self.log.state(), keys, rows)
+            if version is not None:
                 return version
-        raise RuntimeError("other writers always came first")
+        raise Conflict(f"{tries} commits of others came before this one")
+
+    def write(self, rows: DataFrame) -> int:
+        """Indexes ``rows``, in place of what the index holds of their keys (delete, then
+        insert); returns the version. If another writer commits meanwhile, all is tried again."""
+        return self._until_first(rows, rows)
 
     def delete(self, keys: DataFrame) -> int:
-        """Takes documents out; returns how many there were."""
-        state = self.log.state()
+        """Takes documents out; returns the version."""
+        return self._until_first(keys, None)
+
+    # -- searching ----------------------------------------------------------------
+
+    def blocks(self, state: State, words: DataFrame) -> DataFrame:
+        """Blocks of ``words`` (word): the folders that can hold them are read, and of
+        few words only the row groups that may."""
+        folders = {r[0] for r in words.select(folder_of(F.col("word"), self.folders)).distinct().collect()}  # at most all folders
+        parts = state.of("blocks", folders)
+        if not parts:
+            return self.log._scan(state, [], "blocks").select(*BLOCK)
+        found = self.log._scan(state, parts, "blocks").select(*BLOCK)
+        few = [r[0] for r in words.select("word").distinct().limit(NAMED + 1).collect()]
+        if len(few) <= NAMED:
+            found = found.filter(F.col("term").isin(few))
+        return found.join(words.select(F.col("word").alias("term")).distinct(), "term", "left_semi")
+
+    def _phrases(self, asked: DataFrame, found: DataFrame) -> DataFrame:
+        """Blocks of phrases, made from their words' places: the words of a phrase meet
+        by range and slot, the places of the first that all others follow count."""
+        phrases = asked.filter(F.size("words") > 1).select("unit", "words").distinct()
+        each = phrases.select("unit", F.size("words").alias("need"), F.posexplode("words").alias("at", "term"))
+        met = each.join(found.filter("n > 0"), "term")
+        met = met.select("unit", "need", "at", "range", F.explode(F.arrays_zip("slots", "lengths", "places")).alias("x"))
+        starts = F.transform(F.col("x.places"), lambda p: p - F.col("at"))
+        rows = met.select("unit", "need", "range", F.col("x.slots").alias("slot"), F.col("x.lengths").alias("length"), F.explode(starts).alias("start"))
+        rows = rows.groupBy("unit", "range", "slot", "length", "start", "need").agg(F.count("*").alias("hit")).filter("hit = need")
+        rows = rows.groupBy("unit", "range", "slot", "length").agg(F.count("*").cast("int").alias("tf"))
+        entries = F.array_sort(F.collect_list(F.struct("slot", "tf", "length")))
+        of = lambda c: F.transform("e", lambda x: x[c])
+        rows = rows.groupBy("unit", "range").agg(entries.alias("e"))
+        return rows.select("unit", "range", F.size("e").alias("n"), F.array_max(of("tf")).alias("top_tf"), F.array_min(of("length")).alias("short"), of("slot").alias("slots"), of("tf").alias("tfs"), of("length").alias("lengths"))
+
+    def search(self, queries: DataFrame, query_key: str, query_text: str, k: int, asked: DataFrame | None = None) -> DataFrame:
+        """(query, key, bm25, rank) of the ``k`` best documents that hold all of a query's units."""
+        state, key = self.log.state(), self.key
         if "docs" not in state.schemas:
-            return 0
-        schema = self.log.read("docs").schema
-        none = self.spark.createDataFrame([], schema).drop("range", "slot", "length", "terms").withColumn("columns", F.array().cast("array<string>"))
-        for _ in range(5):
-            state = self.log.state()
-            old = cut(self.log.read("docs", state.version).join(keys.select(self.key).distinct(), self.key, "left_semi"))
-            n, length = old.agg(F.count("*"), F.sum("length")).first()
-            if not n:
-                return 0
-            less = old.select("range", F.explode("terms").alias("term")).groupBy("term", "range").agg((-F.count("*")).cast("int").alias("n"))
-            empty = F.array().cast(_EMPTY)
-            less = less.select(folder_of(F.col("term"), self.folders).alias("folder"), "term", "range", "n", F.lit(0).alias("top_tf"), F.lit(0).alias("short"), empty.alias("slots"), empty.alias("tfs"), empty.alias("lengths"), F.array().cast("array<array<int>>").alias("places"))
-            if self._commit(state, old.limit(0), less, n, {"docs": -n, "length": -length}, old):
-                return n
-        del none
-        raise RuntimeError("other writers always came first")
+            raise FileNotFoundError(f"no index below {self.log.root}")
+        asked = cut(units(queries, query_key, query_text) if asked is None else asked)
+        total, mean = float(state.sums["docs"]), F.lit(state.sums["length"] / max(1, state.sums["docs"]))
+        words = asked.select(F.explode("words").alias("word")).distinct()
+        found = cut(self.blocks(state, words))
+        single = asked.filter(F.size("words") == 1).select("unit").distinct()
+        held = found.drop("places").withColumnRenamed("term", "unit").join(single, "unit", "left_semi")
+        gone = self.log._scan(state, state.of("gone"), "gone") if "gone" in state.schemas else None
+        spoken = self._phrases(asked, found)
+        if gone is not None:  # phrases have no numbers of their own to take gone documents off
+            entry = spoken.select("unit", "range", F.explode(F.arrays_zip("slots", "tfs", "lengths")).alias("x")).select("unit", "range", F.col("x.slots").alias("slot"))
+            less = entry.join(gone, ["range", "slot"], "left_semi").groupBy("unit", "range").agg((-F.count("*")).cast("int").alias("n"))
+            empty = [F.array().cast("array<int>").alias(c) for c in BLOCK[5:8]]
+            spoken = spoken.unionByName(less.select("unit", "range", "n", F.lit(0).alias("top_tf"), F.lit(0).alias("short"), *empty))
+        held = cut(held.select(spoken.columns).unionByName(spoken))
+        df = held.groupBy("unit").agg(F.sum("n").cast("double").alias("df"))
+        idf = F.ln((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = F.col("times") * F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+        need = F.count("*").over(Window.partitionBy(query_key))
+        asked = asked.select(query_key, "unit", "times", need.alias("need")).join(df, "unit").select(query_key, "unit", "need", weight.alias("weight"))
+        live = held.filter("n > 0")
+        bound = F.sum(F.col("weight") * part_score(F.col("top_tf"), F.col("short"), mean))
+        ranges = asked.join(live.select("unit", "range", "top_tf", "short"), "unit").groupBy(query_key, "range").agg(bound.alias("bound"), F.count("*").alias("hit"), F.first("need").alias("need"))
+        order = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("bound"), "range"))
+        ranges = cut(ranges.filter("hit = need").withColumn("turn", order))
+        ranked = Window.partitionBy(query_key).orderBy("bm25", "range", "slot")
+
+        def scored(some: DataFrame) -> DataFrame:
+            met = asked.join(some.select(query_key, "range"), query_key).join(live, ["unit", "range"])
+            rows = met.select(query_key, "range", "need", "weight", F.explode(F.arrays_zip("slots", "tfs", "lengths")).alias("x"))
+            part = F.col("weight") * part_score(F.col("x.tfs"), F.col("x.lengths"), mean)
+            rows = rows.groupBy(query_key, "range", F.col("x.slots").alias("slot"), "need").agg(F.round(-F.sum(part), 6).alias("bm25"), F.count("*").alias("hit")).filter("hit = need")
+            return (rows if gone is None else rows.join(gone, ["range", "slot"], "left_anti")).select(query_key, "range", "slot", "bm25")
+
+        first = cut(scored(ranges.filter(F.col("turn") <= FIRST)))
+        # The k-th score so far; scores are rounded, so what reaches it but for rounding counts.
+        least = first.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") == k).select(query_key, (-F.col("bm25") - 1e-6).alias("least"))
+        rest = ranges.filter(F.col("turn") > FIRST).join(least, query_key, "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+        every = first.unionByName(scored(rest))
+        # Ties at the k-th score go by key, so all of them fetch theirs.
+        ties = Window.partitionBy(query_key).orderBy("bm25")
+        every = every.withColumn("r", F.rank().over(ties)).filter(F.col("r") <= k).drop("r")
+        docs = self.log._scan(state, state.of("docs"), "docs").select(key, "range", "slot")
+        last = F.row_number().over(Window.partitionBy(query_key).orderBy("bm25", key))
+        return every.join(docs, ["range", "slot"]).select(query_key, key, "bm25").withColumn("rank", last).filter(F.col("rank") <= k)

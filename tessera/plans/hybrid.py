@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fulltext, layers
 from .registry import QUERIES, SQL, read
-from . import parse_queries, registry_more, store_queries  # noqa: F401  register their queries
+from . import log_queries, parse_queries, registry_more, store_queries  # noqa: F401  register their queries
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:

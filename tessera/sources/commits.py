@@ -156,15 +156,17 @@ class Log:
 
     # -- writing ----------------------------------------------------------------
 
-    def _write(self, df: DataFrame, table: str = ROWS, bucket: str | None = None) -> list[Part]:
-        """Writes rows as a part, or as a part a bucket; each is counted on its way and read back."""
+    def _write(self, df: DataFrame, table: str = ROWS, bucket: str | None = None, order: tuple[str, ...] = ()) -> list[Part]:
+        """Writes rows as a part, or as a part a bucket, sorted by ``order`` if asked; each is
+        counted on its way and read back."""
         name, seen = f"{table}-{uuid.uuid4().hex}", Observation()
         watched = df.observe(seen, F.count(F.lit(1)).alias("n"))
         if bucket is None:
-            watched.write.parquet(f"{self.root}/{name}")
+            (watched.sortWithinPartitions(*order) if order else watched).write.parquet(f"{self.root}/{name}")
             found = {None: self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}").count()}
         else:
-            watched.withColumn("_bucket", F.col(bucket)).write.partitionBy("_bucket").parquet(f"{self.root}/{name}")
+            placed = watched.withColumn("_bucket", F.col(bucket))
+            placed.repartition("_bucket").sortWithinPartitions("_bucket", *order).write.partitionBy("_bucket").parquet(f"{self.root}/{name}")
             back = self.spark.read.parquet(f"{self.root}/{name}") if seen.get["n"] else None
             found = {r[0]: r[1] for r in back.groupBy("_bucket").count().collect()} if back is not None else {}
         if sum(found.values()) != seen.get["n"]:
@@ -176,10 +178,11 @@ class Log:
         out = dict(state.schemas)
         for table, schema in schemas.items():
             known = StructType.fromJson(json.loads(out[table])) if table in out else StructType([])
-            types = {f.name: f.dataType for f in known}
+            types = {f.name: f.dataType.simpleString() for f in known}
             for f in schema:
-                if types.get(f.name, f.dataType) != f.dataType:
-                    raise ValueError(f"column {f.name} of {table} is {types[f.name].simpleString()}, not {f.dataType.simpleString()}")
+                kind = f.dataType.simpleString()
+                if types.get(f.name, kind) != kind:
+                    raise ValueError(f"column {f.name} of {table} is {types[f.name]}, not {kind}")
             out[table] = StructType([*known, *[f for f in schema if f.name not in types]]).json()
         return out
 
@@ -202,7 +205,7 @@ class Log:
         rows = rows if isinstance(rows, dict) else {ROWS: rows}
         parts = [p for table, df in rows.items() for p in self._write(df, table)]
         schemas = {table: df.schema for table, df in rows.items()}
-        return self._commit(lambda s: replace(s, parts=s.parts + self._new(s, parts), schemas=self._schema(s, schemas), sums=_plus(s.sums, sums)))
+        return self._commit(lambda s: replace(s, parts=s.parts + self._new(s, parts), schemas=self._schema(s, schemas), sums=added(s.sums, sums)))
 
     def _mark(self, state: State, parts: list[Part], keys: DataFrame, key: list[str], table: str) -> dict[str, tuple[str, int]]:
         """Part name to (list, rows): live rows of ``parts`` whose key is in ``keys``."""
@@ -302,7 +305,7 @@ class Log:
                 if old:
                     both = both.unionByName(placed(self._scan(state, old, table)).withColumn("_new", F.lit(False)), allowMissingColumns=True)
                 last = F.max_by(F.struct(*[c for c in both.columns if c not in (*key, "_new")]), F.struct(order.alias("o"), "_new")).alias("_r")
-                best = both.repartition("_b", *key).groupBy(*key).agg(last).select(*key, "_r.*").select(*columns, *[c for c in both.columns if c not in (*columns, "_b", "_new")], "_b")
+                best = both.groupBy(*key).agg(last).select(*key, "_r.*").select(*columns, *[c for c in both.columns if c not in (*columns, "_b", "_new")], "_b")
                 done[at] = [replace(p, bucket=int(p.bucket)) for p in self._write(best, table, "_b")]
             gone = {p.name for p in old}
             schemas = self._schema(state, {table: rows.schema})
@@ -323,5 +326,5 @@ class Log:
         return len(names)
 
 
-def _plus(a: dict[str, int], b: dict[str, int] | None) -> dict[str, int]:
+def added(a: dict[str, int], b: dict[str, int] | None) -> dict[str, int]:
     return {k: a.get(k, 0) + (b or {}).get(k, 0) for k in {*a, *(b or {})}}

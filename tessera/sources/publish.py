@@ -1,4 +1,4 @@
-"""Versioned tables behind numbered pointers, and segmented tables."""
+"""Versioned tables behind numbered pointers (B12-B14); segmented tables are in ``commits``."""
 
 from __future__ import annotations
 
@@ -99,69 +99,3 @@ def load_artifact(spark: SparkSession, root: str, signature: str) -> DataFrame |
     path = f"{root}/artifact-{hashlib.sha256(signature.encode()).hexdigest()}"
     fs, done = _fs(spark, f"{path}/_SUCCESS")
     return spark.read.parquet(path) if fs.exists(done) else None
-
-
-# --- segments (B5-B7) -----------------------------------------------------------
-
-
-def segment_paths(spark: SparkSession, root: str) -> list[str]:
-    """The compacted part first, then segments in the order they were written."""
-    fs, at = _fs(spark, root)
-    if not fs.exists(at):
-        return []
-    names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith("part="))
-    return [f"{root}/{n}" for n in names if fs.exists(_fs(spark, f"{root}/{n}/_SUCCESS")[1])]
-
-
-def append_segment(df: DataFrame, root: str, key: str) -> int:
-    """Appends rows as a new segment (B5), checks that all of them can be read
-    back, and returns its number. Earlier rows are not rewritten."""
-    spark = df.sparkSession
-    taken = [int(p.rsplit("=", 1)[1]) for p in segment_paths(spark, root)]
-    number = max(taken, default=0) + 1
-    path = f"{root}/part={number:012d}"
-    df.write.mode("errorifexists").parquet(path)
-    if df.join(spark.read.parquet(path), key, "left_anti").limit(1).count():
-        raise RuntimeError(f"segment {number} of {root} lacks rows that were to be written")
-    return number
-
-
-def read_segments(spark: SparkSession, root: str, key: str) -> DataFrame:
-    """All rows, of each key the last segment's."""
-    from .files import segments
-
-    return segments([spark.read.parquet(p) for p in segment_paths(spark, root)], key)
-
-
-def compact(spark: SparkSession, root: str, key: str, force: bool = False) -> bool:
-    """Merges segments into one when there are many or they hold many rows.
-    The merged part takes the last one's place in order, so a crash in between
-    leaves rows twice, of which the last counts, never none."""
-    paths = segment_paths(spark, root)
-    if len(paths) < 2:
-        return False
-    rows = sum(spark.read.parquet(p).count() for p in paths[1:])
-    if not force and not needs_compaction(len(paths) - 1, rows):
-        return False
-    append_segment(read_segments(spark, root, key), root, key)
-    fs, _ = _fs(spark, root)
-    for p in paths:
-        fs.delete(_fs(spark, p)[1], True)
-    return True
-
-
-def delete_keys(spark: SparkSession, root: str, key: str, gone: DataFrame) -> int:
-    """Rewrites a segmented table without the keys in ``gone`` (B6); returns rows removed."""
-    paths = segment_paths(spark, root)
-    rows = read_segments(spark, root, key)
-    removed = rows.join(gone.select(key).distinct(), key, "left_semi").count()
-    if removed:
-        append_segment(rows.join(gone.select(key).distinct(), key, "left_anti"), root, key)
-        fs, _ = _fs(spark, root)
-        for p in paths:
-            fs.delete(_fs(spark, p)[1], True)
-    return removed
-
-
-def needs_compaction(segments: int, rows: int, most_segments: int = 8, most_rows: int = 1024) -> bool:
-    return segments >= most_segments or rows >= most_rows

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.layers import upsert
-from ..sources.publish import current, publish, published
+from ..sources.commits import Log
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, root: str, key: str, order: str, checkpoint: str, files: int = 64) -> int:
-    """Reads what is new in ``source`` and upserts it into the table at ``root``,
-    ``files`` files a batch; the checkpoint makes a restart go on where it
+    """Reads what is new in ``source`` and merges it into the log at ``root`` (only
+    buckets that a batch touches are written anew; a row older by ``order`` than the
+    stored one changes nothing), ``files`` files a batch; the checkpoint makes a restart go on where it
     stopped, and a batch that comes twice changes nothing. Returns batches run."""
 
     done = []
@@ -22,8 +22,7 @@ def ingest(spark: SparkSession, source: str, schema: StructType, root: str, key:
             return
         latest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), order).alias("_r")).select(key, "_r.*").select(*batch.columns)
         session = batch.sparkSession
-        table = upsert(current(session, root), latest, [key]) if published(session, root) else latest
-        publish(table, root)
+        Log(session, root).merge(latest, [key], F.col(order))
         done.append(number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
