@@ -13,12 +13,20 @@ _NAME, _REF = re.compile(r"[A-Za-z_][\w.]*"), re.compile(r"\$\(([A-Za-z_]\w*)\)"
 
 
 def compile_condition(text: str, macros: dict[str, Column] | None = None, truth: Callable[[str], Column] | None = None, value: Callable[[str], Column] | None = None) -> Column:
-    """``||``, ``&&``, ``not`` or ``!``, parentheses, ``ifeq(a,b)``, ``ifneq(a,b)`` and
-    macros, plain or as ``$(NAME)``; a macro that is not known is null.
+    """``||``, ``&&``, ``not``, parentheses, ``ifeq(a,b)``, ``ifneq(a,b)`` and macros, plain
+    or as ``$(NAME)``; a macro that is not known is null, and so are ``!``, other forms
+    and what can't be read.
 
     ``truth(name)`` is whether a macro holds, ``value(name)`` its text for
     comparisons; ``macros`` is a plain way to give the former.
     """
+    try:
+        return _compile(text, macros, truth, value)
+    except ValueError:
+        return F.lit(None).cast("boolean")
+
+
+def _compile(text: str, macros, truth, value) -> Column:
     null = F.lit(None)
     truth = truth or (lambda name: (macros or {}).get(name, null.cast("boolean")))
     value = value or (lambda name: null.cast("string"))
@@ -62,8 +70,11 @@ def compile_condition(text: str, macros: dict[str, Column] | None = None, truth:
 
     def one() -> Column:
         token = found.pop(0)
-        if token in ("not", "!"):
+        if token == "not":
             return ~one()
+        if token == "!":
+            one()
+            return null.cast("boolean")
         if token in ("ifeq", "ifneq"):
             found.pop(0)
             left = operand()

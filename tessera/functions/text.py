@@ -161,6 +161,28 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(text, ABSOLUTE_PATH, "[redacted:absolute_path]")
 
 
+#: Characters of a query that an audit row may show (fixed value).
+PREVIEW = 160
+
+
+def normalized(query: Column) -> Column:
+    """White space at the ends gone, elsewhere one blank."""
+    return F.trim(F.regexp_replace(query, r"(?U)[\s\x1c-\x1f]+", " "))
+
+
+def query_hash(query: Column) -> Column:
+    """Digest of a query whatever its white space (Q12)."""
+    return F.sha2(normalized(query), 256)
+
+
+def query_preview(query: Column) -> Column:
+    """What an audit row shows of a query: nothing of an empty or long one or one of
+    several lines, else the query without its secrets (Q12)."""
+    said = normalized(query)
+    lines = F.length(query) - F.length(F.replace(query, F.lit("\n")))
+    return F.when((said != "") & (F.length(said) <= PREVIEW) & (lines <= 1), F.substring(redact(said), 1, PREVIEW))
+
+
 def audit_value(text: Column, key: str | None = None) -> Column:
     """A text as an audit row may hold it: values of sensitive keys and large texts go, long ones are cut."""
     if key is not None and any(part in key.lower() for part in SENSITIVE_KEYS):

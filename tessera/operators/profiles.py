@@ -30,13 +30,7 @@ def repo_manifest_hash(repos: DataFrame) -> DataFrame:
 def profile_clues(settings: DataFrame, path: str = "path") -> DataFrame:
     """(path, app, board, features) of configuration files' settings (macro, value,
     value_type, enabled) (I11); a file's settings are one bounded list."""
-
-    @F.udf("struct<app:string,board:string,features:array<string>>")
-    def clue(where, held):
-        return build.clues(where, [(r["macro"], r["value"], r["value_type"], r["enabled"]) for r in held])
-
-    rows = settings.groupBy(path).agg(F.collect_list(F.struct("macro", "value", "value_type", "enabled")).alias("held"))
-    return rows.select(path, clue(F.col(path), F.col("held")).alias("c")).select(path, "c.*")
+    return build.clues(settings, path)
 
 
 def match_defconfigs(dotconfigs: DataFrame, defconfigs: DataFrame) -> DataFrame:

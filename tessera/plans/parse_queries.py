@@ -1,5 +1,5 @@
-"""Registered queries of parsers, indexers, profiles and the router: what no SQL
-expresses, run over whole tables; unit tests hold their results."""
+"""Registered queries of parsers, indexers, profiles and the router over whole tables;
+unit tests hold the results of those without SQL."""
 
 from __future__ import annotations
 
@@ -54,7 +54,7 @@ def i6_i7_code_parse(spark, sf_dir):
     return cfamily.code_symbols(c, "path", "path", "text").select("path", "name", "kind", n("start_line")).join(cfamily.file_headers(c, "path", "path", "text").select("path", n("end_line")), "path")
 
 
-@query()
+@query("SELECT 'k' || p_partkey AS path, 'P' || p_partkey AS name, 'bool' AS value_type, 'part' AS prompt, 'BASE,X' || p_partkey % 3 AS depends_on FROM part")
 def i10_kconfig(spark, sf_dir):
     k = F.col("p_partkey")
     text = F.concat(F.lit("if BASE\nconfig P"), k, F.lit("\n\tbool \"part\"\n\tdepends on X"), k % 3, F.lit("\nendif\n"))
@@ -62,7 +62,7 @@ def i10_kconfig(spark, sf_dir):
     return build.kconfig(rows, "path", "path", "text").select("path", "name", "value_type", "prompt", F.array_join("depends_on", ",").alias("depends_on"))
 
 
-@query()
+@query("SELECT DISTINCT 'boards/b' || p_partkey % 20 || '_defconfig' AS path, NULL AS app, 'b' || p_partkey % 20 AS board FROM part")
 def i11_i21_profile_clues(spark, sf_dir):
     k = F.col("p_partkey")
     line = F.concat(F.lit("CONFIG_BOARD_"), "p_brand", F.lit("=y"))
@@ -70,7 +70,9 @@ def i11_i21_profile_clues(spark, sf_dir):
     return profiles.profile_clues(files.config_assignments(lines)).select("path", "app", "board")
 
 
-@query()
+@query("""WITH p AS (SELECT 'components/p' || p_partkey AS folder, 'm' || p_partkey AS module, 'CONFIG_P' || p_partkey % 5 AS guard FROM part)
+ SELECT folder || '/module.mk' AS path, module, r.relation, CASE r.relation WHEN 'contained_in_directory' THEN folder WHEN 'guarded_by_macro' THEN guard ELSE folder || '/' || r.target END AS target, CASE WHEN r.relation = 'contains_file' THEN guard END AS condition
+ FROM p, (VALUES ('contained_in_directory', ''), ('guarded_by_macro', ''), ('contains_file', 'main.c'), ('contains_file', 'lost.c')) r(relation, target)""")
 def i12_makefile(spark, sf_dir):
     c = code(spark, sf_dir).filter("language = 'makefile'")
     return build.makefile(c, "path", "path", "text").select("path", "module", "relation", "target", "condition")

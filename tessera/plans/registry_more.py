@@ -90,9 +90,14 @@ def i38_name_words(spark, sf_dir):
 # --- quality and evaluation (Q) -------------------------------------------------------------------------
 
 
-@query("SELECT conv_id, turn, sha256(text) AS query_hash, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) ELSE text END AS preview FROM conversations")
+@query(r"""WITH q AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN 'token = t' || conv_id || E'  \t/srv/data/key/x.pem ' || text ELSE text END AS q FROM conversations), s AS (SELECT *, trim(regexp_replace(q, '\s+', ' ', 'g')) AS s FROM q),
+ r AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(s, '(?i)\bbearer\s+[A-Za-z0-9._~+/\-=]+', 'Bearer ***REDACTED***', 'g'), '(?i)\b((?:api[_-]?key|password|secret|token)\s*)([:=])\s*[\x27"]?[^\x27"\s,;]+', '\1\2***REDACTED***', 'g'), '\bAKIA[0-9A-Z]{16}\b', '***REDACTED***', 'g') AS r FROM s)
+ SELECT conv_id, turn, role, sha256(s) AS query_hash, CASE WHEN s <> '' AND length(s) <= 160 AND length(q) - length(replace(q, chr(10), '')) <= 1 THEN regexp_replace(r, '(^|[^A-Za-z0-9_.-])/([^/\s]+/){2,}[^,\s:]+', '\1[redacted:absolute_path]', 'g')[1:160] END AS preview FROM r""")
 def q12_query_hash(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("query_hash"), F.substring("text", 1, 80).alias("preview"))
+    """Every second turn with a secret and a path before it."""
+    said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("token = t"), "conv_id", F.lit("  \t/srv/data/key/x.pem "), "text")).otherwise(F.col("text"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", said.alias("q"))
+    return rows.select("conv_id", "turn", "role", tx.query_hash(F.col("q")).alias("query_hash"), tx.query_preview(F.col("q")).alias("preview"))
 
 
 @query("SELECT event_type, count(*) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max, max_by(value, event_id) AS last FROM events GROUP BY 1")
@@ -117,14 +122,17 @@ def q18_coverage_gap(spark, sf_dir):
     return least.join(got, "quality", "left").select(n("quality"), cases.alias("cases"), F.greatest(F.col("least") - cases, F.lit(0).cast("long")).alias("gap"))
 
 
-@query("""WITH p AS (SELECT *, (l_returnflag = 'A' OR NULLIF(l_returnflag, 'R') = 'Q') AND NOT (l_linestatus = 'F') AS v FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN v THEN 'enabled_by' WHEN NOT v THEN 'disabled_by' ELSE 'unknown_by' END AS relation FROM p""")
+@query("""WITH p AS (SELECT *, (l_returnflag = 'A' OR NULLIF(l_returnflag, 'R') = 'Q') AND NOT (l_linestatus = 'F') AS v FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN v THEN 'enabled_by' WHEN NOT v THEN 'disabled_by' ELSE 'unknown_by' END AS relation, CASE WHEN l_linestatus <> 'F' THEN 'enabled_by' ELSE 'unknown_by' END AS either, 'unknown_by' AS odd, 'unknown_by,unknown_by,unknown_by' AS others FROM p""")
 def i23_three_valued_conditions(spark, sf_dir):
     """Conditions over macros in three-valued logic: null is unknown."""
     from ..functions.conditions import compile_condition
 
     macros = {"A": F.col("l_returnflag") == "A", "Q": F.nullif(F.col("l_returnflag"), F.lit("R")) == "Q", "FINISHED": F.col("l_linestatus") == "F"}
-    v = compile_condition("(A || Q) && not FINISHED", macros)
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(v, "enabled_by").when(~v, "disabled_by").otherwise("unknown_by").alias("relation"))
+    relation = lambda v: F.when(v, "enabled_by").when(~v, "disabled_by").otherwise("unknown_by")
+    odd = ("A &&", "A == y", "defined(A) && FINISHED", "A ||| FINISHED")
+    rows = read(spark, sf_dir, "lineitem")
+    some = {"relation": "(A || Q) && not FINISHED", "either": "not FINISHED || !A", "odd": odd[0]}
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[relation(compile_condition(t, macros)).alias(c) for c, t in some.items()], F.concat_ws(",", *[relation(compile_condition(t, macros)) for t in odd[1:]]).alias("others"))
 
 
 # --- fusion and results (H) --------------------------------------------------------------------------------

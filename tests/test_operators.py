@@ -83,10 +83,8 @@ def test_conditions(spark):
     from tessera.functions.conditions import compile_condition
 
     df = spark.createDataFrame([(True, None), (False, None)], "a boolean, b boolean")
-    v = compile_condition("(A || B) && !(C && not A)", {"A": F.col("a"), "B": F.col("b")})
+    v = compile_condition("(A || B) && not (C && not A)", {"A": F.col("a"), "B": F.col("b")})
     assert [r[0] for r in df.select(v).collect()] == [True, None]
-    with pytest.raises(ValueError, match="open"):
-        compile_condition("(A", {})
     df = spark.createDataFrame([({"X": True, "Y": None, "Z": False}, {"X": "y", "W": "3"})], "t map<string,boolean>, v map<string,string>")
     at = lambda c: lambda m: F.try_element_at(c, F.lit(m))
     for text, want in (("ifeq($(X),y)", True), ("ifneq($(W),3)", False), ("ifeq($(Q),y)", None), ("not (X) && Z", False), ("$(X) || $(Y)", True), ('ifeq($(W),"3") && X', True), ("Y", None)):
@@ -169,3 +167,11 @@ def test_conditioned_relations(spark):
     cands = spark.createDataFrame([("s", "p1", 0.93, True, "scan"), ("s", "p2", 0.6, False, "scan")], "snapshot_id string, profile_id string, confidence double, auto_eligible boolean, source string")
     asked = spark.createDataFrame([(1, "s", "auto"), (2, "s", "p2"), (3, "s", "none")], "request_id int, snapshot_id string, requested string")
     assert {r["request_id"]: (r["status"], r["profile_id"], r["confidence"]) for r in profiles.resolve_profiles(asked, cands).collect()} == {1: ("resolved", "p1", 0.93), 2: ("resolved", "p2", 0.99), 3: ("invalid", None, None)}
+
+
+@pytest.mark.parametrize("text", ["A &&", "CONFIG_A == y", "defined(A) && B", "A ||| B", "!A", "(A", "ifeq(A)", "", "&& B"])
+def test_odd_conditions_are_unknown(spark, text):
+    from tessera.functions.conditions import compile_condition
+
+    on = {"A": F.lit(True), "B": F.lit(True), "CONFIG_A": F.lit(True)}
+    assert spark.range(1).select(compile_condition(text, on)).first()[0] is None

@@ -133,14 +133,34 @@ def test_parsers():
     assert documents.typed_fields({"title": 3, "tags": "x", "z": 1, "profiles": [{}]}, None) == ({"title": "3", "tags": ["x"], "profiles": []}, {"z": 1}, ["doc.front_matter_invalid_type"])
     html = "<h1>One</h1><p>a b</p><table><tr><td>x</td><th>y</th></tr></table>"
     assert [r[7] for r in documents._html("x.html", html)] == ["One\na b\nx | y"]
-    rows = list(build.makefile_members("c/health/module.mk", MAKE))
-    assert ("c/health/z.S", "CONFIG_X") in {(r[4], r[7]) for r in rows} and ("c/health/q.o", "not (CONFIG_X) && ifeq($(CONFIG_Y),y) && $(CONFIG_Q)") in {(r[4], r[7]) for r in rows}
-    assert {r[4] for r in rows if r[3] == "depends_on_component"} == {"a", "b"} and rows[-1][-1] == "makefile.unmatched_endif"
-    k = list(build.kconfig_symbols("", 'if A\nconfig FOO\n\tbool "x"\n\tdepends on B\n\tselect Z if W\nendif\n'))
-    assert k[0][:5] == ("FOO", "config", "bool", "x", ["A", "B"]) and k[0][5][0]["target"] == "Z" and len(k) == 1
     assert [(r[0], r[1], r[3], r[5]) for r in cfamily.symbols("", CODE)] == [("X", "macro", True, 3), ("foo", "type", True, 4), ("foo_t", "type", True, 4), ("f", "function", False, 6), ("g", "function", True, 8), ("cb", "function", True, 12)]
 
 
+def test_makefile(spark):
+    texts = {"c/health/module.mk": MAKE, "b/x.mk": "include Config.in\nobj-$(CONFIG_A) += a.o\nelse\nSRCS = -O2 $(LOST)\nifndef B\nMODULE = 'bee'\nelse\nbee-y := sub/ \\# c.c\nNAME = one\nNAME = two\nCSRCS += /t.c\n", "z.mk": "NAME = $(X)\nSRCS = r.c", "n.mk": None}
+    df = spark.createDataFrame(list(texts.items()), "path string, text string")
+    rows = build.makefile(df, "path", "path", "text").collect()
+    of = lambda path, relation: {(r["module"], r["target"], r["condition"]) for r in rows if r["path"] == path and r["relation"] == relation}
+    assert of("c/health/module.mk", "contains_file") == {("health", "c/health/main.c", "CONFIG_X"), ("health", "c/health/bt.c", "CONFIG_X"), ("health", "c/health/z.S", "CONFIG_X"), ("obj", "c/health/q.o", "not (CONFIG_X) && ifeq($(CONFIG_Y),y) && $(CONFIG_Q)")}
+    assert of("c/health/module.mk", "depends_on_component") == {("health", "a", None), ("health", "b", None)}
+    assert of("b/x.mk", "contains_file") == {("obj", "b/a.o", "$(CONFIG_A)"), ("bee", "b/sub", "not (not (B))"), ("bee", "b/c.c", "not (not (B))"), ("two", "/t.c", "not (not (B))")}
+    assert of("b/x.mk", "configured_by") == {(m, "b/Config.in", None) for m in ("obj", "bee", "one", "two")} and of("b/x.mk", "aliases_module") == {("obj", "bee", None), ("one", "bee", None), ("two", "bee", None)}
+    assert of("z.mk", "contains_file") == {("z", "r.c", None)}
+    warned = sorted((r["path"], r["line"], r["warning"].split(".")[1]) for r in rows if r["module"] is None)
+    assert warned == [("b/x.mk", 3, "orphan_else"), ("b/x.mk", 4, "no_file_tokens"), ("b/x.mk", 7, "unclosed_if"), ("b/x.mk", 9, "multiple_module_names"), ("b/x.mk", 10, "multiple_module_names"), ("c/health/module.mk", 9, "unmatched_endif"), ("z.mk", 1, "module_name_unresolved")]
+    one = next(r for r in rows if r["module"] == "health")
+    assert (one["definition_kind"], one["start_line"], one["end_line"]) == ("explicit_variable", 1, 8)
+
+
+def test_kconfig(spark):
+    text = 'endif\nif A\nconfig FOO\n\tbool "x \\"y\\""\n\tdepends on B\n\tselect Z if W\n# c\nif C\nmenuconfig BAR\nmenu "m"\n\tint "no"\nendif\nendif\nconfig LAST\n\tprompt "p" \\\n  if Q\nif D\n'
+    df = spark.createDataFrame([("k", text), ("n", None)], "path string, text string")
+    rows = build.kconfig(df, "path", "path", "text").collect()
+    got = {r["name"]: (r["kind"], r["value_type"], r["prompt"], r["depends_on"], [tuple(x) for x in r["selects"]], r["start_line"], r["end_line"]) for r in rows if r["name"]}
+    assert got == {"FOO": ("config", "bool", 'x "y"', ["A", "B"], [("Z", "W", 6)], 3, 6), "BAR": ("menuconfig", None, None, ["A", "C"], [], 9, 9), "LAST": ("config", None, "p", [], [], 14, 15)}
+    assert sorted((r["warning"], r["start_line"]) for r in rows if not r["name"]) == [("kconfig.unclosed_if", None), ("kconfig.unmatched_endif", 1)]
+
+
 def test_code_index(spark):
     rows = [("c/h/main.c", CODE, "c"), ("c/h/module.mk", "NAME = h\nSRCS = main.c gone.c\n", "makefile")]
     df = spark.createDataFrame(rows, "path string, text string, language string")
