@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .fulltext import priority, retrieve
+from .lineage import cut
 from .store import ALL, Scope, Store, newest_first
 
 #: What a query asks the store for at least, and the indexes it falls back to (fixed values).
 LEAST_ASKED, FALLBACK = 24, ("doc_fts", "chunk_fts")
+#: Queries and rows of a block.
+QUERY_BLOCK, ROW_BLOCK = 1024, 8192
 #: Bytes of query vectors that go to every task at once.
 BROADCAST = 64 << 20
 
@@ -148,6 +153,58 @@ def live_vectors(store: Store, layers: dict[str, DataFrame], expected: str | Non
     return kept.filter("live_hash is null or live_hash = content_hash").withColumn("chunk_id", F.coalesce("chunk_id", "live_chunk")).drop("live_type", "live_hash", "live_chunk")
 
 
+def nearest(rows: DataFrame, queries: DataFrame, n: int, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+    """(query_id, columns of ``rows`` but the vector, score): of each query the ``n`` best
+    objects (logical_id), each by its best vector of the highest layer that has one of the
+    query's size (E3, E4).
+
+    Both sides are cut into blocks, and each two blocks meet in one task, as matrices;
+    a task gives the ``n`` best objects of its block for each of its queries, and the
+    best of these are the best of all. Blocks are dealt by hash, so an object of very
+    many vectors fills none. Null and zero vectors, and those of another size, are
+    near to nothing.
+    """
+    size = lambda: F.size("embedding")
+    fit = F.coalesce((size() > 0) & ~F.exists("embedding", lambda x: x.isNull()) & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    top = rows.filter(fit).groupBy("logical_id", size().alias("_size")).agg(F.max(priority()).alias("_top"))
+    rows = rows.filter(fit).withColumn("_size", size()).join(top, ["logical_id", "_size"]).filter(priority() == F.col("_top")).drop("_size")
+    rows = cut(rows.withColumnRenamed("_top", "_priority").withColumn("embedding", F.col("embedding").cast("array<double>")))
+    asked = cut(queries.filter(fit).select("query_id", F.col("embedding").cast("array<double>").alias("embedding")))
+    qs, rs = (max(1, -(-df.count() // per)) for df, per in ((asked, query_block), (rows, row_block)))
+    every = lambda df, key, own, mine, other, theirs: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
+    left, right = every(asked, "query_id", "_q", qs, "_r", rs), every(rows, "vector_ref_id", "_r", rs, "_q", qs)
+    carried = [c for c in rows.columns if c not in ("embedding", "_priority")]
+    schema = StructType([asked.schema["query_id"], *[rows.schema[c] for c in carried], StructField("score", DoubleType())])
+
+    def meet(some, block):
+        out = []
+        sizes, held = some["embedding"].map(len), block["embedding"].map(len)
+        for width in set(sizes) & set(held):
+            q, r = some[sizes == width], block[held == width].sort_values("vector_ref_id")
+            unit = [x / np.sqrt((x * x).sum(1, keepdims=True)) for x in (np.stack(q["embedding"].to_list()), np.stack(r["embedding"].to_list()))]
+            scores, names, rank = unit[0] @ unit[1].T, r["logical_id"].to_numpy(), r["_priority"].to_numpy()
+            for key, own in zip(q["query_id"], scores, strict=True):
+                own_round = np.round(own, 6)
+                most = 4 * n
+                while True:  # an object may have several vectors: on until there are n objects
+                    least = np.partition(own_round, -most)[-most] if most < len(own) else -2.0
+                    at = np.flatnonzero(own_round >= least)
+                    at = at[np.lexsort((names[at], -rank[at], -own_round[at]))]
+                    _, first = np.unique(names[at], return_index=True)
+                    if len(first) >= n or most >= len(own):
+                        break
+                    most *= 4
+                at = at[np.sort(first)[:n]]
+                out.append(r.iloc[at][carried].assign(query_id=key, score=own[at]))
+        every = pd.concat(out) if out else block.head(0).assign(query_id=some["query_id"].head(0), score=0.0)
+        return every[["query_id", *carried, "score"]]
+
+    best = left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInPandas(meet, schema)
+    best = newest_first(best.withColumn("score", F.round("score", 6)), ["query_id", "logical_id"], priority().desc(), F.desc("score"), F.col("vector_ref_id"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), priority().desc(), "logical_id")
+    return best.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= n).drop("_at")
+
+
 def search_vectors(store: Store, layers: dict[str, DataFrame], queries: DataFrame, k: int = 12, expected: str | None = None, object_types: tuple[str, ...] = ("chunk",), domain: str | None = None, doc_type: str | None = None) -> DataFrame:
     """(query_id, logical_id, source_index, score, rank, ...).
 
@@ -156,15 +213,8 @@ def search_vectors(store: Store, layers: dict[str, DataFrame], queries: DataFram
     that, so fewer than k may remain. Chunks bring their file's path and a snippet.
     """
     rows = live_vectors(store, layers, expected, object_types)
-    norms = F.col("score").isNotNull()
-    n = queries.count()
-    if n > 4096:
-        raise ValueError("queries go in blocks of at most 4,096")
-    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("asked"), F.lit(1).alias("one")))
-    pairs = rows.withColumn("one", F.lit(1)).join(asked, "one").withColumn("score", F.round(cosine(F.col("embedding"), F.col("asked")), 6)).filter(norms).drop("one", "asked", "embedding")
-    pairs = newest_first(pairs, ["query_id", "logical_id"], priority().desc(), F.desc("score"), F.col("vector_ref_id"))
+    pairs = nearest(rows, queries, max(4 * k, LEAST_ASKED))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), priority().desc(), "logical_id")
-    pairs = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(4 * k, LEAST_ASKED)).drop("rank")
     pairs = hydrate(store, pairs)
     if domain is not None:
         pairs = pairs.filter(F.col("domain") == domain)

@@ -273,12 +273,12 @@ _LIVE_VECTORS = f"""rows AS (SELECT v.*, 'overlay' AS source_index, 3 AS pr FROM
  WHERE r.embedding_model_version = 'm1' AND NOT {gone("'chunk'", "r.object_id", snapshot="'s1'")} AND NOT {gone("'vector_ref'", "r.vector_ref_id", snapshot="'s1'")} AND NOT EXISTS (SELECT 1 FROM ends e WHERE e.object_type = 'chunk' AND e.start = r.object_id AND e.p = r.profile_id AND e.s = r.source_scope))"""
 
 
-@query(sql("").rstrip() + f""", {_LIVE_VECTORS}, pairs AS (SELECT a.vec_id AS query_id, v.object_id AS logical_id, v.source_index, v.pr, v.vector_ref_id, round({_COS}, 6) AS score, f.lang AS domain FROM okv v JOIN embeddings a ON a.vec_id % 100 = 0 JOIN files f ON f.file_id = 'f' || v.vec_id),
+@query(sql("").rstrip() + f""", {_LIVE_VECTORS}, pairs AS (SELECT a.vec_id AS query_id, v.object_id AS logical_id, v.source_index, v.pr, v.vector_ref_id, round({_COS}, 6) AS score, f.lang AS domain FROM okv v JOIN embeddings a ON a.vec_id % 20 = 0 JOIN files f ON f.file_id = 'f' || v.vec_id),
  one AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id, logical_id ORDER BY pr DESC, score DESC, vector_ref_id) = 1), few AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pr DESC, logical_id) <= 24)
  SELECT query_id, logical_id, source_index, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pr DESC, logical_id) AS rank FROM few QUALIFY rank <= 5""")
 def e3_e4_e6_vector_store(spark, sf_dir):
     """Live vectors of the expected model, the higher layer's first, over-fetched and cut."""
-    asked = read(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = read(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     got = vectors.search_vectors(fixture.store(spark, sf_dir), fixture.vectors(spark, sf_dir), asked, 5, "m1")
     return got.select("query_id", "logical_id", "source_index", "score", n("rank"))
 

@@ -175,3 +175,27 @@ def test_odd_conditions_are_unknown(spark, text):
 
     on = {"A": F.lit(True), "B": F.lit(True), "CONFIG_A": F.lit(True)}
     assert spark.range(1).select(compile_condition(text, on)).first()[0] is None
+
+
+def test_nearest_in_blocks_equals_brute_force(spark):
+    import numpy as np
+
+    from tessera.operators.vectors import nearest
+
+    rng = np.random.default_rng(4)
+    rows = [(f"v{i}", f"o{i // 3 if i < 60 else i % 17}", "overlay" if i % 4 == 0 else "baseline", rng.integers(-2, 3, 4 if i % 9 else 3).astype(float).tolist()) for i in range(200)]
+    rows += [("n1", "o1", "overlay", None), ("n2", "o1", "overlay", [None, 1.0, 0.0, 0.0]), ("z", "o1", "overlay", [0.0] * 4)]
+    asked = [(k, rng.integers(-2, 3, 4).astype(float).tolist()) for k in range(7)] + [(90, None), (91, [0.0] * 4), (92, [1.0] * 7), (93, [1.0, 2.0, 0.0])]
+    r = spark.createDataFrame(rows, "vector_ref_id string, logical_id string, source_index string, embedding array<float>")
+    q = spark.createDataFrame(asked, "query_id long, embedding array<float>")
+    got = {}
+    for x in nearest(r, q, 5, 3, 40).collect():
+        got.setdefault(x["query_id"], []).append((-x["score"], x["source_index"] != "overlay", x["logical_id"], x["vector_ref_id"]))
+    for k, v in asked:
+        best = {}
+        for ref, name, layer, y in rows:
+            if v and y and len(v) == len(y) and None not in y and any(v) and any(y):
+                score = round(float(np.dot(v, y) / np.sqrt(np.dot(v, v) * np.dot(y, y))), 6)
+                best[name] = min(best.get(name, (9,)), (layer != "overlay", -score, ref))
+        want = sorted((s, late, name, ref) for name, (late, s, ref) in best.items())[:5]
+        assert sorted(got.get(k, [])) == want, k
