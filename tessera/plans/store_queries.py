@@ -288,10 +288,10 @@ def e5_version_gate(spark, sf_dir):
     return vectors.version_gate(fixture.vectors(spark, sf_dir), "m2").select("source_index", F.array_join("versions", ",").alias("versions"), "skipped")
 
 
-@query(sql("SELECT c.chunk_id AS object_id, c.chunk_type AS title, trim(regexp_replace(c.text, '\\s+', ' ', 'g'))[1:240] AS snippet, f.relative_path AS rel_path FROM phys_chunk c JOIN (SELECT file_id, relative_path FROM files) f USING (file_id) WHERE c.doc_id % 10 <> 0 AND c.doc_id % 50 = 3"))
+@query(sql("SELECT c.chunk_id AS object_id, coalesce(json_extract_string(c.metadata, '$.title'), c.chunk_type) AS title, trim(regexp_replace(c.text, '\\s+', ' ', 'g'))[1:240] AS snippet, f.relative_path AS rel_path FROM phys_chunk c JOIN (SELECT file_id, relative_path FROM files) f USING (file_id)"))
 def e8_hydration(spark, sf_dir):
     s = fixture.store(spark, sf_dir)
-    m = s.physical("chunk").filter("doc_id % 50 = 3 and doc_id % 10 <> 0").select(F.lit("chunk").alias("object_type"), F.col("chunk_id").alias("object_id"))
+    m = s.physical("chunk").select(F.lit("chunk").alias("object_type"), F.col("chunk_id").alias("object_id"))
     return vectors.hydrate(s, m).select("object_id", "title", "snippet", "rel_path")
 
 
