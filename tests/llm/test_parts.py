@@ -159,6 +159,35 @@ def test_seeds_find_passages_of_many_single_word_changes():
         assert any(e - p >= size - 6 and s >= 0.8 for p, e, _, _, s in passages.align(ha, hb, best))
 
 
+@pytest.mark.parametrize("edits", ["di", "d", "i", "s", "dis"])
+def test_passages_with_deletions_and_insertions_are_found_whole(edits):
+    """Deleted, inserted and changed words in turn: stretches lie on other diagonals; a brute-force alignment says how alike the two are."""
+    rng = random.Random(3)
+    for size, every in itertools.product((70, 120, 200), (12, 10, 8, 6)):
+        words, other = [f"w{rng.randint(0, 10**6)}" for _ in range(size)], []
+        for k, w in enumerate(words):
+            edit = edits[k // every % len(edits)] if k and k % every == 0 else ""
+            other += {"d": [], "i": [f"x{k}", w], "s": [f"y{k}"], "": [w]}[edit]
+        ha = passages._hashes(" ".join([f"a{k}" for k in range(40)] + words + [f"b{k}" for k in range(30)]))
+        hb = passages._hashes(" ".join([f"c{k}" for k in range(10)] + other + [f"d{k}" for k in range(50)]))
+        row = [0] * (len(other) + 1)
+        for w in words:
+            row = list(itertools.accumulate([0, *(max(row[k + 1], row[k] + (w == y)) for k, y in enumerate(other))], max))
+        assert 2 * row[-1] / (len(words) + len(other)) >= 0.8
+        (xa, pa), (xb, pb) = passages.seeds(ha), passages.seeds(hb)
+        at = {int(x): int(p) for x, p in zip(xb, pb, strict=True)}
+        pairs = [(int(p), at[int(x)]) for x, p in zip(xa, pa, strict=True) if int(x) in at]
+        found = passages.chains(passages.segments(*map(np.array, zip(*pairs, strict=True))))
+        got = [x for b in passages.bundles(found) for x in passages.passages_of(ha, hb, b)]
+        assert any(p <= 40 + every and e >= 40 + size - every for p, e, *_ in got), (size, every)
+
+
+def test_links_of_many_words_fold_where_they_touch():
+    p, q, n = np.array([0, 4, 30, 2, 34, 60]), np.array([10, 14, 40, 90, 44, 70]), np.array([4, 4, 4, 50, 4, 4])
+    assert passages.segments(p, q, n) == [(0, 10, 8), (2, 90, 50), (30, 40, 8), (60, 70, 4)]
+    assert passages.segments(p[[0, 1]], q[[0, 1]]) == [(0, 10, 8)]
+
+
 def test_star_links_the_first_and_the_previous_holder():
     seed, doc = np.full(4, 7, "u4"), np.array([30, 10, 20, 40], "i8")
     text, at = np.array([3, 1, 2, 1], "i4"), np.array([5, 6, 7, 6], "i4")  # the last is a copy of text 1
