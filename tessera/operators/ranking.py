@@ -14,6 +14,14 @@ STABILITY = {"soak_unhandled_exceptions": ("lte", 0.0), "mixed_query_success_rat
 MOST_DROP, MOST_SLOWER = 0.05, 1.20
 
 
+def exact_sum(value: Column) -> Column:
+    """The sum of doubles, added up as decimals of ten places: sums that are equal
+    stay equal, whatever order the rows come in. What is no such number is added as it is."""
+    exact = value.try_cast("decimal(28,10)")
+    odd = F.sum(F.when(exact.isNull(), value))
+    return F.coalesce(F.sum(exact).cast("double") + F.coalesce(odd, F.lit(0.0)), odd)
+
+
 def rank_all(rows: DataFrame, by: list[str], tie: str, parts: int | None = None, groups: list[str] | None = None) -> DataFrame:
     """``rank`` over all rows (of each of ``groups``), highest first, without one task for all of them.
 

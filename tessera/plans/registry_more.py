@@ -53,7 +53,7 @@ def g6_q4_orphans(spark, sf_dir):
 @query("""WITH r AS (SELECT o_custkey AS id, 'symbol' AS retriever, 0.6 AS w, row_number() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) AS rank FROM orders GROUP BY o_custkey UNION ALL SELECT c_custkey, 'fts', 0.4, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) FROM customer)
  SELECT id, round(sum(w / (60 + rank)), 6) AS score, count(*) AS lists, min(rank) AS best_rank FROM r GROUP BY id""")
 def h1_weighted_rrf(spark, sf_dir):
-    a = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum("o_totalprice").alias("s")).select("id", "s", F.lit(0.6).alias("w"))
+    a = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(ranking.exact_sum(F.col("o_totalprice")).alias("s")).select("id", "s", F.lit(0.6).alias("w"))
     b = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("s"), F.lit(0.4).alias("w"))
     ranked = ranking.rank_all(a, ["s"], "id").unionByName(ranking.rank_all(b, ["s"], "id"))
     return fulltext.fuse(ranked, ["id"], "w").select("id", "score", "lists", n("best_rank"))
