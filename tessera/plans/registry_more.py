@@ -161,7 +161,7 @@ def h3_h4_h5_h6_rerank(spark, sf_dir):
 def h4_h7_profile_match_and_noop(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     own = F.when(F.col("c_mktsegment") == "BUILDING", "en").otherwise("all")
-    rows = c.select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("candidate_id"), F.round(F.abs("c_acctbal") / 1e5, 6).alias("fused"), own.alias("profile_id"))
+    rows = c.select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("candidate_id"), tx.rounded(F.abs("c_acctbal") / 1e5, 6).alias("fused"), own.alias("profile_id"))
     got = fusion.rerank(rows, F.current_timestamp(), mode="none")
     return got.select(F.col("candidate_id").alias("c_custkey"), fusion.profile_match(F.col("profile_id"), F.lit("auto")).alias("unasked"), fusion.profile_match(F.col("profile_id"), F.lit("EN ")).alias("asked"), n("rank"))
 
