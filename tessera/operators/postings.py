@@ -24,13 +24,16 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.text import tokens
 from ..sources.commits import Conflict, Log, State, added
-from .fulltext import K1, B, units
-from .lineage import cut
+from .fulltext import K1, B, top_of_block, units
+from .lineage import settled
 
 #: Documents of a range, folders of terms, ranges of a query that are worked out first.
 RANGE, FOLDERS, FIRST = 4096, 64, 4
@@ -58,7 +61,7 @@ class TextIndex:
 
     def _numbered(self, rows: DataFrame, first: int) -> DataFrame:
         """Adds ``range`` and ``slot``: each task's rows fill ranges of their own, from ``first`` on."""
-        spread = cut(rows.repartitionByRange(self.key).withColumn("_part", F.spark_partition_id()))
+        spread = settled(rows.repartitionByRange(self.key).withColumn("_part", F.spark_partition_id()))
         counts = spread.groupBy("_part").agg(F.ceil(F.count("*") / self.size).alias("_ranges"))  # a row a task
         starts = counts.select("_part", (F.sum("_ranges").over(Window.orderBy("_part")) - F.col("_ranges") + first).alias("_first"))
         place = F.row_number().over(Window.partitionBy("_part").orderBy(self.key)) - 1
@@ -89,7 +92,7 @@ class TextIndex:
             # An empty word ends a column, so that no phrase crosses it.
             lined = rows.withColumn("line", F.flatten(F.transform(words, lambda w: F.concat(w, F.array(F.lit(""))))))
             lined = lined.withColumn("length", F.size(F.filter("line", lambda w: w != ""))).select(self.key, "line", "length")
-            lined = cut(self._numbered(lined, state.sums.get("ranges", 0)))
+            lined = settled(self._numbered(lined, state.sums.get("ranges", 0)))
             docs = lined.select(self.key, "range", "slot", "length", F.array_distinct(F.filter("line", lambda w: w != "")).alias("terms"))
             n, length, last = docs.agg(F.count("*"), F.sum("length"), F.max("range")).first()
             if n:
@@ -98,7 +101,7 @@ class TextIndex:
                 blocks = self._blocks(lined)
         held = state.of("docs")
         if held:
-            old = cut(self.log._scan(state, held, "docs").join(keys.select(self.key).distinct(), self.key, "left_semi").select("range", "slot", "length", "terms"))
+            old = settled(self.log._scan(state, held, "docs").join(keys.select(self.key).distinct(), self.key, "left_semi").select("range", "slot", "length", "terms"))
             n, length = old.agg(F.count("*"), F.sum("length")).first()
             if n:
                 sums = added(sums, {"docs": -n, "length": -length})
@@ -154,30 +157,68 @@ class TextIndex:
         return found.join(words.select(F.col("word").alias("term")).distinct(), "term", "left_semi")
 
     def _phrases(self, asked: DataFrame, found: DataFrame) -> DataFrame:
-        """Blocks of phrases, made from their words' places: the words of a phrase meet
-        by range and slot, the places of the first that all others follow count."""
+        """Blocks of phrases, made from their words' places: a range's blocks meet all
+        phrases in one task, so that a frequent word's places move once and not once for
+        each phrase that holds it; the places of the last word that all others lead up to
+        count."""
         phrases = asked.filter(F.size("words") > 1).select("unit", "words").distinct()
-        each = phrases.select("unit", F.size("words").alias("need"), F.posexplode("words").alias("at", "term"))
-        met = each.join(found.filter("n > 0"), "term")
-        met = met.select("unit", "need", "at", "range", F.explode(F.arrays_zip("slots", "lengths", "places")).alias("x"))
-        starts = F.transform(F.col("x.places"), lambda p: p - F.col("at"))
-        rows = met.select("unit", "need", "range", F.col("x.slots").alias("slot"), F.col("x.lengths").alias("length"), F.explode(starts).alias("start"))
-        rows = rows.groupBy("unit", "range", "slot", "length", "start", "need").agg(F.count("*").alias("hit")).filter("hit = need")
-        rows = rows.groupBy("unit", "range", "slot", "length").agg(F.count("*").cast("int").alias("tf"))
-        entries = F.array_sort(F.collect_list(F.struct("slot", "tf", "length")))
-        of = lambda c: F.transform("e", lambda x: x[c])
-        rows = rows.groupBy("unit", "range").agg(entries.alias("e"))
-        return rows.select("unit", "range", F.size("e").alias("n"), F.array_max(of("tf")).alias("top_tf"), F.array_min(of("length")).alias("short"), of("slot").alias("slots"), of("tf").alias("tfs"), of("length").alias("lengths"))
+        live = found.filter("n > 0").select("range", "term", "slots", "lengths", "places")
+        each = phrases.join(live.select(F.col("range").alias("_at")).distinct()).select("unit", "words", F.col("_at").alias("range"))
+        schema = "unit string, range long, n int, top_tf int, short int, slots array<int>, tfs array<int>, lengths array<int>"
+        names = [x.split()[0] for x in schema.split(", ")]
+
+        def meet(some: pa.Table, held: pa.Table) -> pa.Table:
+            out = {c: [] for c in names}
+            if len(some) and len(held):
+                rank = held["range"][0].as_py()
+                held = held.combine_chunks()
+                slots, lengths, places = (held[c].chunk(0) for c in ("slots", "lengths", "places"))
+                ends, far = slots.offsets.to_numpy(), places.values.offsets.to_numpy()
+                slot, place = slots.values.to_numpy().astype("i8"), places.values.values.to_numpy().astype("i8")
+                length = np.zeros(int(slot.max(initial=0)) + 1, "i4")
+                length[slot] = lengths.values.to_numpy()
+                at = {t: k for k, t in enumerate(held["term"].to_pylist())}
+                # Places of all documents in a row, each document's from ``start`` on.
+                own_slot = np.repeat(slot, np.diff(far[: len(slot) + 1]))
+                last = np.zeros(len(length), "i8")
+                np.maximum.at(last, own_slot, place)
+                start = np.r_[0, np.cumsum(last + 2)]
+                every = start[own_slot] + place
+
+                def spots_of(k: int) -> np.ndarray:
+                    return every[far[ends[k]] : far[ends[k + 1]]]
+
+                mark = np.zeros(start[-1], bool)
+                words = sorted(zip(some["words"].to_pylist(), some["unit"].to_pylist(), strict=True), key=lambda x: x[0][-1])
+                for ws, unit in words:
+                    if any(w not in at for w in ws):
+                        continue
+                    hit = spots_of(at[ws[0]])
+                    for w in ws[1:]:
+                        own = spots_of(at[w])
+                        mark[own] = True
+                        hit = hit[mark[hit + 1]] + 1
+                        mark[own] = False
+                        if not len(hit):
+                            break
+                    if len(hit):
+                        docs, tf = np.unique(np.searchsorted(start, hit, "right") - 1, return_counts=True)
+                        for c, v in zip(names, (unit, rank, len(docs), tf.max(), length[docs].min(), docs, tf, length[docs]), strict=True):
+                            out[c].append(v)
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 3)
+            return pa.table([pa.array(out[c], k) for c, k in zip(names, kinds, strict=True)], names)
+
+        return each.groupBy("range").cogroup(live.groupBy("range")).applyInArrow(meet, schema)
 
     def search(self, queries: DataFrame, query_key: str, query_text: str, k: int, asked: DataFrame | None = None) -> DataFrame:
         """(query, key, bm25, rank) of the ``k`` best documents that hold all of a query's units."""
         state, key = self.log.state(), self.key
         if "docs" not in state.schemas:
             raise FileNotFoundError(f"no index below {self.log.root}")
-        asked = cut(units(queries, query_key, query_text) if asked is None else asked)
+        asked = settled(units(queries, query_key, query_text) if asked is None else asked)
         total, mean = float(state.sums["docs"]), F.lit(state.sums["length"] / max(1, state.sums["docs"]))
         words = asked.select(F.explode("words").alias("word")).distinct()
-        found = cut(self.blocks(state, words))
+        found = settled(self.blocks(state, words))
         single = asked.filter(F.size("words") == 1).select("unit").distinct()
         held = found.drop("places").withColumnRenamed("term", "unit").join(single, "unit", "left_semi")
         gone = self.log._scan(state, state.of("gone"), "gone") if "gone" in state.schemas else None
@@ -187,7 +228,7 @@ class TextIndex:
             less = entry.join(gone, ["range", "slot"], "left_semi").groupBy("unit", "range").agg((-F.count("*")).cast("int").alias("n"))
             empty = [F.array().cast("array<int>").alias(c) for c in BLOCK[5:8]]
             spoken = spoken.unionByName(less.select("unit", "range", "n", F.lit(0).alias("top_tf"), F.lit(0).alias("short"), *empty))
-        held = cut(held.select(spoken.columns).unionByName(spoken))
+        held = settled(held.select(spoken.columns).unionByName(spoken))
         df = held.groupBy("unit").agg(F.sum("n").cast("double").alias("df"))
         idf = F.ln((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = F.col("times") * F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
@@ -197,17 +238,45 @@ class TextIndex:
         bound = F.sum(F.col("weight") * part_score(F.col("top_tf"), F.col("short"), mean))
         ranges = asked.join(live.select("unit", "range", "top_tf", "short"), "unit").groupBy(query_key, "range").agg(bound.alias("bound"), F.count("*").alias("hit"), F.first("need").alias("need"))
         order = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("bound"), "range"))
-        ranges = cut(ranges.filter("hit = need").withColumn("turn", order))
+        ranges = settled(ranges.filter("hit = need").withColumn("turn", order))
         ranked = Window.partitionBy(query_key).orderBy("bm25", "range", "slot")
 
+        lists = live.select(F.col("range").alias("range"), "unit", "slots", "tfs", "lengths")
+        if gone is not None:  # documents that are gone, under no unit
+            lists = lists.unionByName(gone.groupBy("range").agg(F.array_sort(F.collect_set("slot")).alias("slots")).select("range", F.lit(None).cast("string").alias("unit"), "slots", F.col("slots").alias("tfs"), F.col("slots").alias("lengths")))
+        kind = asked.schema[query_key].dataType
+        schema = StructType([StructField(query_key, kind), StructField("range", LongType()), StructField("slot", IntegerType()), StructField("bm25", DoubleType())])
+        across = state.sums["length"] / max(1, state.sums["docs"])
+
+        def meet(some: pa.Table, held: pa.Table) -> pa.Table:
+            found, own, live_docs = [], {}, None
+            if len(some) and len(held):
+                held = held.combine_chunks()
+                slots, tfs, lengths = (held[c].chunk(0) for c in ("slots", "tfs", "lengths"))
+                ends, slot = slots.offsets.to_numpy(), slots.values.to_numpy().astype("i8")
+                tf, length = tfs.values.to_numpy().astype("f8"), lengths.values.to_numpy()
+                by = tf + K1 * (1 - B + B * length / across)
+                live_docs = np.ones(int(slot.max(initial=0)) + 1, bool)
+                for k, unit in enumerate(held["unit"].to_pylist()):
+                    i = slice(ends[k], ends[k + 1])
+                    if unit is None:
+                        live_docs[slot[i]] = False
+                    else:
+                        own[unit] = (slot[i], tf[i], by[i])
+                found = list(top_of_block(some, own, live_docs, k_best, ties=True))
+            q, s, r = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))
+            at = pa.array(q, pa.int64())
+            return pa.table([some["query"].take(at), some["range"].take(at), pa.array(s, pa.int32()), pa.array(r)], schema.names)
+
+        k_best = k
+
         def scored(some: DataFrame) -> DataFrame:
-            met = asked.join(some.select(query_key, "range"), query_key).join(live, ["unit", "range"])
-            rows = met.select(query_key, "range", "need", "weight", F.explode(F.arrays_zip("slots", "tfs", "lengths")).alias("x"))
-            part = F.col("weight") * part_score(F.col("x.tfs"), F.col("x.lengths"), mean)
-            rows = rows.groupBy(query_key, "range", F.col("x.slots").alias("slot"), "need").agg(F.round(-F.sum(part), 6).alias("bm25"), F.count("*").alias("hit")).filter("hit = need")
-            return (rows if gone is None else rows.join(gone, ["range", "slot"], "left_anti")).select(query_key, "range", "slot", "bm25")
+            """The k best documents of a range, and those equal to the last: a range's
+            blocks meet its queries in one task, so what moves is blocks and best rows."""
+            met = asked.join(some.select(query_key, "range"), query_key).select(F.col(query_key).alias("query"), "range", "unit", "weight", "need")
+            return met.groupBy("range").cogroup(lists.groupBy("range")).applyInArrow(meet, schema)
 
-        first = cut(scored(ranges.filter(F.col("turn") <= FIRST)))
+        first = settled(scored(ranges.filter(F.col("turn") <= FIRST)))
         # The k-th score so far; scores are rounded, so what reaches it but for rounding counts.
         least = first.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") == k).select(query_key, (-F.col("bm25") - 1e-6).alias("least"))
         rest = ranges.filter(F.col("turn") > FIRST).join(least, query_key, "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
