@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.conditions import compile_condition
 from ..parsers import build
-from .lineage import cut
+from .lineage import cut, settled
 from .store import newest_first
 
 STATUS = {"candidate": 0, "stale": 1, "invalid": 2}
@@ -141,9 +141,12 @@ def conditioned_relations(entities: DataFrame, relations: DataFrame, settings: D
 
     Evaluated once for each distinct condition and profile; entities then join
     their condition's outcome. Confidence is the lesser of profile and condition, at
-    most .91 if inherited, .65 if unknown, .95 for modules.
+    most .91 if inherited, .65 if unknown, .95 for modules. What is read of the
+    tables is read many times, so it is worked out once.
     """
-    conditions = cut(effective_conditions(entities, relations).join(entities.select("entity_id", "entity_type"), "entity_id"))
+    entities = settled(entities.select("entity_id", "entity_type", "name"))
+    relations = settled(relations.filter("relation_type in ('guarded_by_macro', 'defines')").select("relation_id", "relation_type", "src_entity_id", "dst_entity_id", "metadata"))
+    conditions = settled(effective_conditions(entities, relations).join(entities.select("entity_id", "entity_type"), "entity_id"))
     rows = conditions.join(evaluate(conditions, settings), "expr")
     status = F.when(F.col("holds").isNull(), "unknown").when(F.col("holds"), "enabled").otherwise("disabled")
     if trust is not None:
