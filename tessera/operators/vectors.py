@@ -17,6 +17,8 @@ from .store import ALL, Scope, Store, newest_first
 LEAST_ASKED, FALLBACK = 24, ("doc_fts", "chunk_fts")
 #: Queries and rows of a block.
 QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+#: Queries and rows that are multiplied at once.
+SLICE = 1024
 #: Bytes of query vectors that go to every task at once.
 BROADCAST = 64 << 20
 
@@ -31,12 +33,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms)
 
 
+def _better(held: np.ndarray, held_ids: np.ndarray, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each query's best scores and their ids, of those held and the new ones (queries x
+    rows); of equal scores the smaller ids."""
+    n, k = held.shape
+    least = held[:, -1]
+    if score.shape[1] > k:
+        least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
+    q, at = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    q, s, i = np.r_[np.repeat(np.arange(n), k), q], np.r_[held.ravel(), score[q, at]], np.r_[held_ids.ravel(), ids[at]]
+    order = np.lexsort((i, -s, q))
+    place = np.arange(len(order)) - np.searchsorted(q[order], np.arange(n))[q[order]]
+    order = order[place < k]
+    return s[order].reshape(n, k), i[order].reshape(n, k)
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", same: bool = False) -> DataFrame:
     """(query_id, key, score, rank): each query's best rows, itself left out unless ``same``.
 
     The query set is stated; it is broadcast once, and must fit in ``BROADCAST``.
-    Each task multiplies batches of rows with all queries as matrices, and keeps
-    its own k best of each query, so only these are shuffled.
+    Each task multiplies ``SLICE`` rows with as many queries at a time as matrices, and
+    keeps its own k best of each query, so only these are shuffled, and memory
+    does not grow with rows times queries.
     """
     held = queries.select(F.col(query_key).cast("long"), F.col("embedding").cast("array<double>")).toPandas()
     if held.shape[0] and sum(len(v) for v in held.iloc[:, 1] if v is not None) * 8 > BROADCAST:
@@ -51,8 +69,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", quer
     sent = rows.sparkSession.sparkContext.broadcast(by_size)
 
     def run(batches):
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        best = {size: (np.full((len(qids), k), -np.inf), np.full((len(qids), k), np.iinfo("i8").max)) for size, (qids, _) in sent.value.items()}
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             for size in np.unique(sizes).tolist():
@@ -63,21 +81,16 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", quer
                 norm = np.sqrt((x * x).sum(1))
                 ok = norm > 0
                 own, (qids, q) = ids[some][ok], sent.value[size]
-                score = np.round((x[ok] @ q) / norm[ok, None], 6)
-                score[~np.isfinite(score)] = -np.inf
-                if not same:
-                    score[own[:, None] == qids[None, :]] = -np.inf
-                for j, qid in enumerate(qids.tolist()):
-                    s, i = score[:, j], own
-                    keep = s > -np.inf
-                    s, i = s[keep], i[keep]
-                    if qid in best:
-                        s, i = np.r_[best[qid][0], s], np.r_[best[qid][1], i]
-                    order = np.lexsort((i, -s))[:k]
-                    best[qid] = (s[order], i[order], None)
-        if best:
-            n = [len(b[0]) for b in best.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(best), "i8"), n)), pa.array(np.concatenate([b[1] for b in best.values()])), pa.array(np.concatenate([b[0] for b in best.values()]))], [query_key, key, "score"])
+                for a in range(0, len(qids), SLICE):
+                    score = np.round((x[ok] @ q[:, a : a + SLICE]) / norm[ok, None], 6).T
+                    score[~np.isfinite(score)] = -np.inf
+                    if not same:
+                        score[qids[a : a + SLICE, None] == own[None, :]] = -np.inf
+                    for held, new in zip(best[size], _better(*(b[a : a + SLICE] for b in best[size]), score, own), strict=True):
+                        held[a : a + SLICE] = new
+        for size, (s, i) in best.items():
+            q, at = np.nonzero(s > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value[size][0][q]), pa.array(i[q, at]), pa.array(s[q, at])], [query_key, key, "score"])
 
     found = rows.select(F.col(key).cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, f"{query_key} bigint, {key} bigint, score double")
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
