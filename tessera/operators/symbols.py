@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as tx
 from .fulltext import module_names, search_store
+from .lineage import settled
 from .store import Store
 
 #: Types that a request for a kind of entity means, and their order in ties (fixed values).
@@ -115,9 +116,10 @@ def disambiguation(modules: Column) -> Column:
 def candidates(store: Store, queries: DataFrame, top_k: int = 5, entity_type: str | None = None, mentions: bool = True) -> DataFrame:
     """The ``top_k`` candidates of each query (query_id, query), best first.
 
-    Queries are a stated set and meet all entities in a broadcast of checked size;
-    the score is the best of exact, alias and fuzzy, raised by document mentions;
-    ``total`` counts all candidates.
+    Queries are a stated set and meet all entities in a broadcast of checked size,
+    where all pairs are scored and only those with a score go on; pairs that full
+    text or documents name join by their ids. The score is the best of exact, alias
+    and fuzzy, raised by document mentions; ``total`` counts all candidates.
     """
     kinds = types_of(entity_type)
     files = store.scoped("file").select("file_id", "relative_path")
@@ -131,18 +133,21 @@ def candidates(store: Store, queries: DataFrame, top_k: int = 5, entity_type: st
     n = asked.count()
     if n > 4096:
         raise ValueError("queries go in blocks of at most 4,096")
-    pairs = entities.withColumn("one", F.lit(1)).join(F.broadcast(asked.withColumn("one", F.lit(1))), "one").drop("one")
-    pairs = pairs.join(ranks, ["query_id", "logical_id"], "left")
     if mentions:
-        pairs = pairs.join(doc_mentions(store, entities, words, top_k), ["query_id", "logical_id"], "left")
+        named = ranks.join(doc_mentions(store, entities, words, top_k), ["query_id", "logical_id"], "full")
     else:
-        pairs = pairs.withColumn("mention_paths", F.lit(None).cast("array<string>"))
-    pairs = pairs.withColumns({"exact": exact_score(F.col("q_exact")), "alias": alias_score(F.col("q_exact"), F.col("q_lookup")), "ratio": similarity(F.col("q_lookup"), F.col("targets"))})
+        named = ranks.withColumn("mention_paths", F.lit(None).cast("array<string>"))
+    named = settled(named)
+    own = {"exact": exact_score(F.col("q_exact")), "alias": alias_score(F.col("q_exact"), F.col("q_lookup")), "ratio": similarity(F.col("q_lookup"), F.col("targets"))}
+    pairs = entities.withColumn("one", F.lit(1)).join(F.broadcast(asked.withColumn("one", F.lit(1))), "one").drop("one").withColumns(own)
+    pairs = pairs.filter(F.col("exact").isNotNull() | F.col("alias").isNotNull() | (F.col("ratio") >= LEAST_RATIO)).join(named.select("query_id", "logical_id"), ["query_id", "logical_id"], "left_anti")
+    pairs = pairs.unionByName(named.join(entities, "logical_id").join(asked, "query_id").withColumns(own), allowMissingColumns=True)
     pairs = pairs.withColumn("fuzzy", fuzzy_score(F.col("ratio"), F.col("fts_rank")))
     base, said = F.greatest("exact", "alias", "fuzzy"), F.coalesce(F.size("mention_paths") > 0, F.lit(False))
     score = F.when(base.isNull() & said, 0.62).otherwise(base + F.when(said, 0.10).otherwise(0.0))
     kinds_of_match = F.filter(F.array(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in ("exact", "alias", "fuzzy")], F.when(said, "doc_mention")), lambda x: x.isNotNull())
     found = pairs.withColumns({"score": F.round(score, 6), "match_kinds": kinds_of_match}).filter("score is not null")
+    found = settled(found.select("query_id", "logical_id", "file_id", "entity_type", "name", "qualified_name", "path", "relative_path", "profile_id", "source_index", "score", "match_kinds", "mention_paths"))
     priority = F.array_position(F.array(*map(F.lit, TYPES["auto"])), F.col("entity_type"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), priority, "name", F.coalesce("relative_path", "path"), "logical_id")
     # The count is an aggregate of its own, so that the limit can cut groups before they are whole.
