@@ -17,9 +17,17 @@ REMEMBERED = 1_200_000
 _LOADED: dict[tuple[str, str], "PieceEncoder"] = {}
 #: Python splits at these and the vocabularies' patterns do not.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
-#: Neighbouring or unusual white space, and the mark used below.
 _STOPS = ".,;:"
-_ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$|\x01")
+#: Neighbours of white space, white space but blanks and line ends, and the mark used below.
+_PAIRS, _UNUSUAL = ("  ", "\n\n", " \n", "\n "), "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x01"
+_WIDE = re.compile(f"[{_UNUSUAL}\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def odd(text: str) -> bool:
+    """Whether a text (not empty) has neighbouring or unusual white space, or some at its ends."""
+    if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _PAIRS):
+        return True
+    return any(x in text for x in _UNUSUAL) if text.isascii() else _WIDE.search(text) is not None
 
 
 class PieceEncoder:
@@ -51,7 +59,7 @@ class PieceEncoder:
     def pieces(self, text: str) -> list[str]:
         if self.split == "word":
             return text.split(" ") if _SEPARATORS.search(text) else text.split()
-        if _ODD.search(text):
+        if odd(text):
             return self.pattern.findall(text)
         return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
 
@@ -92,7 +100,8 @@ class PieceEncoder:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
         cut = [self.pieces(t) if t else [] for t in texts]
         known = self.known
-        new = list({p for c in cut for p in c if p not in known})
+        own = set().union(*cut)
+        new = list(own.difference(known))
         if new:
             if len(self.stops) > 10_000:
                 self.stops.clear()
@@ -101,7 +110,8 @@ class PieceEncoder:
             else:
                 known = _Both(known)
                 self._learn(new, known)
-        get = known.__getitem__
+        # A small table of this batch's pieces: each occurrence is looked up in it.
+        get = {p: known[p] for p in own}.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 

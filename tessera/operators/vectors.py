@@ -253,10 +253,13 @@ def search_or_fall_back(store: Store, layers: dict[str, DataFrame], queries: Dat
     found because a layer holds another model's vectors, full text answers."""
     warnings = [] if embedded else ["embedding.provider_unavailable"]
     if embedded:
-        skipped = version_gate(layers, expected).filter("skipped").count()
-        found = search_vectors(store, layers, queries, k, expected, **how)
-        if not skipped or found.limit(1).count():
-            return found, "vector", ["embedding.version_mismatch"] * bool(skipped)
+        gate = version_gate(layers, expected).collect()
+        skipped = sum(r["skipped"] for r in gate)
+        # Without a vector of the model in any layer nothing can be found, and nothing is searched.
+        if not skipped or any(expected in r["versions"] for r in gate):
+            found = search_vectors(store, layers, queries, k, expected, **how)
+            if not skipped or found.limit(1).count():
+                return found, "vector", ["embedding.version_mismatch"] * bool(skipped)
         warnings.append("embedding.version_mismatch")
     filters = {c: v for c, v in how.items() if c in ("domain", "doc_type")}
     return retrieve(store, queries, k, FALLBACK, **filters), "fts_fallback", [*warnings, "retrieval.vector_fallback"]
