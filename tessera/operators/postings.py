@@ -2,8 +2,8 @@
 
 Documents are numbered when they are written: a range of up to ``RANGE`` of them,
 and a slot in it. A term's postings in one range are one row, a block: slots,
-frequencies, lengths of documents and places of the word, with the block's
-greatest frequency and shortest document. Blocks lie in folders by the term's hash and are sorted by term, so a
+frequencies, lengths of documents and places of the word (of one document after
+the other, as many as its frequency says), with the block's greatest frequency and shortest document. Blocks lie in folders by the term's hash and are sorted by term, so a
 search reads the blocks of its terms only.
 
 As ranges cut all terms alike, blocks of a range meet by an equi-join. A query's
@@ -26,6 +26,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
@@ -40,12 +41,43 @@ RANGE, FOLDERS, FIRST = 4096, 64, 4
 #: Words up to which a search names its words to the scan, beside their folders.
 NAMED = 256
 BLOCK = ("term", "range", "n", "top_tf", "short", "slots", "tfs", "lengths", "places")
+BLOCKS = "term string, range long, n int, top_tf int, short int, slots array<int>, tfs array<int>, lengths array<int>, places array<int>"
 
 
 def folder_of(term: Column, folders: int = FOLDERS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
 
 
+def _line(columns: Column) -> Column:
+    """All words in order; an empty word ends a column, so that no phrase crosses it."""
+    words = F.transform(columns, lambda c: tokens(F.coalesce(c, F.lit(""))))
+    return F.flatten(F.transform(words, lambda w: F.concat(w, F.array(F.lit("")))))
+
+
+def _range_blocks(docs: pa.Table) -> pa.Table:
+    """The blocks of one range from its documents (range, slot, line) in order of slots."""
+    lines = docs["line"].combine_chunks()
+    sizes = lines.value_lengths().to_numpy(zero_copy_only=False)
+    words = lines.flatten().dictionary_encode()
+    code, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary
+    doc = np.repeat(np.arange(len(lines), dtype="i4"), sizes)
+    place = (np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype("i4")
+    said = np.flatnonzero(code != pc.index(names, "").as_py())
+    length = np.bincount(doc[said], minlength=len(lines)).astype("i4")
+    order = said[np.argsort(code[said], kind="stable")]  # by word, then document, then place
+    code, doc, place = code[order], doc[order], place[order]
+    new = np.r_[True, (code[1:] != code[:-1])] if len(code) else np.zeros(0, bool)
+    entry = np.flatnonzero(new | np.r_[True, doc[1:] != doc[:-1]]) if len(code) else np.zeros(0, "i8")
+    tf = np.diff(np.r_[entry, len(code)]).astype("i4")
+    block = np.flatnonzero(new[entry])
+    ends, spots = np.r_[block, len(entry)], np.r_[np.flatnonzero(new), len(code)]
+    slots, lengths = docs["slot"].to_numpy().astype("i4")[doc[entry]], length[doc[entry]]
+    lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
+    top, short = (np.maximum.reduceat(tf, block), np.minimum.reduceat(lengths, block)) if len(block) else (tf, lengths)
+    columns = [names.take(pa.array(code[entry[block]])), pa.array(np.full(len(block), docs["range"][0].as_py()), pa.int64()), *(pa.array(x, pa.int32()) for x in (np.diff(ends), top, short))]
+    return pa.table([*columns, lists(ends, slots), lists(ends, tf), lists(ends, lengths), lists(spots, place)], list(BLOCK))
+
+
 def part_score(tf: Column, length: Column, mean: Column) -> Column:
     """What one of a unit's times adds to a document's score, but for its weight."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
@@ -60,45 +92,41 @@ class TextIndex:
     # -- writing ------------------------------------------------------------------
 
     def _numbered(self, rows: DataFrame, first: int) -> DataFrame:
-        """Adds ``range`` and ``slot``: each task's rows fill ranges of their own, from ``first`` on."""
-        spread = settled(rows.repartitionByRange(self.key).withColumn("_part", F.spark_partition_id()))
-        counts = spread.groupBy("_part").agg(F.ceil(F.count("*") / self.size).alias("_ranges"))  # a row a task
-        starts = counts.select("_part", (F.sum("_ranges").over(Window.orderBy("_part")) - F.col("_ranges") + first).alias("_first"))
-        place = F.row_number().over(Window.partitionBy("_part").orderBy(self.key)) - 1
-        placed = spread.join(starts, "_part").withColumn("_n", place)
-        return placed.withColumns({"range": F.col("_first") + F.floor(F.col("_n") / self.size), "slot": (F.col("_n") % self.size).cast("int")}).drop("_part", "_first", "_n")
-
-    def _blocks(self, lined: DataFrame) -> DataFrame:
-        """Blocks of documents (range, slot, length, line). A document's words are
-        counted in the task that holds its range; only these counts move."""
-        words = lined.repartition("range").select("range", "slot", "length", F.posexplode("line").alias("place", "term")).filter("term <> ''")
-        counted = words.groupBy("range", "slot", "length", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
-        entry = F.struct("slot", F.size("places").alias("tf"), "length", "places")
-        blocks = counted.groupBy("term", "range").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-        of = lambda c: F.transform("e", lambda x: x[c])
-        return blocks.select("term", "range", F.size("e").alias("n"), F.array_max(of("tf")).alias("top_tf"), F.array_min(of("length")).alias("short"), of("slot").alias("slots"), of("tf").alias("tfs"), of("length").alias("lengths"), of("places").alias("places"))
+        """Adds ``range`` and ``slot``: rows are numbered in the order of tasks, from range
+        ``first`` on. No text moves for it; words are cut where they are used."""
+        spread = settled(rows.withColumn("_id", F.monotonically_increasing_id()), compression="zstd")
+        # The task's number and, below it, the row's in its task.
+        spread = spread.withColumns({"_part": F.shiftright("_id", 33), "_n": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
+        counts = spread.groupBy("_part").agg(F.count("*").alias("_rows"))  # a row a task
+        starts = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+        at = F.col("_before") + F.col("_n")
+        return spread.join(F.broadcast(starts), "_part").withColumns({"range": first + F.floor(at / self.size), "slot": (at % self.size).cast("int")}).drop("_part", "_before", "_n")
+
+    def _blocks(self, numbered: DataFrame) -> DataFrame:
+        """Blocks of documents (range, slot, columns): the task that holds a range cuts its
+        texts into words and makes its blocks whole, so that no posting moves."""
+        near = numbered.select("range", "slot", "columns").repartition("range").sortWithinPartitions("range", "slot")
+        return near.select("range", "slot", _line(F.col("columns")).alias("line")).groupBy("range").applyInArrow(_range_blocks, BLOCKS)
 
     def _less(self, old: DataFrame) -> DataFrame:
         """Rows that take documents (range, terms) off their terms' numbers."""
         none = lambda kind: F.array().cast(kind)
         n = old.select("range", F.explode("terms").alias("term")).groupBy("term", "range").agg((-F.count("*")).cast("int").alias("n"))
-        return n.select("term", "range", "n", F.lit(0).alias("top_tf"), F.lit(0).alias("short"), *[none("array<int>").alias(c) for c in BLOCK[5:8]], none("array<array<int>>").alias("places"))
+        return n.select("term", "range", "n", F.lit(0).alias("top_tf"), F.lit(0).alias("short"), *[none("array<int>").alias(c) for c in BLOCK[5:8]], none("array<int>").alias("places"))
 
     def _apply(self, state: State, keys: DataFrame, rows: DataFrame | None) -> int | None:
         """One commit on top of ``state``: the documents of ``keys`` go, ``rows`` come. None: another came first."""
         tables, sums, blocks, lists = {}, {"docs": 0, "length": 0, "ranges": 0}, None, {}
         if rows is not None:
-            words = F.transform("columns", lambda c: tokens(F.coalesce(c, F.lit(""))))
-            # An empty word ends a column, so that no phrase crosses it.
-            lined = rows.withColumn("line", F.flatten(F.transform(words, lambda w: F.concat(w, F.array(F.lit(""))))))
-            lined = lined.withColumn("length", F.size(F.filter("line", lambda w: w != ""))).select(self.key, "line", "length")
-            lined = settled(self._numbered(lined, state.sums.get("ranges", 0)))
-            docs = lined.select(self.key, "range", "slot", "length", F.array_distinct(F.filter("line", lambda w: w != "")).alias("terms"))
-            n, length, last = docs.agg(F.count("*"), F.sum("length"), F.max("range")).first()
+            numbered = self._numbered(rows.select(self.key, "columns"), state.sums.get("ranges", 0))
+            said = numbered.select(self.key, "range", "slot", F.filter(_line(F.col("columns")), lambda w: w != "").alias("words"))
+            docs = said.select(self.key, "range", "slot", F.size("words").alias("length"), F.array_distinct("words").alias("terms"))
+            parts = self.log._write(docs, "docs")
+            n, length, last = self.log._load(parts, docs.schema).agg(F.count("*"), F.sum("length"), F.max("range")).first()
             if n:
                 sums = {"docs": n, "length": length, "ranges": last + 1 - state.sums.get("ranges", 0)}
-                tables["docs"] = self.log._write(docs, "docs", order=("range", "slot"))
-                blocks = self._blocks(lined)
+                tables["docs"] = parts
+                blocks = self._blocks(numbered)
         held = state.of("docs")
         if held:
             old = settled(self.log._scan(state, held, "docs").join(keys.select(self.key).distinct(), self.key, "left_semi").select("range", "slot", "length", "terms"))
@@ -111,7 +139,7 @@ class TextIndex:
         if not tables:
             return state.version
         blocks = blocks.withColumn("folder", folder_of(F.col("term"), self.folders))
-        tables["blocks"] = self.log._write(blocks, "blocks", "folder", ("term", "range"))
+        tables["blocks"] = self.log._write(blocks, "blocks", "folder", ("term", "range"), near=True)
         schemas = {"blocks": blocks.schema} | {t: (docs.schema if t == "docs" else old.select("range", "slot").schema) for t in tables if t != "blocks"}
 
         def change(now: State) -> State:
@@ -162,7 +190,7 @@ class TextIndex:
         each phrase that holds it; the places of the last word that all others lead up to
         count."""
         phrases = asked.filter(F.size("words") > 1).select("unit", "words").distinct()
-        live = found.filter("n > 0").select("range", "term", "slots", "lengths", "places")
+        live = found.filter("n > 0").select("range", "term", "slots", "tfs", "lengths", "places")
         each = phrases.join(live.select(F.col("range").alias("_at")).distinct()).select("unit", "words", F.col("_at").alias("range"))
         schema = "unit string, range long, n int, top_tf int, short int, slots array<int>, tfs array<int>, lengths array<int>"
         names = [x.split()[0] for x in schema.split(", ")]
@@ -172,14 +200,14 @@ class TextIndex:
             if len(some) and len(held):
                 rank = held["range"][0].as_py()
                 held = held.combine_chunks()
-                slots, lengths, places = (held[c].chunk(0) for c in ("slots", "lengths", "places"))
-                ends, far = slots.offsets.to_numpy(), places.values.offsets.to_numpy()
-                slot, place = slots.values.to_numpy().astype("i8"), places.values.values.to_numpy().astype("i8")
+                slots, tfs, lengths, places = (held[c].chunk(0) for c in ("slots", "tfs", "lengths", "places"))
+                ends, far = slots.offsets.to_numpy(), np.r_[0, np.cumsum(tfs.values.to_numpy(), dtype="i8")]
+                slot, place = slots.values.to_numpy().astype("i8"), places.values.to_numpy().astype("i8")
                 length = np.zeros(int(slot.max(initial=0)) + 1, "i4")
                 length[slot] = lengths.values.to_numpy()
                 at = {t: k for k, t in enumerate(held["term"].to_pylist())}
                 # Places of all documents in a row, each document's from ``start`` on.
-                own_slot = np.repeat(slot, np.diff(far[: len(slot) + 1]))
+                own_slot = np.repeat(slot, np.diff(far))
                 last = np.zeros(len(length), "i8")
                 np.maximum.at(last, own_slot, place)
                 start = np.r_[0, np.cumsum(last + 2)]

@@ -156,9 +156,10 @@ class Log:
 
     # -- writing ----------------------------------------------------------------
 
-    def _write(self, df: DataFrame, table: str = ROWS, bucket: str | None = None, order: tuple[str, ...] = ()) -> list[Part]:
+    def _write(self, df: DataFrame, table: str = ROWS, bucket: str | None = None, order: tuple[str, ...] = (), near: bool = False) -> list[Part]:
         """Writes rows as a part, or as a part a bucket, sorted by ``order`` if asked; each is
-        counted on its way and read back."""
+        counted on its way and read back. A bucket is a file, or, with ``near``, a file of
+        every task, so that no row moves."""
         name, seen = f"{table}-{uuid.uuid4().hex}", Observation()
         watched = df.observe(seen, F.count(F.lit(1)).alias("n"))
         if bucket is None:
@@ -166,7 +167,7 @@ class Log:
             found = {None: self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}").count()}
         else:
             placed = watched.withColumn("_bucket", F.col(bucket))
-            placed.repartition("_bucket").sortWithinPartitions("_bucket", *order).write.partitionBy("_bucket").parquet(f"{self.root}/{name}")
+            (placed if near else placed.repartition("_bucket")).sortWithinPartitions("_bucket", *order).write.partitionBy("_bucket").parquet(f"{self.root}/{name}")
             back = self.spark.read.parquet(f"{self.root}/{name}") if seen.get["n"] else None
             found = {r[0]: r[1] for r in back.groupBy("_bucket").count().collect()} if back is not None else {}
         if sum(found.values()) != seen.get["n"]:
